@@ -51,6 +51,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One per Python worker, so that tasks after the first find it filled.
+HASHES = WordHashes()
+
+
 def scramble(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(32))

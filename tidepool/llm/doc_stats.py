@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidepool.llm.common import WordHashes, windows
+from tidepool.llm.common import HASHES, WordHashes, windows
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = [
@@ -70,10 +70,9 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in (id_col, *keep)] + [f"{c} bigint" for c in COUNTS] + ["score double" if score else "features array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            got = [stats_of(x.as_py(), hashes) for x in texts]
+            got = [stats_of(x.as_py(), HASHES) for x in texts]
             counts = np.array([x[0] for x in got], np.int64).reshape(-1, len(COUNTS))
             x = np.array([x[1] for x in got], np.float64).reshape(-1, len(FEATURES))
             last = pa.array(score(x)) if score else pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.reshape(-1)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepool.llm import license_scan as licenses, quality_bayes, quality_rules
+from tidepool.llm import html_text, license_scan as licenses, packing, quality_bayes, quality_rules, toxicity, warc
 from tidepool.llm.common import table
 
 
@@ -18,9 +18,33 @@ def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bayes.quality_bayes(docs, labels, quality_bayes.fit(docs, labels), F.col("source"), F.col("lang"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_bayes, op9_license_scan)}
-ORACLE = {"op9_license_scan": licenses.oracle()}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_bayes, op4_best_fit_packing, op5_toxicity, op6_warc_revisits, op9_license_scan, op10_html_text)}
+OP6_SQL = """
+with h as (select page_id, encode(coalesce(html, '')) b, sha1(coalesce(html, '')) d from pages),
+g as (select d, octet_length(b) n, max(page_id) top, count(*) c from h group by 1, 2)
+select page_id, octet_length(b) as payload_bytes, h.d as payload_digest,
+  case when c > 1 and n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+  case when c > 1 and n >= 1000 and page_id < top then top end as refers_to
+from h join g on g.d = h.d and g.n = octet_length(h.b)"""
+ORACLE = {"op6_warc_revisits": OP6_SQL, "op9_license_scan": licenses.oracle()}

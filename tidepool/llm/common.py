@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Odd multipliers of the shingle hash; any odd 64-bit numbers do.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -73,3 +74,30 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         out = scramble(out) + h[i : i + n] * MIX[i]
     return scramble(out)
+
+
+@dataclass
+class Bitmap:
+    """A fixed-size set of hashed values, for dropping rows early; it may let rows through that it should not, never the reverse."""
+
+    packed: np.ndarray
+    size: int
+
+    def position(self, value: Column) -> Column:
+        """The bit of a value, as a long."""
+        return F.pmod(F.xxhash64(value), F.lit(self.size))
+
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.packed, bitorder="little").view(bool)
+
+
+def bitmap_of(df: DataFrame, column: str | None = None, position: Column | None = None, size: int = 1 << 22) -> Bitmap:
+    """The bits of ``column``'s hashed values (or of ``position``, 0 to size - 1). The driver gets size / 8 bytes at most, whatever the rows."""
+    out = Bitmap(np.zeros(size // 8, np.uint8), size)
+    at = position if position is not None else out.position(F.col(column))
+    blocks = df.select(at.cast("long").alias("p")).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
+    for row in blocks.collect():
+        part = np.frombuffer(row["bits"], np.uint8)
+        start = (row["block"] - 1) * len(part)
+        out.packed[start : start + len(part)] |= part
+    return out

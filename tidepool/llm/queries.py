@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepool.llm import html_text, license_scan as licenses, packing, quality_bayes, quality_rules, toxicity, warc
+from tidepool.llm import decontamination, html_text, jaccard_join, license_scan as licenses, packing, quality_bayes, quality_rules, substring_dedup, toxicity, warc
 from tidepool.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bayes.quality_bayes(docs, labels, quality_bayes.fit(docs, labels), F.col("source"), F.col("lang"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,14 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -39,7 +51,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_bayes, op4_best_fit_packing, op5_toxicity, op6_warc_revisits, op9_license_scan, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_bayes, op3_decontamination, op4_best_fit_packing, op5_toxicity, op6_warc_revisits, op7_substring_dedup, op8_jaccard_join, op9_license_scan, op10_html_text)}
 OP6_SQL = """
 with h as (select page_id, encode(coalesce(html, '')) b, sha1(coalesce(html, '')) d from pages),
 g as (select d, octet_length(b) n, max(page_id) top, count(*) c from h group by 1, 2)

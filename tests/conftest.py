@@ -8,9 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tidepool.session import local_session
+    from tidepool.session import local_session, ship
 
-    session = local_session("4", 4, "4g")
+    session = ship(local_session("4", 4, "4g"))
     session.sparkContext.setLogLevel("ERROR")
     return session
 

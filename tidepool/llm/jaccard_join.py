@@ -241,12 +241,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sigs = usable.select("_id", "n", "sig")
 
     none = shared.select(F.col("_id").alias("node"), F.col("_id").alias("label")).limit(0)
-    labels, links = none, None
+    # An id with several texts is in several classes, which it connects.
+    several = usable.groupBy("_id").agg(*(f("d1").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("d2").alias(f"{f.__name__}2") for f in (F.min, F.max))).filter("min1 < max1 or min2 < max2").select("_id")
+    links = materialize(usable.join(several, "_id").join(classes, ["n", "d1", "d2"]).select(F.least("_id", "rep").alias("a"), F.greatest("_id", "rep").alias("b")).distinct(), "links")
+    labels = none
     for end in ("lo", "hi"):
         pairs = shared.select(F.least("_id", end).alias("a"), F.greatest("_id", end).alias("b")).filter("a < b").distinct()
         pairs = _across(pairs, labels)
         new = verified(pairs, sigs, docs, k, percent)
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         labels = components(links)
 
     known = shared.join(labels, F.col("_id") == F.col("node"), "left").select("h", "_id", "n", F.coalesce("label", "_id").alias("label"))

@@ -105,12 +105,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, length_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated spans cut out of the text; ``length_col``, if given, gets the new length."""
-    spans = repeated_spans(docs, id_col, text_col, min_words).groupBy(F.col(id_col).alias("_span_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    joined = docs.join(spans, F.col(id_col) == F.col("_span_id"), "left")
+    spans = repeated_spans(docs, id_col, text_col, min_words).groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_row"))
+    joined = rows.join(spans, "_id", "left")
+    text = F.col("_row").getField(text_col)
     starts = F.concat(F.array(F.lit(0)), F.col("_spans.stop"))
-    stops = F.concat(F.col("_spans.start"), F.array(F.length(text_col)))
-    parts = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda x: F.substring(F.col(text_col), x["a"] + 1, F.greatest(x["b"] - x["a"], F.lit(0))))
-    out = joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "")))
+    stops = F.concat(F.col("_spans.start"), F.array(F.length(text)))
+    parts = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda x: F.substring(text, x["a"] + 1, F.greatest(x["b"] - x["a"], F.lit(0))))
+    cut = F.col("_row").withField(text_col, F.array_join(parts, ""))
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("_spans").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(dict(docs.dtypes)[length_col])))
-    return out.select(*docs.columns)
+        cut = cut.withField(length_col, F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x)).cast(dict(docs.dtypes)[length_col]))
+    return joined.select(F.when(F.col("_spans").isNull(), F.col("_row")).otherwise(cut).alias("_row")).select("_row.*")

@@ -1,6 +1,6 @@
 """Registered queries of the reference's operators, with the same results as SQL where SQL can express them."""
 
-from tidepool.plans import retrieval
+from tidepool.plans import graph, retrieval
 from tidepool.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "retrieval"]
+__all__ = ["ORACLE", "QUERIES", "graph", "retrieval"]

@@ -103,21 +103,21 @@ def meta_search(spark, sf):
 TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-@query("keyword_index", f"select term, doc_id, len(t)::INT as doc_len, count(*) as tf from (select doc_id, t, unnest(t) term from (select doc_id, {TOKENS.format('text')} t from documents where source = 'src1')) group by all")
+@query("keyword_index", f"select term, doc_id, len(t)::INT as doc_len, count(*) as tf from (select doc_id, t, unnest(t) term from (select doc_id, {TOKENS.format('text')} t from documents)) group by all")
 def keyword_index(spark, sf):
-    return retrieval.inverted_index(table(spark, sf, "documents").filter("source = 'src1'"))
+    return retrieval.inverted_index(table(spark, sf, "documents"))
 
 
 def _lists_sql(tail: str) -> str:
-    """Two small lists with shared rows, ties and an odd weight: labels and sources as scores."""
-    return f"""with l as (select 0 query_id, 'vector' source, doc_id, (doc_id % 7)::DOUBLE score from documents where doc_id % 3 = 0 and doc_id < 400
-union all select 0, 'graph', doc_id, (doc_id % 11) / 2.0::DOUBLE from documents where doc_id % 2 = 0 and doc_id < 400) {tail}"""
+    """Two lists for each language, full of ties: documents with a vector, by its label, and documents with a quality label."""
+    return f"""with l as (select lang query_id, 'vector' source, doc_id, e.label::DOUBLE score from documents join embeddings e on e.vec_id = doc_id
+union all select lang, 'graph', doc_id, (2 * quality + toxic) / 2.0::DOUBLE from documents join labels using (doc_id)) {tail}"""
 
 
 def two_lists(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").filter("doc_id < 400").select(F.lit(0).alias("query_id"), "doc_id")
-    v = docs.filter("doc_id % 3 = 0").select("query_id", F.lit("vector").alias("source"), "doc_id", (F.col("doc_id") % 7).cast("double").alias("score"))
-    g = docs.filter("doc_id % 2 = 0").select("query_id", F.lit("graph").alias("source"), "doc_id", ((F.col("doc_id") % 11) / 2.0).cast("double").alias("score"))
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("query_id"), "doc_id")
+    v = docs.join(vectors(spark, sf), "doc_id").select("query_id", F.lit("vector").alias("source"), "doc_id", F.col("label").cast("double").alias("score"))
+    g = docs.join(table(spark, sf, "labels"), "doc_id").select("query_id", F.lit("graph").alias("source"), "doc_id", ((2 * F.col("quality") + F.col("toxic")) / 2.0).cast("double").alias("score"))
     return v.unionByName(g)
 
 
@@ -130,9 +130,9 @@ def rrf_two(spark, sf):
     return fusion.reciprocal_rank(two_lists(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query("rrf_weighted", _lists_sql(f", {RANKED} select query_id, doc_id, round(sum(case source when 'vector' then 0.7 else 0.3 end / (60 + rank)), 6) as score, {SRC} from r group by 1, 2"))
+@query("rrf_weighted", _lists_sql(f", {RANKED} select query_id, doc_id, round(sum(case source when 'vector' then 0.71 else 0.29 end / (60 + rank)), 6) as score, {SRC} from r group by 1, 2"))
 def rrf_weighted(spark, sf):
-    return fusion.reciprocal_rank(two_lists(spark, sf), {"vector": 0.7, "graph": 0.3}).withColumn("score", F.round("score", 6))
+    return fusion.reciprocal_rank(two_lists(spark, sf), {"vector": 0.71, "graph": 0.29}).withColumn("score", F.round("score", 6))
 
 
 for how, sql in (("max", "max"), ("average", "avg"), ("sum", "sum")):
@@ -148,9 +148,9 @@ def merge_normalized(spark, sf):
     return fusion.weighted_merge(fusion.min_max(two_lists(spark, sf)), {"vector": 0.7, "graph": 0.3}).withColumn("score", F.round("score", 6))
 
 
-@query("minmax_half", _lists_sql(f", {NORM.format(flat='0.5')} select query_id, source, doc_id, round(score, 6) as score from n union all select 1, 'flat', doc_id, 0.5 from documents where doc_id < 20"))
+@query("minmax_half", _lists_sql(f", {NORM.format(flat='0.5')} select query_id, source, doc_id, round(score, 6) as score from n union all select source, 'flat', doc_id, 0.5 from documents"))
 def minmax_half(spark, sf):
-    flat = table(spark, sf, "documents").filter("doc_id < 20").select(F.lit(1).alias("query_id"), F.lit("flat").alias("source"), "doc_id", F.lit(3.0).alias("score"))
+    flat = table(spark, sf, "documents").select(F.col("source").alias("query_id"), F.lit("flat").alias("source"), "doc_id", F.lit(3.0).alias("score"))
     return fusion.min_max(two_lists(spark, sf).unionByName(flat), 0.5).select("query_id", "source", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -176,27 +176,27 @@ def match_vector(spark, sf):
 
 
 def fusion_rows(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").filter("doc_id < 300")
-    v = docs.filter("doc_id % 3 = 0").select(F.lit("vector").alias("source"), (F.col("doc_id") / 3).cast("int").alias("pos"), ((F.col("doc_id") * 7) % 100).cast("double").alias("match"), F.col("text").alias("content"), F.lit(None).cast("int").alias("path_length"))
-    g = docs.filter("doc_id % 2 = 0").select(F.lit("graph").alias("source"), (F.col("doc_id") / 2).cast("int").alias("pos"), ((F.col("doc_id") * 13) % 100).cast("double").alias("match"), F.col("text").alias("content"), (F.col("doc_id") % 3).cast("int").alias("path_length"))
-    return v.unionByName(g).withColumn("query_id", F.lit(0))
+    docs, place = table(spark, sf, "documents"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
+    v = docs.join(vectors(spark, sf), "doc_id").withColumn("pos", place).select("lang", F.lit("vector").alias("source"), "pos", ((F.col("doc_id") * 7) % 100).cast("double").alias("match"), "text", F.lit(None).cast("int").alias("path_length"))
+    g = docs.join(table(spark, sf, "labels"), "doc_id").withColumn("pos", place).select("lang", F.lit("graph").alias("source"), "pos", ((F.col("doc_id") * 13) % 100).cast("double").alias("match"), "text", F.col("toxic").alias("path_length"))
+    return v.unionByName(g).withColumnsRenamed({"lang": "query_id", "text": "content"})
 
 
-FUSION_SQL = """with l as (select 'vector' source, (doc_id // 3)::INT pos, (doc_id * 7 % 100)::DOUBLE m, lower(text[1:100]) k, null pl from documents where doc_id < 300 and doc_id % 3 = 0
-union all select 'graph', (doc_id // 2)::INT, (doc_id * 13 % 100)::DOUBLE, lower(text[1:100]), doc_id % 3 from documents where doc_id < 300 and doc_id % 2 = 0),
-r as (select source, k, m, m * case source when 'vector' then 0.7 else 0.3 end / (1 + 0.1 * pos) * case when source = 'graph' and coalesce(pl, 0) = 0 then 1.2 else 1 end ranking,
- row_number() over (partition by k order by source desc, pos) nth from l)"""
+FUSION_SQL = """with l as (select lang q, 'vector' source, row_number() over (partition by lang order by doc_id) - 1 pos, (doc_id * 7 % 100)::DOUBLE m, lower(text[1:100]) k, null pl from documents join embeddings on vec_id = doc_id
+union all select lang, 'graph', row_number() over (partition by lang order by doc_id) - 1, (doc_id * 13 % 100)::DOUBLE, lower(text[1:100]), toxic from documents join labels using (doc_id)),
+r as (select q, source, k, m, m * case source when 'vector' then 0.7 else 0.3 end / (1 + 0.1 * pos) * case when source = 'graph' and coalesce(pl, 0) = 0 then 1.2 else 1 end ranking,
+ row_number() over (partition by q, k order by source desc, pos) nth from l)"""
 
 
-@query("rank_fusion", FUSION_SQL + " select md5(k) as key_id, max(m) as match, round(max(case when nth = 1 then ranking end) + 0.5 * coalesce(sum(case when nth > 1 then ranking end), 0), 6) as ranking, case when bool_or(nth > 1 and source = 'graph') then 'hybrid' else max(case when nth = 1 then source end) end as source from r group by k")
+@query("rank_fusion", FUSION_SQL + " select q as query_id, md5(k) as key_id, max(m) as match, round(max(case when nth = 1 then ranking end) + 0.5 * coalesce(sum(case when nth > 1 then ranking end), 0), 6) as ranking, case when bool_or(nth > 1 and source = 'graph') then 'hybrid' else max(case when nth = 1 then source end) end as source from r group by q, k")
 def rank_fusion(spark, sf):
     rows = fusion.rank_fusion(fusion_rows(spark, sf), {"vector": 0.7, "graph": 0.3})
-    return rows.select(F.md5("key").alias("key_id"), "match", F.round("ranking", 6).alias("ranking"), "source")
+    return rows.select("query_id", F.md5("key").alias("key_id"), "match", F.round("ranking", 6).alias("ranking"), "source")
 
 
 for mode, dropped in (("prefer_graph", "vector"), ("prefer_vector", "graph")):
-    query(f"rank_fusion_{mode}", FUSION_SQL + f" select md5(k) as key_id, m as match, round(ranking, 6) as ranking, source from r where nth = 1 or source <> '{dropped}'")(
-        lambda spark, sf, mode=mode: fusion.rank_fusion(fusion_rows(spark, sf), {"vector": 0.7, "graph": 0.3}, mode).select(F.md5("key").alias("key_id"), "match", F.round("ranking", 6).alias("ranking"), "source")
+    query(f"rank_fusion_{mode}", FUSION_SQL + f" select q as query_id, md5(k) as key_id, m as match, round(ranking, 6) as ranking, source from r where nth = 1 or source <> '{dropped}'")(
+        lambda spark, sf, mode=mode: fusion.rank_fusion(fusion_rows(spark, sf), {"vector": 0.7, "graph": 0.3}, mode).select("query_id", F.md5("key").alias("key_id"), "match", F.round("ranking", 6).alias("ranking"), "source")
     )
 
 WC = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''))"

@@ -84,6 +84,7 @@ def beam_search(edges: DataFrame, starts: DataFrame, max_hops: int = 3, width: i
     the edges that its hops can reach. ``edges``: src, dst, relevance, confidence.
     """
     node = dict(edges.dtypes)["src"]
+    edges = edges.select("src", "dst", F.col("relevance").cast("double").alias("relevance"), F.col("confidence").cast("double").alias("confidence"))
     near = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
     parts = None
     for _ in range(max_hops):

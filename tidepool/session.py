@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +38,12 @@ def ship(spark: SparkSession) -> SparkSession:
     if home not in paths:
         env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not where:
+        where = tempfile.mkdtemp(prefix="spark-tidepool-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(where)
+    return f"{where.rstrip('/')}/tidepool/{name}-{uuid.uuid4().hex}"

@@ -177,3 +177,25 @@ def test_stream_equals_batch(spark, sf):
 
     key = lambda df: sorted((r.doc_id, r.chunk_index, r.content) for r in df.collect())
     assert key(QUERIES["stream_chunks"](spark, sf)) == key(QUERIES["chunk_standard"](spark, sf))
+
+
+def test_presets_do_not_outlive_their_request():
+    from tidepool.operators.config import PRESETS, FusionConfig, preset
+
+    base = FusionConfig()
+    assert preset("code_search").vector_weight == 0.9 and base.vector_weight == 0.7
+    assert base.with_(vector_weight=0.25).graph_weight == 0.75
+    assert all(preset(n).vector_weight + preset(n).graph_weight == pytest.approx(1) for n in PRESETS)
+    for bad in ({"vector_weight": 2}, {"nothing": 1}):
+        with pytest.raises(ValueError, match="weight|unknown"):
+            base.with_(**bad)
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("Dr. Who met Mrs.Smith. They left at 3.5 pm. ok then. Yes!", ["Dr. Who met Mrs. Smith.", "They left at 3.5 pm. ok then.", "Yes!"]),
+    ("See http://a.b/c. Next line etc. More", ["See http://a.b/c. Next line etc. More."]),
+    ("Heading\n\nText goes on. End", ["Heading.", "Text goes on.", "End"]),
+    ("A title", ["A title"]), ("", []), ("x", []), (None, None),
+])
+def test_protected_sentences(spark, text, expected):
+    assert one(spark, tx.protected_sentences(F.lit(text).cast("string"))) == expected

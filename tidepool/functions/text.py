@@ -70,3 +70,31 @@ def snippet(text: Column, limit: int = 36) -> Column:
 
 def content_id(text: Column) -> Column:
     return F.substring(F.md5(text), 1, 12)
+
+
+# Abbreviations whose dot does not end a sentence.
+ABBREVIATIONS = ["Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "Ph.D", "M.D", "B.A", "M.A", "B.S", "M.S", "i.e", "e.g", "etc", "vs", "Inc", "Ltd", "Co", "Corp"]
+
+
+def protected_sentences(text: Column) -> Column:
+    """Sentences that start with a capital after . ! or ?, not after an abbreviation or inside a URL; blank lines end one as well.
+
+    White space is squeezed, single characters go. A dot is added to what lacks an end, unless it is a heading (under 100 characters,
+    no mark inside) that no further paragraph of the same sentence follows.
+    """
+    dot, shut = "\u0001", "\u0002"
+    names = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    marked = F.regexp_replace(F.regexp_replace(text, rf"\b({names})\.\s*", f"$1{dot} "), r"(https?://\S+)", f"$1{shut}")
+    pieces = F.split(marked, r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])\s*$")
+    plain = lambda x: F.trim(F.regexp_replace(F.translate(x, f"{dot}{shut}", "."), r"\s+", " "))
+
+    def ended(s: Column, more: Column) -> Column:
+        heading = (F.length(s) < 100) & ~s.rlike("[.!?]")
+        one = F.when(s.rlike(r"""[.!?:;)"'\]}]$""") | heading, s).otherwise(F.concat(s, F.lit(".")))
+        return F.when(more & ~one.rlike("[.!?]$"), F.concat(one, F.lit("."))).otherwise(one)
+
+    def of_piece(p: Column) -> Column:
+        parts = F.filter(F.transform(F.split(p, "\n\n"), plain), lambda x: F.length(x) > 1)
+        return F.transform(parts, lambda x, i: ended(x, i < F.size(parts) - 1))
+
+    return F.flatten(F.transform(pieces, of_piece))

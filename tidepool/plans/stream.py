@@ -22,7 +22,7 @@ def stream_latency(spark: SparkSession, sf: str) -> DataFrame:
     name, where = f"latency_{uuid.uuid4().hex}", scratch(spark, "stream")
     done = ingest.windowed_latency(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.table(name).select(F.col("w.start").alias("day"), "strategy", "n", F.round("mean_value", 6).alias("mean_value"), "max_value")
+    return spark.table(name).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "strategy", "n", F.round("mean_value", 6).alias("mean_value"), "max_value")
 
 
 @query("stream_chunks")

@@ -25,4 +25,5 @@ def ingest_documents(stream: DataFrame, path: str, checkpoint: str, strategy: st
 def windowed_latency(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Per strategy and tumbling window: count, mean and largest latency; events later than the watermark are dropped by the engine."""
     w = F.window("ts", width)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(w.alias("w"), F.col("event_type").alias("strategy")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"))

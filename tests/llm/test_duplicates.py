@@ -84,8 +84,10 @@ def test_signatures_bound_the_difference():
     for n in (1, 10, 700, 5000):
         x, y = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for _ in range(2))
         y = np.unique(np.concatenate([x[: n // 2], y]))
-        bits = np.bitwise_count(jaccard_join.signature(x).view(np.uint64) ^ jaccard_join.signature(y).view(np.uint64)).sum()
-        assert bits <= len(np.setxor1d(x, y))
+        a, b = (jaccard_join.signature(v).view(np.uint64)[None, :] for v in (x, y))
+        for lanes in {min(a.shape[1], b.shape[1]), 16}:
+            assert np.bitwise_count(jaccard_join.folded(a, lanes) ^ jaccard_join.folded(b, lanes)).sum() <= len(np.setxor1d(x, y))
+        assert (jaccard_join.folded(a, 16)[0].view(np.int64) == jaccard_join.signature(x, 16)).all()
 
 
 def test_prefixes_of_linked_sets_meet():

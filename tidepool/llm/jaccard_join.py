@@ -26,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepool.llm.common import HASHES, WordHashes, bitmap_of, materialize, scramble, windows
+from tidepool.llm.common import HASHES, Bitmap, WordHashes, bitmap_of, materialize, scramble, windows
 from tidepool.llm.components import components
 
-LANES = 16
-BITS = 64 * LANES
+#: Numbers of 64 bits in a signature: two bits a shingle, at least LEAST and in tiles at most MOST of them; powers of two.
+LEAST, MOST = 16, 64
 
 
 def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -46,12 +47,21 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(windows(h, k))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set, as LANES 64-bit numbers."""
-    bits = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+def signature(s: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """Parity bitmap of a set: bit i is the parity of its shingles whose hash ends in i. Two halves XORed are the bitmap of half the size."""
+    lanes = min(max(LEAST, 1 << max(len(s) // 32 - 1, 0).bit_length()), most)
+    bits = (np.bincount((s & np.uint64(64 * lanes - 1)).astype(np.int64), minlength=64 * lanes) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
+def folded(sig: np.ndarray, lanes: int) -> np.ndarray:
+    """Signatures (rows of equal length) as they would be with fewer lanes."""
+    while sig.shape[1] > lanes:
+        half = sig.shape[1] // 2
+        sig = sig[:, :half] ^ sig[:, half:]
+    return sig
+
+
 def prefix(s: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order rare (by hash), then common (by rank)."""
     p = len(s) - -(-percent * len(s) // 100) + 1
@@ -102,7 +112,7 @@ def common_shingles(docs: DataFrame, k: int, most: int = 1 << 17, block: int = 2
 
 
 def described(docs: DataFrame, k: int, percent: int, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """_id, n, d1, d2 (digest of the set), prefix, sig; one row per row of ``docs``."""
+    """_id, n, d1, d2 (digest of the set), prefix, sig (for tiles), wide (whole signature where sig is cut); one row per row of ``docs``."""
     kind = dict(docs.dtypes)["_id"]
 
     def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -113,28 +123,52 @@ def described(docs: DataFrame, k: int, percent: int, common: np.ndarray, rank: n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                n, digests, prefixes, sigs = [], [], [], []
+                n, digests, prefixes, sigs, wide = [], [], [], [], []
                 for text in batch.column(1).slice(at, 1000):
                     s = shingles(text.as_py(), k, HASHES)
                     n.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     prefixes.append(prefix(s, percent, common, rank) if len(s) else s)
-                    sigs.append(signature(s))
+                    sigs.append(signature(s, MOST))
+                    wide.append(signature(s) if len(s) > 32 * MOST else s[:0])
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(n, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), lists(prefixes), lists(sigs)], names=["_id", "n", "d1", "d2", "prefix", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(n, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), lists(prefixes), lists(sigs), lists(wide)], names=["_id", "n", "d1", "d2", "prefix", "sig", "wide"])
+
+    return docs.select("_id", "_text").mapInArrow(run, f"_id {kind}, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, sig array<bigint>, wide array<bigint>")
+
+
+#: Bits of the fixed-size filter of shared prefix shingles.
+POSTING_BITS = 1 << 24
+
 
-    return docs.select("_id", "_text").mapInArrow(run, f"_id {kind}, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, sig array<bigint>")
+def postings(table: DataFrame, wanted: Bitmap) -> DataFrame:
+    """_id, n, d1, d2, h: one row per prefix shingle that the bitmap lets through."""
+    kind = dict(table.dtypes)["_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.bits()
+        for batch in batches:
+            lists = batch.column(4)
+            h = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
+            hit = bits[h & (wanted.size - 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row[hit])) for i in range(4)), pa.array(h[hit])], names=["_id", "n", "d1", "d2", "h"])
+
+    return table.select("_id", "n", "d1", "d2", "prefix").mapInArrow(run, f"_id {kind}, n bigint, d1 bigint, d2 bigint, h bigint")
 
 
 def _may_link(percent: int, na: Column, nb: Column, sa: Column, sb: Column) -> Column:
-    """Sizes and signatures leave room for the similarity asked for."""
-    differ = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    """Sizes and signatures leave room for the similarity asked for. Signatures of sizes that do differ twofold at most."""
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), F.floor(F.size(s) / 2).cast("int")), F.slice(s, F.floor(F.size(s) / 2).cast("int") + 1, F.floor(F.size(s) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    less = lambda s, other: F.when(F.size(s) > F.size(other), half(s)).otherwise(s)
+    differ = F.aggregate(F.zip_with(less(sa, sb), less(sb, sa), lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)).cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 - percent) * (na + nb) >= (100 + percent) * differ)
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Only texts whose id passes a fixed-size bitmap of the pairs' ids are made into sets again."""
-    side = lambda x: sigs.select(F.col("_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    whole = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("sig"))
+    side = lambda x: sigs.select(F.col("_id").alias(x), F.col("n").alias(f"n{x}"), whole.alias(f"s{x}"))
     left = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
     left = materialize(left.select("a", "b").distinct(), "candidates")
     wanted = bitmap_of(left.select(F.explode(F.array("a", "b")).alias("_id")), "_id")
@@ -172,13 +206,25 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     at most; rows are sorted by key within partitions and streamed.
     """
     kind = dict(tiles.dtypes)["_id"]
-    keys = ["h", "tile", "i", "j"]
+    keys = ["tile", "h", "i", "j"]
+
+    def pairs(t: pa.Table, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        band = t["tile"].to_numpy()
+        cuts = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield in_band(t.slice(start, end - start), key[start:end])
 
-    def pairs(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+    def in_band(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
         n, lower, chunk = (t[c].to_numpy() for c in ("n", "lower", "chunk"))
         i, j = t["i"].to_numpy(), t["j"].to_numpy()
         label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-        sig = t["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+        sigs = t["sig"].combine_chunks()
+        lanes = pa.compute.list_value_length(sigs).to_numpy()
+        flat, ends, least = sigs.flatten().to_numpy().view(np.uint64), np.cumsum(lanes), int(lanes.min())
+        sig = np.empty((len(key), least), np.uint64)
+        for size in np.unique(lanes):
+            own = np.flatnonzero(lanes == size)
+            sig[own] = folded(flat[(ends[own] - size)[:, None] + np.arange(size)], least)
         a_out, b_out = [], []
         d = 1
         while d < len(key):
@@ -209,7 +255,7 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
             key = np.cumsum(starts)
             end = len(key) if last else int(np.flatnonzero(starts)[-1])
             if end:
-                yield pairs(t.slice(0, end), key[:end])
+                yield from pairs(t.slice(0, end), key[:end])
             held = t.slice(end).to_batches()
             rows = len(key) - end
 
@@ -234,16 +280,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     usable = table.filter((F.col("n") > 0) & F.col("_id").isNotNull())
     classes = materialize(usable.groupBy("n", "d1", "d2").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("_id"), "n", "d1", "d2")
-    own = usable.join(reps.hint("shuffle_hash"), ["_id", "n", "d1", "d2"], "left_semi")
-    postings = own.select("_id", "n", F.explode("prefix").alias("h"))
-    shared = postings.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi")
-    shared = materialize(postings.join(shared, "h"), "shared")
-    sigs = usable.select("_id", "n", "sig")
+    # Most prefix shingles are one class's own. The hashes that several ids have make a bitmap, by which the rest is dropped before
+    # the rows of the others are shuffled to meet them and the classes' representatives.
+    several = materialize(usable.select("_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("_id").alias("x"), F.max("_id").alias("y")).filter("x < y").select("h"), "several")
+    rows = postings(usable, bitmap_of(several, position=F.col("h").bitwiseAND(F.lit(POSTING_BITS - 1)), size=POSTING_BITS))
+    rows = rows.join(several, "h").join(reps, ["_id", "n", "d1", "d2"], "left_semi").select("h", "_id", "n")
+    ends = rows.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi")
+    shared = materialize(rows.join(ends, "h"), "shared")
+    sigs = usable.select("_id", "n", "sig", "wide")
 
     none = shared.select(F.col("_id").alias("node"), F.col("_id").alias("label")).limit(0)
     # An id with several texts is in several classes, which it connects.
-    several = usable.groupBy("_id").agg(*(f("d1").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("d2").alias(f"{f.__name__}2") for f in (F.min, F.max))).filter("min1 < max1 or min2 < max2").select("_id")
-    links = materialize(usable.join(several, "_id").join(classes, ["n", "d1", "d2"]).select(F.least("_id", "rep").alias("a"), F.greatest("_id", "rep").alias("b")).distinct(), "links")
+    mixed_ids = usable.groupBy("_id").agg(*(f("d1").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("d2").alias(f"{f.__name__}2") for f in (F.min, F.max))).filter("min1 < max1 or min2 < max2").select("_id")
+    links = materialize(usable.join(mixed_ids, "_id").join(classes, ["n", "d1", "d2"]).select(F.least("_id", "rep").alias("a"), F.greatest("_id", "rep").alias("b")).distinct(), "links")
     labels = none
     for end in ("lo", "hi"):
         pairs = shared.select(F.least("_id", end).alias("a"), F.greatest("_id", end).alias("b")).filter("a < b").distinct()
@@ -261,7 +310,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = rows.select("h", "_id", "n", "label", "t.tile", "t.lower")
         sizes = rows.groupBy("h", "tile").agg(F.count("*").alias("rows"), F.min("label").alias("x"), F.max("label").alias("y"), F.bool_and("lower").alias("low")).filter("x < y and not low")
         rows = rows.join(sizes.select("h", "tile", F.ceil(F.col("rows") / chunk_rows).cast("int").alias("q")), ["h", "tile"])
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_id"), F.col("q")).cast("int")).join(sigs.dropDuplicates(["_id", "n"]), ["_id", "n"])
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_id"), F.col("q")).cast("int")).join(sigs.select("_id", "n", "sig").dropDuplicates(["_id", "n"]), ["_id", "n"])
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other"))
         rows = rows.select("h", "tile", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "lower", "chunk", "_id", "n", "label", "sig")
         new = verified(tile_pairs(rows, percent), sigs, docs, k, percent)

@@ -199,3 +199,15 @@ def test_presets_do_not_outlive_their_request():
 ])
 def test_protected_sentences(spark, text, expected):
     assert one(spark, tx.protected_sentences(F.lit(text).cast("string"))) == expected
+
+
+def test_level_chunks():
+    body = " ".join(f"{'word ' * 10}end{i}." for i in range(12))
+    rows = chunking.level_rows(1, f"lost\n# A\nshort.\n## B\n{body}\n# C\nfine.", 60)
+    kinds = {r[2]: (r[3], r[4], r[5]) for r in rows}
+    assert kinds["1_chunk_0"] == (None, 1, "section") and kinds["1_chunk_1"] == ("1_chunk_0", 2, "header") and kinds["1_chunk_2"] == (None, 1, "section")
+    parts = [r for r in rows if r[5] == "part"]
+    assert len(parts) > 3 and all(r[3] == "1_chunk_1" for r in parts) and all(f"end{i}." in " ".join(r[7] for r in parts) for i in range(12))
+    assert parts[1][7].split()[:11] == parts[0][7].split()[-22:-11], "two sentences overlap"
+    assert [r[4] for r in chunking.level_rows(1, "1. One\nx\n1.1. Two\ny")] == [1, 2]
+    assert chunking.level_rows(1, "") == [] and chunking.level_rows(1, "plain words " * 6)[0][5] == "group"

@@ -139,3 +139,72 @@ def groups_of(chunks: DataFrame, n: int = 4, each: int = 100, most: int = 300) -
 def siblings(chunks: DataFrame, node: list[str]) -> DataFrame:
     """(chunk, siblings): the other chunks of the same node, sorted. ``chunks`` has column chunk."""
     return chunks.withColumn("siblings", F.array_sort(F.array_remove(F.collect_list("chunk").over(Window.partitionBy(*node)), F.col("chunk"))))
+
+
+LEVEL_CHUNK = "doc_id long, chunk_index int, chunk_id string, parent_id string, level int, kind string, title string, content string, tokens int"
+_HEADER = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
+_NUMBER = re.compile(r"^(\d+(?:\.\d+)*)\.\s+(.+)$", re.M)
+
+
+def find_sections(text: str, least: int = 100) -> list[tuple[int, str, str]]:
+    """(level, title, body): by markdown headers, else by numbered headings, else by paragraphs of more than ``least`` characters."""
+    for pattern, level in ((_HEADER, lambda m: len(m[1])), (_NUMBER, lambda m: m[1].count(".") + 1)):
+        found = list(pattern.finditer(text))
+        if found:
+            ends = [m.start() for m in found[1:]] + [len(text)]
+            return [(level(m), m[2].strip(), text[m.end() : e].strip()) for m, e in zip(found, ends, strict=True)]
+    blocks = [p.strip() for p in re.split(r"\n\s*\n", text) if len(p.strip()) > least]
+    return [(1, re.split(r"[.!?]", p)[0][:50], p) for p in blocks]
+
+
+def level_rows(doc_id: object, text: str, size: int = 400) -> list[tuple]:
+    """A header chunk for each section, under the last earlier section of a smaller level, and part chunks of its sentences.
+
+    A section that fits stays with its header. A part starts with the last two sentences of the one before (all, if it had no more).
+    Texts without sections are packed by the semantic chunker, in groups of four under a parent.
+    """
+    rows: list[tuple] = []
+
+    def add(name: str, parent: str | None, level: int, kind: str, title: str, content: str) -> str:
+        rows.append((doc_id, len(rows), name, parent, level, kind, title, content, count_tokens(content)))
+        return name
+
+    open_: list[tuple[int, str]] = []
+    sections = find_sections(text)
+    for i, (level, title, body) in enumerate(sections):
+        while open_ and open_[-1][0] >= level:
+            open_.pop()
+        parent = open_[-1][1] if open_ else None
+        whole = f"{title}\n{body}".strip()
+        fits = count_tokens(whole) <= size
+        name = add(f"{doc_id}_chunk_{i}", parent, level, "section" if fits else "header", title, whole if fits else title)
+        open_.append((level, name))
+        if fits:
+            continue
+        held, fresh, part = [], 0, 0
+        for s in split_sentences(body):
+            if fresh and count_tokens(" ".join([*held, s])) > size:
+                add(f"{name}_part_{part}", name, level + 1, "part", title, " ".join(held))
+                held, fresh, part = held[-2:], 0, part + 1
+            held.append(s)
+            fresh += 1
+        if fresh:
+            add(f"{name}_part_{part}", name, level + 1, "part", title, " ".join(held))
+    if not sections:
+        chunks = semantic_chunks(text, size)
+        for g in range(0, len(chunks), 4):
+            parent = add(f"{doc_id}_group_{g // 4}", None, 0, "group", "", " ".join(c[:100] for c in chunks[g : g + 4])[:300])
+            for j, c in enumerate(chunks[g : g + 4]):
+                add(f"{doc_id}_chunk_{g + j}", parent, 1, "text", "", c)
+    return rows
+
+
+def level_chunks(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``level_rows`` of every document, in batches, without a shuffle."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [r for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in level_rows(d, t or "", size)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEVEL_CHUNK.split(", ")])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, LEVEL_CHUNK)

@@ -84,6 +84,12 @@ for name in ("standard", "semantic"):
     query(f"chunk_{name}")(lambda spark, sf, name=name: chunking.chunk(table(spark, sf, "documents"), name))
 
 
+@query("chunk_levels")
+def chunk_levels(spark, sf):
+    """Sections into header and part chunks: sequential within a document, hence without SQL."""
+    return chunking.level_chunks(table(spark, sf, "documents"))
+
+
 @query("chunk_groups", "with c as (select source doc_id, (row_number() over (partition by source order by doc_id) - 1)::INT i, text from documents) select doc_id, (i // 4)::INT as \"group\", count(*) as n_chunks, substr(string_agg(substr(text, 1, 100), ' ' order by i), 1, 300) as preview from c group by 1, 2")
 def chunk_groups(spark, sf):
     return chunking.groups_of(numbered(spark, sf))

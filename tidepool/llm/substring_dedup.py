@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepool.llm.common import HASHES, WordHashes, materialize, scramble
+from tidepool.llm.common import HASHES, Bitmap, WordHashes, bitmap_of, materialize, scramble
 
 _NORMAL = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
 _MARK = np.zeros(256, bool)
@@ -62,7 +62,7 @@ def units_of(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
 
 
 def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, unit, start, stop, words, digest; one row per unit."""
+    """_id, unit, start, stop, words, digest, again (the document has the digest earlier); one row per unit."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
 
@@ -76,31 +76,52 @@ def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     continue
                 start, stop, words, digest = (np.concatenate([g[i] for g in got]) for i in range(4))
                 unit = np.concatenate([np.arange(k) for k in sizes])
+                again = np.ones(len(unit), bool)
+                again[np.concatenate([at_ + np.unique(g[3], return_index=True)[1] for at_, g in zip(np.cumsum([0, *sizes[:-1]]), got, strict=True)])] = False
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.repeat(np.arange(len(got)), sizes))), *(pa.array(x.astype(np.int32)) for x in (unit, start, stop, words)), pa.array(digest.view(np.int64))],
-                    names=["_id", "unit", "start", "stop", "words", "digest"],
+                    [ids.take(pa.array(np.repeat(np.arange(len(got)), sizes))), *(pa.array(x.astype(np.int32)) for x in (unit, start, stop, words)), pa.array(digest.view(np.int64)), pa.array(again)],
+                    names=["_id", "unit", "start", "stop", "words", "digest", "again"],
                 )
 
-    return rows.mapInArrow(run, f"_id {kind}, unit int, start int, stop int, words int, digest bigint")
+    return rows.mapInArrow(run, f"_id {kind}, unit int, start int, stop int, words int, digest bigint, again boolean")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """One row per removed run: id, start, stop, n_units, n_words, and where the first unit's kept occurrence is: kept_id, kept_start.
+    """One row per removed run: id, start, stop, n_units, n_words, and kept_id: the document that keeps its first unit (itself, if it has the unit earlier).
 
-    Shuffled are narrow rows only: units by digest (once pre-aggregated, once to meet the repeated digests in a join that AQE may
-    split where a digest is hot), then repeated units by document.
+    Shuffled are narrow rows only: a document's first units by digest, pre-aggregated to the least id; those whose digest several
+    documents have (by a fixed-size bitmap first), to meet that id in a join that AQE may split where a digest is hot; then repeated
+    units by document.
     """
     units = materialize(text_units(docs, id_col, text_col), "units")
-    spot = F.struct(F.col("_id"), F.col("unit"), F.col("start"))
-    seen = units.groupBy("digest", "words").agg(F.min(spot).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = units.join(seen, ["digest", "words"]).filter(~((F.col("_id") == F.col("kept._id")) & (F.col("unit") == F.col("kept.unit")))).select("_id", "unit", "start", "stop", "words", "kept").dropDuplicates(["_id", "unit", "start", "stop"])
-    by_unit = Window.partitionBy("_id").orderBy("unit")
-    runs = again.withColumn("run", F.col("unit") - F.dense_rank().over(by_unit))
+    firsts = units.filter("not again")
+    seen = materialize(firsts.groupBy("digest").agg(F.min("_id").alias("kept_id"), F.max("_id").alias("last")).filter("kept_id < last").select("digest", "kept_id"), "repeated")
+    candidates = _passing(firsts, bitmap_of(seen, position=F.col("digest").bitwiseAND(F.lit(DIGEST_BITS - 1)), size=DIGEST_BITS))
+    later = candidates.join(seen, "digest").filter(F.col("_id") > F.col("kept_id")).select("_id", "unit", "start", "stop", "words", "kept_id")
+    inside = units.filter("again").select("_id", "unit", "start", "stop", "words", F.col("_id").alias("kept_id"))
+    repeats = later.unionByName(inside).repartition("_id").dropDuplicates(["_id", "unit", "start", "stop"])
+    runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(Window.partitionBy("_id").orderBy("unit")))
     spans = runs.groupBy("_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min_by("kept", "unit").alias("kept")
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min_by("kept_id", "unit").alias("kept_id")
     )
-    spans = spans.filter(F.col("n_words") >= min_words)
-    return spans.select(F.col("_id").alias(id_col), "start", "stop", "n_units", "n_words", F.col("kept._id").alias("kept_id"), F.col("kept.start").alias("kept_start"))
+    return spans.filter(F.col("n_words") >= min_words).select(F.col("_id").alias(id_col), "start", "stop", "n_units", "n_words", "kept_id")
+
+
+#: Bits of the fixed-size filter of repeated digests.
+DIGEST_BITS = 1 << 24
+
+
+def _passing(units: DataFrame, wanted: Bitmap) -> DataFrame:
+    """The units whose digest the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.bits()
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column(5).to_numpy() & (wanted.size - 1)]))
+
+    kinds = dict(units.dtypes)
+    columns = ["_id", "unit", "start", "stop", "words", "digest"]
+    return units.select(*columns).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, length_col: str | None = None) -> DataFrame:

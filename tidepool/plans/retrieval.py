@@ -211,7 +211,7 @@ def budget_rows(spark, sf) -> DataFrame:
     "context_budget",
     f"""with r as ({BY_SOURCE}), t as (select *, {WC.format('text')} * 1.3 tok from r), b as (select *, coalesce(sum(tok) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) before from t),
 o as (select *, sum((before + tok > 8000)::INT) over (partition by query_id order by rank rows unbounded preceding) n_over, before + tok > 8000 over_ from b)
-select query_id, doc_id, rank::INT as rank, round(tok, 4) as tokens, md5(case when over_ then array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:greatest(floor((8000 - before) / 1.3)::INT, 0)], ' ') || '...' else text end) as content_md5
+select query_id, doc_id, rank::INT as rank, round(tok, 4)::DOUBLE as tokens, md5(case when over_ then array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:greatest(floor((8000 - before) / 1.3)::INT, 0)], ' ') || '...' else text end) as content_md5
 from o where n_over = 0 or (over_ and n_over = 1 and 8000 - before > 100)""",
 )
 def context_budget(spark, sf):

@@ -285,7 +285,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = materialize(usable.select("_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("_id").alias("x"), F.max("_id").alias("y")).filter("x < y").select("h"), "several")
     rows = postings(usable, bitmap_of(several, position=F.col("h").bitwiseAND(F.lit(POSTING_BITS - 1)), size=POSTING_BITS))
     rows = rows.join(several, "h").join(reps, ["_id", "n", "d1", "d2"], "left_semi").select("h", "_id", "n")
-    ends = rows.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi")
+    # A shared passage gives many shingles to the same documents: of shingles with the same members (by their number, ends and
+    # combined hash) one is kept, since the others would compare the same pairs.
+    members = rows.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("_id", "n")).alias("mix")).filter("lo < hi")
+    ends = members.groupBy("lo", "hi", "c", "mix").agg(F.min("h").alias("h")).select("h", "lo", "hi")
     shared = materialize(rows.join(ends, "h"), "shared")
     sigs = usable.select("_id", "n", "sig", "wide")
 

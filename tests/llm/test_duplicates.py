@@ -55,6 +55,28 @@ def test_components_equal_brute_force(spark, seed, k, percent):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_repeated_rows_lose_no_link(spark, copies=2):
+    """Many small sets whose shared words have the same ends and counts; an id with two texts of one size, and with an empty one."""
+    rng = random.Random(1)
+    texts = []
+    for g in range(60):
+        base = [f"c{rng.randrange(6)}", *(f"g{g}x{rng.randrange(9)}" for _ in range(3)), *(f"v{rng.randrange(30)}" for _ in range(4))]
+        texts += [" ".join([*base, f"own{g}"]), " ".join([*base, f"other{g}"])]
+    low, high = " ".join(f"{x}{i}" for x, n in (("c", 6), ("v", 30)) for i in range(n)), " ".join(f"{x}{i}" for x, n in (("v", 30), ("c", 6)) for i in range(n)) + " end"
+    rows = [(0, low), (10**6, high), *enumerate(texts, 1), (500, "a b c d e f g h"), (500, "i j k l m n o p"), (500, ""), (500, None), (501, "a b c d e f g z"), (502, "i j k l m n o z"), (503, "i j k l m n y p")]
+    got = jaccard_join.jaccard_components(docs_of(spark, rows * copies), k=1, percent=75, chunk_rows=8).collect()
+    assert len(got) == len(rows) * copies
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == expected(rows, 1, 75)
+
+
+def test_shingles_with_the_same_ends_and_count(spark):
+    """5 and 6 share words p, 7 and 8 words q, and 1 and 9 have all of both in their prefixes, as what else they have is commoner."""
+    p, q, f, g = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 6), ("q", 6), ("f", 36), ("g", 36)))
+    rows = [(1, f"{p} {q} {f}"), (9, f"{p} {q} {g}"), (5, f"{p} a"), (6, f"{p} b"), (7, f"{q} c"), (8, f"{q} d"), *((100 + i, f) for i in range(6)), *((200 + i, g) for i in range(6))]
+    got = jaccard_join.jaccard_components(docs_of(spark, rows * 2).coalesce(1), k=1, percent=75).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == expected(rows, 1, 75)
+
+
 def test_no_documents(spark):
     empty = docs_of(spark, [])
     assert jaccard_join.jaccard_components(empty).count() == 0

@@ -181,6 +181,10 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent
             for at in range(0, len(there), 1000):
                 own = there[at : at + 1000]
                 found = [shingles(batch.column(2)[int(i)].as_py(), k, HASHES) for i in own]
+                full = np.array([len(s) > 0 for s in found])  # an id of a pair may have an empty text, too
+                if not full.any():
+                    continue
+                own, found = own[full], [s for s in found if len(s)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], names=["_id", "s"])
 
@@ -284,13 +288,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the rows of the others are shuffled to meet them and the classes' representatives.
     several = materialize(usable.select("_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("_id").alias("x"), F.max("_id").alias("y")).filter("x < y").select("h"), "several")
     rows = postings(usable, bitmap_of(several, position=F.col("h").bitwiseAND(F.lit(POSTING_BITS - 1)), size=POSTING_BITS))
-    rows = rows.join(several, "h").join(reps, ["_id", "n", "d1", "d2"], "left_semi").select("h", "_id", "n")
+    # Repeated rows count once (the join has dealt them by what tells them apart): two copies would cancel out of the XOR below.
+    rows = rows.join(several, "h").join(reps, ["_id", "n", "d1", "d2"], "left_semi").select("h", "_id", "n", "d1", "d2").distinct()
     # A shared passage gives many shingles to the same documents: of shingles with the same members (by their number, ends and
-    # combined hash) one is kept, since the others would compare the same pairs.
-    members = rows.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("_id", "n")).alias("mix")).filter("lo < hi")
-    ends = members.groupBy("lo", "hi", "c", "mix").agg(F.min("h").alias("h")).select("h", "lo", "hi")
+    # two combined hashes) one is kept, since the others would compare the same pairs.
+    mixes = [F.bit_xor(F.xxhash64(*c)).alias(x) for x, c in (("mix", ("_id", "n", "d1", "d2")), ("mix2", ("d2", "d1", "n", "_id")))]
+    members = rows.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("c"), *mixes).filter("lo < hi")
+    ends = members.groupBy("lo", "hi", "c", "mix", "mix2").agg(F.min("h").alias("h")).select("h", "lo", "hi")
     shared = materialize(rows.join(ends, "h"), "shared")
-    sigs = usable.select("_id", "n", "sig", "wide")
+    sigs = usable.select("_id", "n", "d1", "d2", "sig", "wide")
 
     none = shared.select(F.col("_id").alias("node"), F.col("_id").alias("label")).limit(0)
     # An id with several texts is in several classes, which it connects.
@@ -304,16 +310,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(new)
         labels = components(links)
 
-    known = shared.join(labels, F.col("_id") == F.col("node"), "left").select("h", "_id", "n", F.coalesce("label", "_id").alias("label"))
+    known = shared.join(labels, F.col("_id") == F.col("node"), "left").select("h", "_id", "n", "d1", "d2", F.coalesce("label", "_id").alias("label"))
     mixed = known.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
     open_ = materialize(known.join(mixed, "h"), "open")
     if open_.limit(1).count():
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("long")
         rows = open_.withColumn("band", band).select("*", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("lower")), F.struct((F.col("band") + 1).alias("tile"), F.lit(True).alias("lower")))).alias("t"))
-        rows = rows.select("h", "_id", "n", "label", "t.tile", "t.lower")
+        rows = rows.select("h", "_id", "n", "d1", "d2", "label", "t.tile", "t.lower")
         sizes = rows.groupBy("h", "tile").agg(F.count("*").alias("rows"), F.min("label").alias("x"), F.max("label").alias("y"), F.bool_and("lower").alias("low")).filter("x < y and not low")
         rows = rows.join(sizes.select("h", "tile", F.ceil(F.col("rows") / chunk_rows).cast("int").alias("q")), ["h", "tile"])
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_id"), F.col("q")).cast("int")).join(sigs.select("_id", "n", "sig").dropDuplicates(["_id", "n"]), ["_id", "n"])
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_id"), F.col("q")).cast("int")).join(sigs.select("_id", "n", "d1", "d2", "sig").dropDuplicates(["_id", "n", "d1", "d2"]), ["_id", "n", "d1", "d2"])
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other"))
         rows = rows.select("h", "tile", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "lower", "chunk", "_id", "n", "label", "sig")
         new = verified(tile_pairs(rows, percent), sigs, docs, k, percent)

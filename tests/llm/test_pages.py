@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 
+import pytest
+
 from tidepool.llm import warc
 from tidepool.llm.html_text import main_text
 
@@ -22,6 +24,28 @@ def test_surge_and_dive_without_an_article():
     assert got.startswith("Sentence number 0") and got.count("\n") == 3 and "Menu" not in got and "Imprint" not in got
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class='has-sidebar'", "div class='no-sidebar layout'", "section id='with-comments'", "div class='page widget'", "form action='/x'"])
+def test_wrappers_do_not_blank_the_page(wrapper):
+    text = "\n".join(f"Sentence {i} of the text proper, which is long enough to surge by itself or with what follows it." for i in range(3))
+    body, name = "".join(f"<p>{x}</p>" for x in text.split("\n")), wrapper.split()[0]
+    for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+        page = f"<body><nav>Menu</nav><{wrapper}>{inner}<div class='sidebar-left'><p>Side</p></div><div class='cookie-notice'>We use cookies</div></{name}><footer>Foot</footer></body>"
+        assert main_text(page) == text
+
+
+def test_comments_and_teasers_stay_out():
+    post, long = "<div><p>A short post of one line that is still long enough for a window to surge, as it has a hundred characters.</p></div>", "<p>Reader says many things at length.</p>" * 30
+    for side in (f"<section class='comments'>{long}</section>", f"<section id='comments'><article>{long}</article></section>", "<div class='related'><article><p>Teaser</p></article></div>"):
+        assert main_text(f"<body>{post}{side}</body>").startswith("A short post")
+        assert main_text(f"<body>{post}{side}</body>").count("\n") == 0
+
+
+def test_text_resumes_after_an_advert():
+    first = "The text proper begins with a paragraph that is long enough to surge, having over eighty-six characters."
+    page = f"<body><div><p>{first}</p>{'<div class=ad>Buy</div>' * 4}<p>The end.</p></div><div>Imprint</div></body>"
+    assert main_text(page) == f"{first}\nThe end."
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<div><nav>x</nav>") == ""
     assert main_text("<article><p>cut <b>off &am") == "cut off &am"

@@ -3,7 +3,9 @@
 Markup is stripped into lines, one per block element. Lines in menus, page headers and footers, sidebars, notices, adverts, forms and
 reader comments are blanked, by their elements' names, roles and classes. Text lengths (without link text) are summed over sliding
 windows of lines; text is kept from each point where the sum surges to where it dives to nothing. Inside <article> or <main> any text
-surges; elsewhere a window must reach ``surge`` characters, or, if none does, be the fullest of the page.
+surges; elsewhere a window must reach ``surge`` characters, or, if none does, be the fullest of the page; later text under the same
+parent as kept text is kept without that. An element is not blanked if the page's only <main>, or its only article with most of the
+text, stands in it, or if its class alone (or <form>) would blank most of the page's text outside links; reader comments stay out.
 
 Defined cases: null and empty pages give an empty text; markup that is cut off or badly nested is read as far as it goes; very long
 pages are read whole; equal pages give equal texts; repeated rows stay repeated; extra columns are ignored. An empty table gives an empty result.
@@ -31,42 +33,86 @@ _VOID = {"hr", "p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot
 _SIDE = {"nav", "aside", "footer", "form", "menu", "dialog"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
 _CLASS = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_SIDE_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menus?|sidebar|aside|ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|notice|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription"
-    r"|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|reply|replies|breadcrumbs?|pagination|pager|search|form|widget|skip|toolbar|disclaimer|footer|topbar|masthead)(?:$|[\s_-])",
+_SIDE_WORD = re.compile(
+    r"(?:nav|navbar|navigation|menus?|sidebar|aside|ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|notice|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription"
+    r"|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|reply|replies|breadcrumbs?|pagination|pager|search|form|widget|skip|toolbar|disclaimer|footer|topbar|masthead)",
     re.I,
 )
-_HEAD_CLASS = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header)(?:$|[\s_-])", re.I)
+_HEAD_CLASS = re.compile(r"(?:^|\s)(?:header|page-header|site-header)(?:$|\s)", re.I)
+_READERS = re.compile(r"(?:comments?|commentlist|disqus|reply|replies)", re.I)
+#: 'has-sidebar' says how a page is laid out; 'cookie-notice' and 'sidebar-left' are what they say.
+_LAYOUT = {"has", "no", "with", "without", "is", "show", "hide", "not"}
+_PLACE = {"area", "left", "right", "section", "box", "bar", "list", "links", "buttons", "container", "block", "top", "bottom", "primary", "secondary", "inner", "unit", "slot", "wrapper"}
+
+
+def _side_words(value: str) -> list[str]:
+    """The words by which a class or id names something that is not the article: a whole token, its head, or what stands at a place."""
+    out = []
+    for token in value.split():
+        parts = [x for x in re.split(r"[_-]+", token) if x]
+        if not parts or (len(parts) > 1 and parts[0].lower() in _LAYOUT):
+            continue
+        if _SIDE_WORD.fullmatch(parts[-1]):
+            out.append(parts[-1])
+        elif len(parts) > 1 and _SIDE_WORD.fullmatch(parts[0]) and parts[-1].lower() in _PLACE:
+            out.append(parts[0])
+    return out
 
 
-def _is_side(name: str, attributes: str, in_article: bool) -> bool:
+def _side_kind(name: str, attributes: str, in_article: bool) -> str:
+    """'' (not set aside), 'element' (by element or role), 'readers' (reader comments), 'form' or 'class'."""
     if name in _SIDE or (name == "header" and not in_article):
-        return True
+        return "form" if name == "form" else "element"
     if name in ("body", "html", "article", "main"):
-        return False
+        return ""
     for kind, value in _CLASS.findall(attributes):
         value = value.strip("\"'")
         if kind.lower() == "role":
             if value.lower() in _ROLES:
-                return True
-        elif _SIDE_CLASS.search(value) or (not in_article and _HEAD_CLASS.search(value)):
-            return True
-    return False
+                return "element"
+        elif words := _side_words(value):
+            return "readers" if any(_READERS.fullmatch(x) for x in words) else "class"
+        elif not in_article and _HEAD_CLASS.search(value):
+            return "class"
+    return ""
+
+
+def _blanked(regions: list[list], lines: list[tuple], surge: float) -> list[bool]:
+    """Which of the elements set aside stay so, now that the lengths of the lines are known."""
+    chars, total, apart = [0] * len(regions), 0, True
+    for _, plain, article, r, _ in lines:
+        total += plain
+        apart = apart and not (article and r < 0)
+        while r >= 0:
+            chars[r] += plain
+            r = regions[r][0]
+    out: list[bool] = []
+    for (parent, kind, articles, mains), n in zip(regions, chars, strict=True):
+        most = 2 * n > total
+        whole = apart and (mains or (articles and (kind == "form" or (most and kind != "readers"))))
+        keep = whole or (kind in ("form", "class") and most and n >= surge)
+        out.append((parent >= 0 and out[parent]) or not keep)
+    return out
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of each block, in page order. Blocks set aside have empty text."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str, surge: float = 86) -> list[tuple[str, int, bool, tuple]]:
+    """(text, characters outside links, inside an article, parent) of each block, in page order. Blocks set aside have empty text."""
+    out: list[tuple[str, int, bool, int, tuple]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, set aside, article
-    link = linked = 0
+    stack: list[tuple[str, int, bool, int]] = []  # element, innermost region set aside, article, number
+    regions: list[list] = []  # outer region, kind, holds an article, holds main
+    link = linked = opened = 0
+    void = ""
 
     def flush() -> None:
         nonlocal linked
-        side, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(("", 0, article) if side else (text, max(len(text) - linked, 0), article))
+            region, article = (stack[-1][1], stack[-1][2]) if stack else (-1, False)
+            above = stack if void else stack[:-1]
+            top = above[-1] if above else ("body", -1, False, -1)
+            own = void or (stack[-1][0] if stack else "")
+            out.append((text, max(len(text) - linked, 0), article, region, (top[3], own if top[0] in ("body", "html") else "")))
         parts.clear()
         linked = 0
 
@@ -99,6 +145,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         flush()
         link = 0
+        void = name if name in _VOID and not closing else ""
         if name in _VOID:
             continue
         if closing:
@@ -107,10 +154,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     del stack[i:]
                     break
         elif not attributes.endswith("/"):
-            side, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            stack.append((name, side or _is_side(name, attributes, article), article or name in ("article", "main")))
+            region, article = (stack[-1][1], stack[-1][2]) if stack else (-1, False)
+            if name in ("article", "main"):
+                r = region
+                while r >= 0:
+                    regions[r][2], regions[r][3], r = True, regions[r][3] or name == "main", regions[r][0]
+            if kind := _side_kind(name, attributes, article):
+                regions.append([region, kind, False, False])
+                region = len(regions) - 1
+            opened += 1
+            stack.append((name, region, article or name in ("article", "main"), opened))
     flush()
-    return out
+    blank = _blanked(regions, out, surge)
+    return [("", 0, article, parent) if r >= 0 and blank[r] else (text, plain, article, parent) for text, plain, article, r, parent in out]
 
 
 def kept_lines(lengths: np.ndarray, window: int, surge: float) -> np.ndarray:
@@ -135,13 +191,19 @@ def kept_lines(lengths: np.ndarray, window: int, surge: float) -> np.ndarray:
 
 
 def main_text(page: str | None, window: int = 3, surge: float = 86) -> str:
-    lines = lines_of(page or "")
-    inside = np.array([a and bool(t) for t, _, a in lines], bool)
+    lines = lines_of(page or "", surge)
+    inside = np.array([a and bool(t) for t, _, a, _ in lines], bool)
     if inside.any():
-        keep = kept_lines(np.where(inside, [len(t) for t, _, _ in lines], 0), window, 1) & inside
+        keep = kept_lines(np.where(inside, [len(t) for t, _, _, _ in lines], 0), window, 1) & inside
     else:
-        keep = kept_lines(np.array([c for _, c, _ in lines], float), window, surge)
-    return "\n".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k and t)
+        keep = kept_lines(np.array([c for _, c, _, _ in lines], float), window, surge)
+        parents = set()
+        for i, (_, plain, _, parent) in enumerate(lines):
+            if keep[i] and plain:
+                parents.add(parent)
+            elif plain and parent in parents:
+                keep[i] = True
+    return "\n".join(t for (t, _, _, _), k in zip(lines, keep, strict=True) if k and t)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, surge: float = 86) -> DataFrame:

@@ -70,6 +70,46 @@ def test_ids_equal_the_tokenizers_library(text):
     assert np.frombuffer(packing.encoder("byte_bpe_50k").encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def _library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return t
+
+
+_SPACES = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+_bits = st.one_of(st.sampled_from(_SPACES), st.sampled_from([" ", "  ", " \xa0 ", "\r\n", "'s", "don't", "é", "12", "$", "\u200b", "\u180e", "🙂", "<|endoftext|>"]), st.text(max_size=3))
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(_bits, max_size=12).map("".join))
+def test_ids_of_any_white_space(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.frombuffer(packing.encoder("byte_bpe_50k").encode(text), "<u4").tolist() == _TOKENS.encode(text, add_special_tokens=False).ids
+
+
+_TOKENS = _library()
+
+
+def test_no_break_spaces():
+    assert np.frombuffer(packing.encoder("byte_bpe_50k").encode("a \xa0 \xa0 b"), "<u4").tolist() == [64, 11504, 275]
+
+
+def test_odd_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "x"), (None, None), (2, ""), (3, "word " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as length", "3 as _id", "4 as _text", "5 as sequence_id", "6 as rank")
+    got = packing.pack_documents(docs, bucket_rows=3).collect()
+    assert [sum(r.length for r in got if r.doc_id == i) for i in (1, 2, None)] == [8, 1, 3]
+    assert sum(r.length for r in got if r.doc_id == 3) == len(_TOKENS.encode(rows[-1][1], add_special_tokens=False).ids) + 1
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    for (s, o, n), (t, p, _) in itertools.pairwise(places):
+        assert (t, p) == (s, o + n) if s == t else p == 0
+    assert all(o + n <= 1024 for _, o, n in places)
+    assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
 def test_whole_operator(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer

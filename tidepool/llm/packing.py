@@ -7,13 +7,14 @@ a short table of bin patterns with multiplicities. Pieces then find their place
 in hashed buckets and put end to end by bucket totals, so that no task holds all pieces of a common length.
 
 Defined cases: a null text is the empty one, whose only token is the end mark; longer documents are cut from the back, so that only
-the first piece may be short; ties are broken by id and piece; repeated rows are packed once each; extra columns are ignored. An empty table gives an
-empty result.
+the first piece may be short; ties are broken by id and piece; repeated rows are packed once each; null ids
+are packed like others; extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +25,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidepool.llm.common import materialize
 
 END = 2
+#: Before a space that stands alone between two characters that no alphabet counts as white space.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Encoder(dict):
     """Text before which a token must begin -> its ids as little-endian bytes; emptied when it reaches ``limit`` entries.
 
-    The vocabulary's pattern never joins a space to what stands before it, so text cut before single spaces has the same ids.
+    A run of white space may be one token or give its last space to the next word, but the vocabulary's pattern never joins a space that
+    stands alone between two other characters to the first of them. Text cut there, and nowhere else, has the same ids.
     """
 
     def __init__(self, vocabulary: str, limit: int = 500_000):
@@ -54,10 +58,7 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "   " in text:  # a run of spaces is one token and the last space joins the next word
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        return self[first] + b"".join(map(self.__getitem__, map(" ".__add__, rest)))
+        return b"".join(map(self.__getitem__, _CUT.split(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}

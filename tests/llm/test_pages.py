@@ -178,9 +178,10 @@ def test_odd_pages():
 def test_archives_round_trip(spark, tmp_path):
     big = "é\r\n\r\nWARC/1.1\r\n" + "x" * 1500
     rows = [(1, "http://a/1", big), (2, None, big), (3, "http://a/3\r\nX: y", big), (3, "http://a/3", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", "y" * 999), (8, "u", "y" * 999), (None, "u", big), (9, "u", "z" * 1000), (10, "u", "z" * 1000)]
+    rows += [(20 + i, "u", "x" * 1200 + end) for i, end in enumerate(("\r\n", "\r", "\r\n\r\n", "\n", "\r\n\r", "\r\r\n\r\n"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as refers_to", "2 as payload_digest", "'x' as _body")
     path = f"file://{tmp_path}/warc"
-    got = warc.archive_pages(pages, path, records_per_archive=2).collect()
+    got = warc.archive_pages(pages, path, records_per_archive=2, date="2024-02-03T04:05:06Z").collect()
     assert len(got) == len(rows)
     for r in got:
         texts = [h or "" for i, _, h in rows if i == r.page_id]
@@ -189,13 +190,29 @@ def test_archives_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("revisit", expected) if expected else ("response", None))
     payloads = warc.read_warc(spark, path).filter("record_type = 'response' and page_id = 3").first().payload
     assert bytes(payloads).decode() == big
+    text = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "warc").glob("*.gz")).decode()
+    assert text.count("WARC-Date: 2024-02-03T04:05:06Z\r\n") == len(rows) and text.count("WARC-Refers-To-Target-URI: ") == 3
+
+
+def test_one_id_with_two_payloads(spark):
+    a, b = "a" * 1500, "b" * 2500
+    pages = spark.createDataFrame([(1, "u", a), (3, "u", a), (3, "u", b), (2, "u", b)], "page_id long, url string, html string")
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()}
+    assert got == {(1, 1500, "revisit", 3), (2, 2500, "revisit", 3), (3, 1500, "response", None), (3, 2500, "response", None)}
+
+
+def test_a_hot_payload(spark):
+    pages = spark.range(3000).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, repeat('h', 1200), concat(id, repeat('x', 1200))) as html")
+    got = warc.archive_pages(pages).groupBy("record_type", "refers_to").count().collect()
+    assert {(r.record_type, r.refers_to, r["count"]) for r in got} == {("revisit", 2997, 999), ("response", None, 2001)}
 
 
 def test_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_gzip_members_and_plain_archives():
-    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    for archive in (one + one, gzip.compress(one) + gzip.compress(one)):
-        assert [p for _, p in warc.records_of(archive)] == [b"abc", b"abc"]
+def test_records_of_any_cut():
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\na\r\n\r\n\r\nbc\r\n\r\n"
+    assert [p for _, p in warc.records_of((one + one).split(b"\r\n\r\n")[:-1])] == [b"a\r\n\r\n\r\nbc"[:9]] * 2
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records_of([b"WARC/1.1\r\nContent-Length: 99", b"x"]))

@@ -7,6 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a new temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset and the master is local (tests) a new temporary one."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-tidepool-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -101,3 +104,45 @@ def bitmap_of(df: DataFrame, column: str | None = None, position: Column | None
         start = (row["block"] - 1) * len(part)
         out.packed[start : start + len(part)] |= part
     return out
+
+
+#: Sizes of the filters of ``without``, in bits: 16 a key, within these bounds (512 KB to 16 MB).
+FEWEST_BITS, MOST_BITS = 1 << 22, 1 << 27
+
+
+def _filter_of(keys: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """A one-row table of bits (longs), to be broadcast, and the condition under which a row's key may be among ``keys``."""
+    n = keys.count()
+    size = min(max(FEWEST_BITS, 1 << max(16 * n - 1, 1).bit_length()), MOST_BITS)
+    at = F.pmod(F.xxhash64(*columns), F.lit(size))
+    words = np.packbits(bitmap_of(keys, position=at, size=size).bits(), bitorder="little").view(np.int64)
+    table = keys.sparkSession.createDataFrame(pa.table({"_bits": pa.array([words], pa.list_(pa.int64()))}))
+    return F.broadcast(table), F.getbit(F.get("_bits", F.floor(at / 64).cast("int")), at % 64) == 1
+
+
+def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``rows`` whose ``columns`` don't occur in ``gone``; null keys stay. Wide rows stay where they are.
+
+    Rows that miss a bitmap of the keys pass. Of those that hit it only the keys are shuffled, to find the few that hit by chance; a
+    second bitmap picks these, and only rows that hit both meet the exact keys. Where the keys are too many for the largest bitmap it
+    lets more rows through to that join; results are the same.
+    """
+    gone = materialize(gone.select(*columns).distinct(), "gone")
+    bits, hit = _filter_of(gone, columns)
+    passing, maybe = rows.join(bits, hit, "left_anti"), rows.join(bits, hit, "left_semi")
+    chance = materialize(maybe.select(*columns).join(gone, columns, "left_anti").distinct(), "chance")
+    bits, hit = _filter_of(chance, columns)
+    return passing.unionByName(maybe.join(bits, hit, "left_semi").join(gone, columns, "left_anti").select(*rows.columns))
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 64, part: int = 1000) -> DataFrame:
+    """``big`` joined with ``small`` (unique by ``keys``), however many rows of ``big`` one key has.
+
+    Keys with more than 1 / ``part`` of the rows of ``big`` are hot; there are fewer than ``part`` of them, so they are broadcast. A hot
+    key's rows are dealt over ``salts`` tasks by the hash of ``spread``, and its row of ``small`` is repeated for each.
+    """
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).filter(F.col("_n") * part > F.col("_all")).select(*keys, F.lit(True).alias("_hot"))
+    left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

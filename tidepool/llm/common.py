@@ -120,6 +120,12 @@ def _filter_of(keys: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
     return F.broadcast(table), F.getbit(F.get("_bits", F.floor(at / 64).cast("int")), at % 64) == 1
 
 
+def by_filter(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``columns`` don't occur in ``keys`` for sure, and those that a bitmap lets through. No shuffle of ``rows``."""
+    bits, hit = _filter_of(keys, columns)
+    return rows.join(bits, hit, "left_anti"), rows.join(bits, hit, "left_semi")
+
+
 def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``rows`` whose ``columns`` don't occur in ``gone``; null keys stay. Wide rows stay where they are.
 
@@ -128,21 +134,25 @@ def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     lets more rows through to that join; results are the same.
     """
     gone = materialize(gone.select(*columns).distinct(), "gone")
-    bits, hit = _filter_of(gone, columns)
-    passing, maybe = rows.join(bits, hit, "left_anti"), rows.join(bits, hit, "left_semi")
+    passing, maybe = by_filter(rows, gone, columns)
     chance = materialize(maybe.select(*columns).join(gone, columns, "left_anti").distinct(), "chance")
-    bits, hit = _filter_of(chance, columns)
-    return passing.unionByName(maybe.join(bits, hit, "left_semi").join(gone, columns, "left_anti").select(*rows.columns))
+    return passing.unionByName(by_filter(maybe, chance, columns)[1].join(gone, columns, "left_anti").select(*rows.columns))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", part: int = 1000) -> DataFrame:
+    """The keys that have more than 1 / ``part`` of all rows, of which there are fewer than ``part``. ``counts``: keys and their rows ``n``."""
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum(n).alias("_all")))).filter(F.col(n) * part > F.col("_all")).select(*keys)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 64, part: int = 1000) -> DataFrame:
-    """``big`` joined with ``small`` (unique by ``keys``), however many rows of ``big`` one key has.
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 64, hot: DataFrame | None = None) -> DataFrame:
+    """``big`` joined with ``small``, however many rows of ``big`` one key has.
 
-    Keys with more than 1 / ``part`` of the rows of ``big`` are hot; there are fewer than ``part`` of them, so they are broadcast. A hot
-    key's rows are dealt over ``salts`` tasks by the hash of ``spread``, and its row of ``small`` is repeated for each.
+    ``hot``: the ``hot_keys`` of ``big``, counted here if not given; a bounded number, so they are broadcast. A hot key's rows are dealt
+    over ``salts`` tasks by the hash of ``spread``, and its rows of ``small`` (few to a key) are repeated for each.
     """
-    counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).filter(F.col("_n") * part > F.col("_all")).select(*keys, F.lit(True).alias("_hot"))
+    if hot is None:
+        hot = hot_keys(big.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    hot = hot.select(*keys).distinct().withColumn("_hot", F.lit(True))
     left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -1,13 +1,15 @@
-"""Removal of text that repeats across a corpus, by hashing small units of lines.
+"""Removal of text that repeats across a corpus, by hashing lines and pieces of lines.
 
-A text is tiled with units: a unit ends at a line break, at a sentence mark, or after a word whose hash has its low four bits clear, so
-that the same passage is cut at the same places wherever it stands, even in the middle of a line. Units are normalised (ASCII case,
-punctuation and white space), digested, and digests grouped globally with pre-aggregation; each digest's earliest occurrence, by
-document id and position, is kept. Other occurrences that follow each other in a document form runs; runs of at least ``min_words``
-words are removed. Spans are offsets (code points) into the original text.
+The unit is the line. So that passages are also found where they start or end within a line, a line is divided further, at sentence
+marks and after words whose hash has its low three bits clear: equal lines are divided alike, and the same passage is cut at the same
+places wherever it stands. Units are normalised (ASCII case, punctuation and white space), digested, and digests grouped globally with
+pre-aggregation; each digest's earliest occurrence, by document id and position, is kept. Other occurrences that follow each other in a
+document form runs; runs of at least ``min_words`` words, at least half of them in units of ``telling`` words or more, are removed, so
+that a chain of short phrases each of which is common is no repeat. Spans are offsets (code points) into the original text.
 
 Defined cases: null and empty texts have no units and stay as they are; very long texts are read whole; documents with equal ids count
-as one document, whose occurrences never remove each other; rows with a null id are left alone; extra columns pass through. Within one document later repeats go too.
+as one document, whose occurrences never remove each other, but a span belongs to the text it was found in (id and digest of the text);
+repeated rows are cut alike; rows with a null id are left alone; extra columns pass through. Within one document later repeats go too.
 An empty table gives an empty result.
 """
 
@@ -19,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepool.llm.common import HASHES, Bitmap, WordHashes, bitmap_of, materialize, scramble
+from tidepool.llm.common import HASHES, Bitmap, WordHashes, bitmap_of, by_filter, hot_keys, materialize, salted_join, scramble
 
 _NORMAL = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
 _MARK = np.zeros(256, bool)
 _MARK[[10, 33, 46, 63]] = True
-_ANCHOR = np.uint64(15)
+_ANCHOR = np.uint64(7)
 _FACTORS = scramble(np.arange(1, 1 << 12, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -62,15 +64,14 @@ def units_of(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
 
 
 def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, unit, start, stop, words, digest, again (the document has the digest earlier); one row per unit."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    """_id, _doc (hash of the text), unit, start, stop, words, digest, again (the text has the digest earlier); one row per unit."""
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_doc"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                ids = batch.column(0).slice(at, 500)
-                got = [units_of(x.as_py(), HASHES) for x in batch.column(1).slice(at, 500)]
+                got = [units_of(x.as_py(), HASHES) for x in batch.column(2).slice(at, 500)]
                 sizes = np.array([len(g[0]) for g in got])
                 if not sizes.sum():
                     continue
@@ -78,37 +79,46 @@ def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 unit = np.concatenate([np.arange(k) for k in sizes])
                 again = np.ones(len(unit), bool)
                 again[np.concatenate([at_ + np.unique(g[3], return_index=True)[1] for at_, g in zip(np.cumsum([0, *sizes[:-1]]), got, strict=True)])] = False
+                row = pa.array(np.repeat(np.arange(at, at + len(got)), sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.repeat(np.arange(len(got)), sizes))), *(pa.array(x.astype(np.int32)) for x in (unit, start, stop, words)), pa.array(digest.view(np.int64)), pa.array(again)],
-                    names=["_id", "unit", "start", "stop", "words", "digest", "again"],
+                    [*(batch.column(i).take(row) for i in (0, 1)), *(pa.array(x.astype(np.int32)) for x in (unit, start, stop, words)), pa.array(digest.view(np.int64)), pa.array(again)],
+                    names=["_id", "_doc", "unit", "start", "stop", "words", "digest", "again"],
                 )
 
-    return rows.mapInArrow(run, f"_id {kind}, unit int, start int, stop int, words int, digest bigint, again boolean")
+    return rows.mapInArrow(run, f"_id {kind}, _doc bigint, unit int, start int, stop int, words int, digest bigint, again boolean")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """One row per removed run: id, start, stop, n_units, n_words, and kept_id: the document that keeps its first unit (itself, if it has the unit earlier).
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, telling: int = 5) -> DataFrame:
+    """One row per removed run: id, start, stop, n_units, n_words, and kept_id: the document that keeps its first unit (itself, if it has the unit earlier)."""
+    return _spans(docs, id_col, text_col, min_words, telling).drop("_doc").distinct()
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int, telling: int) -> DataFrame:
+    """``repeated_spans`` with _doc.
 
     Shuffled are narrow rows only: a document's first units by digest, pre-aggregated to the least id; those whose digest several
-    documents have (by a fixed-size bitmap first), to meet that id in a join that AQE may split where a digest is hot; then repeated
+    documents have (by a fixed-size bitmap first), to meet that id in a join that deals hot digests over many tasks; then repeated
     units by document.
     """
     units = materialize(text_units(docs, id_col, text_col), "units")
     firsts = units.filter("not again")
-    seen = materialize(firsts.groupBy("digest").agg(F.min("_id").alias("kept_id"), F.max("_id").alias("last")).filter("kept_id < last").select("digest", "kept_id"), "repeated")
+    seen = materialize(firsts.groupBy("digest").agg(F.min("_id").alias("kept_id"), F.max("_id").alias("last"), F.count("*").alias("n")).filter("kept_id < last").select("digest", "kept_id", "n"), "repeated")
     candidates = _passing(firsts, bitmap_of(seen, position=F.col("digest").bitwiseAND(F.lit(DIGEST_BITS - 1)), size=DIGEST_BITS))
-    later = candidates.join(seen, "digest").filter(F.col("_id") > F.col("kept_id")).select("_id", "unit", "start", "stop", "words", "kept_id")
-    inside = units.filter("again").select("_id", "unit", "start", "stop", "words", F.col("_id").alias("kept_id"))
-    repeats = later.unionByName(inside).repartition("_id").dropDuplicates(["_id", "unit", "start", "stop"])
-    runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(Window.partitionBy("_id").orderBy("unit")))
-    spans = runs.groupBy("_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min_by("kept_id", "unit").alias("kept_id")
-    )
-    return spans.filter(F.col("n_words") >= min_words).select(F.col("_id").alias(id_col), "start", "stop", "n_units", "n_words", "kept_id")
+    met = salted_join(candidates, seen.drop("n"), ["digest"], F.col("_id"), hot=hot_keys(seen, ["digest"]))
+    later = met.filter(F.col("_id") > F.col("kept_id")).select("_id", "_doc", "unit", "start", "stop", "words", "kept_id")
+    inside = units.filter("again").select("_id", "_doc", "unit", "start", "stop", "words", F.col("_id").alias("kept_id"))
+    text = ["_id", "_doc"]
+    repeats = later.unionByName(inside).repartition(*text).dropDuplicates([*text, "unit", "start", "stop"])
+    runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(Window.partitionBy(*text).orderBy("unit")))
+    spans = runs.groupBy(*text, "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min_by("kept_id", "unit").alias("kept_id"),
+        F.sum(F.when(F.col("words") >= telling, F.col("words")).otherwise(0)).alias("told"),
+    )
+    return spans.filter((F.col("n_words") >= min_words) & (2 * F.col("told") >= F.col("n_words"))).select(F.col("_id").alias(id_col), "_doc", "start", "stop", "n_units", "n_words", "kept_id")
 
 
 #: Bits of the fixed-size filter of repeated digests.
-DIGEST_BITS = 1 << 24
+DIGEST_BITS = 1 << 26
 
 
 def _passing(units: DataFrame, wanted: Bitmap) -> DataFrame:
@@ -117,18 +127,20 @@ def _passing(units: DataFrame, wanted: Bitmap) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.bits()
         for batch in batches:
-            yield batch.filter(pa.array(bits[batch.column(5).to_numpy() & (wanted.size - 1)]))
+            yield batch.filter(pa.array(bits[batch.column(6).to_numpy() & (wanted.size - 1)]))
 
     kinds = dict(units.dtypes)
-    columns = ["_id", "unit", "start", "stop", "words", "digest"]
+    columns = ["_id", "_doc", "unit", "start", "stop", "words", "digest"]
     return units.select(*columns).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, length_col: str | None = None) -> DataFrame:
-    """``docs`` with the repeated spans cut out of the text; ``length_col``, if given, gets the new length."""
-    spans = repeated_spans(docs, id_col, text_col, min_words).groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_row"))
-    joined = rows.join(spans, "_id", "left")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, length_col: str | None = None, telling: int = 5) -> DataFrame:
+    """``docs`` with the repeated spans cut out of the text; ``length_col``, if given, gets the new length. Only rows that may have spans are shuffled."""
+    spans = _spans(docs, id_col, text_col, min_words, telling).groupBy(F.col(id_col).alias("_id"), "_doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    spans = materialize(spans, "spans")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_doc"), F.struct(*docs.columns).alias("_row"))
+    passing, maybe = by_filter(rows, spans, ["_id", "_doc"])
+    joined = maybe.join(spans, ["_id", "_doc"], "left")
     text = F.col("_row").getField(text_col)
     starts = F.concat(F.array(F.lit(0)), F.col("_spans.stop"))
     stops = F.concat(F.col("_spans.start"), F.array(F.length(text)))
@@ -136,4 +148,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = F.col("_row").withField(text_col, F.array_join(parts, ""))
     if length_col:
         cut = cut.withField(length_col, F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x)).cast(dict(docs.dtypes)[length_col]))
-    return joined.select(F.when(F.col("_spans").isNull(), F.col("_row")).otherwise(cut).alias("_row")).select("_row.*")
+    changed = joined.select(F.when(F.col("_spans").isNull(), F.col("_row")).otherwise(cut).alias("_row"))
+    return passing.select("_row").unionByName(changed).select("_row.*")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepool.llm.common import materialize
+from tidepool.llm.common import hot_keys, materialize, salted_join, without
 from tidepool.llm.doc_stats import document_stats, labelled_features
 
 
@@ -76,8 +76,8 @@ def _logit(p: Column) -> Column:
 def quality_bayes(docs: DataFrame, labels: DataFrame, model: Logistic, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.5) -> DataFrame:
     """Per document: id, host, path, p_doc, site_rate (of its path, without itself), posterior, kept.
 
-    Only narrow rows (id, site, one number) are shuffled. Site tables are joined by host and path after pre-aggregation; the number of
-    sites may grow with the data, so they are neither collected nor forcibly broadcast. The driver gets two scalars.
+    Only narrow rows (id, site, one number) are shuffled. Site tables are joined by host and path after pre-aggregation, a
+    hot site's documents over many tasks; the number of sites may grow with the data, so they are neither collected nor forcibly broadcast. The driver gets two scalars.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("_text"))
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("double").alias("_y"))
@@ -94,7 +94,7 @@ def quality_bayes(docs: DataFrame, labels: DataFrame, model: Logistic, host: Col
     sites = paths.join(host_rates, "host")
     k_path = _strength(sites, F.col("host_rate"))
 
-    own = rows.join(sites, ["host", "path"])
+    own = salted_join(rows, sites, ["host", "path"], F.col("_id"), hot=hot_keys(paths, ["host", "path"]))
     site = (F.col("s") - F.col("e") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path)
     own = own.select("_id", "host", "path", "p_doc", site.alias("site_rate"))
     odds = _logit(F.col("p_doc")) + _logit(F.col("site_rate")) - _logit(F.lit(rate))
@@ -105,5 +105,4 @@ def quality_bayes(docs: DataFrame, labels: DataFrame, model: Logistic, host: Col
 
 def keep_quality(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that ``scored`` rejects, all columns kept; rows with a null id stay."""
-    rejected = scored.filter(~F.col("kept")).select(id_col).hint("shuffle_hash")
-    return docs.join(rejected, id_col, "left_anti").select(*docs.columns)
+    return without(docs, scored.filter(~F.col("kept")).select(id_col), [id_col])

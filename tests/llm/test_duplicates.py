@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tidepool.llm import components, decontamination, jaccard_join, substring_dedup
-from tidepool.llm.common import HASHES, bitmap_of
+from tidepool.llm.common import HASHES, bitmap_of, salted_join, without
 
 
 def docs_of(spark, rows):
@@ -128,6 +128,27 @@ def test_chains_connect(spark):
     assert got == {i: 0 if i <= 30 else 31 for i in range(61)}
 
 
+def test_a_hub_connects(spark):
+    links = spark.range(1, 3000).selectExpr("0 as a", "id as b").union(spark.createDataFrame([(5000, 5001), (5001, 2000)], "a long, b long"))
+    assert components.components(links).groupBy("label").count().collect() == [(0, 3002)]
+
+
+def test_rows_without_keys(spark):
+    rows = spark.createDataFrame([(i % 50 if i % 7 else None, str(i)) for i in range(400)], "k long, text string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 60, 2)] + [(None,), (4,)], "k long")
+    got = sorted(r.text for r in without(rows, gone, ["k"]).collect())
+    assert got == sorted(str(i) for i in range(400) if i % 7 == 0 or i % 50 % 2)
+    assert without(rows, gone.limit(0), ["k"]).count() == 400 and without(rows.limit(0), gone, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_joins_are_joins(spark, how):
+    big = spark.range(3000).selectExpr("if(id % 3 = 0, 1, id) as k", "id")
+    small = spark.range(0, 3000, 2).selectExpr("id as k", "id * 2 as v").union(spark.createDataFrame([(1, 7)], "k long, v long"))
+    want = Counter(map(tuple, big.join(small, "k", how).select("k", "id", "v").collect()))
+    assert Counter(map(tuple, salted_join(big, small, ["k"], big.id, how, salts=5).select("k", "id", "v").collect())) == want
+
+
 def test_bitmap_has_every_value(spark):
     df = spark.range(0, 3000, 3)
     bitmap = bitmap_of(df, "id", size=1 << 16)
@@ -157,6 +178,34 @@ def test_a_passage_is_kept_once(spark):
     assert sum("supper stood on the table" in (t or "").lower() for i, t in kept if i is not None) == 1
 
 
+def test_one_id_with_two_texts(spark):
+    """The second text repeats nothing, so nothing is cut from it."""
+    rng = random.Random(5)
+    other = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60))
+    docs = docs_of(spark, [(3, PASSAGE), (8, f"x y z {PASSAGE}"), (8, other)])
+    assert sorted(r.text for r in substring_dedup.remove_repeats(docs).collect() if r.doc_id == 8 and len(r.text) > 60) == [other]
+
+
+def test_passages_within_lines_are_found_whatever_stands_around_them(spark):
+    rng = random.Random(6)
+    words = lambda n: [rng.choice("abcdefghijkl") + "".join(rng.choice("aeioust") for _ in range(rng.randrange(1, 8))) for _ in range(n)]
+    rows, passages = [], []
+    for i in range(120):
+        passages.append(words(60))
+        rows += [(2 * i, " ".join(words(30) + passages[-1] + words(30))), (2 * i + 1, " ".join(words(17) + passages[-1] + words(9)))]
+    docs = docs_of(spark, rows)
+    cut = {r.doc_id: len(r.text.split()) for r in substring_dedup.remove_repeats(docs).collect()}
+    found = [i for i in range(120) if cut[2 * i + 1] < 86]
+    assert len(found) >= 118 and all(cut[2 * i] == 120 for i in range(120))
+    assert sum(86 - cut[2 * i + 1] for i in found) > 0.75 * 60 * len(found)
+
+
+def test_a_hot_unit(spark):
+    """One line in every document: hot digests are dealt over many tasks, with the same result."""
+    docs = docs_of(spark, [(i, f"own{i} words\n{PASSAGE}\nand{i} more") for i in range(2500)])
+    assert {r.doc_id for r in substring_dedup.repeated_spans(docs).collect()} == set(range(1, 2500))
+
+
 def test_units_tile_the_text():
     text = "  Él dijo: no! Sí. " + "word " * 400 + "\n\n¡fin! x"
     start, stop, words, digest = substring_dedup.units_of(text, HASHES)
@@ -177,7 +226,8 @@ def test_spans_equal_brute_force(spark, sf):
             if u < len(digest) and first[int(digest[u])] != (i, u):
                 run.append(u)
             elif run:
-                if words[run].sum() >= 20:
+                told = sum(words[x] for x in run if words[x] >= 5)
+                if words[run].sum() >= 20 and 2 * told >= words[run].sum():
                     expect[i, int(start[run[0]]), int(stop[run[-1]]), int(words[run].sum())] += 1
                 run = []
     got = Counter((r.doc_id, r.start, r.stop, r.n_words) for r in substring_dedup.repeated_spans(spark.read.parquet(f"{sf}/documents.parquet")).collect())
@@ -195,15 +245,84 @@ def leaks_of(spark, texts, items=((7, ITEM),)):
 def test_leaks_exact_reparameterised_and_inconsistent(spark):
     renamed = ITEM.replace("Anna", "Clara").replace("Boris", "Dmitri").replace("12", "40").replace("5", "9").replace("km", "miles")
     mixed = "Anna has 12 apples and gives 5 apples to Boris on Monday. How many apples does Clara have left after she has walked 3 km with Anna?"
-    texts = [f"some words before {ITEM} and after", renamed, mixed, "nothing to see here", None, "", "word " * 30000 + ITEM]
-    assert leaks_of(spark, texts) == {(0, 7): "exact", (1, 7): "reparameterised", (6, 7): "exact"}
+    longer = ITEM.replace("Anna", "Anna Maria").replace("12", "twenty five").replace("Boris", "Old Boris Petrov")
+    texts = [f"some words before {ITEM} and after", renamed, mixed, "nothing to see here", None, "", "word " * 30000 + ITEM, longer, ITEM.replace("5 apples", "x apples"), ITEM.replace("12", "3")]
+    assert leaks_of(spark, texts) == {(0, 7): "exact", (1, 7): "reparameterised", (6, 7): "exact", (7, 7): "reparameterised", (8, 7): "partial", (9, 7): "reparameterised"}
+
+
+def test_equal_numbers_may_get_different_values(spark):
+    item = "Tom has 2 apples in the basket and buys 2 pears at the market before he gives 3 plums away."
+    texts = [item.replace("2 apples", "5 apples").replace("2 pears", "4 pears"), item.replace("3", "2"), item.replace("2", "9").replace("3", "9")]
+    assert leaks_of(spark, texts, [(1, item)]) == dict.fromkeys([(0, 1), (1, 1), (2, 1)], "reparameterised")
 
 
 def test_items_that_say_nothing_are_skipped(spark):
-    assert leaks_of(spark, ["1 2 3", "Anna", "a b", None], [(1, "4 5 6"), (2, "Boris"), (3, None), (4, ""), (5, "a b")]) == {}
+    assert leaks_of(spark, ["1 2 3", "Anna", "a b", "4 5 6 7", None], [(1, "4 5 6"), (2, "Boris"), (3, None), (4, ""), (5, "a b")]) == {}
     assert leaks_of(spark, ["x plain words only here y"], [(1, "plain words only here"), (1, "plain words only here")]) == {(0, 1): "exact"}
 
 
+def test_items_of_few_plain_words_match_as_they_are(spark):
+    assert leaks_of(spark, ["so 12 + 7 = Anna Berta 19 it is", "so 12 + 8 = Anna Berta 19 it is"], [(1, "12 plus 7"), (2, "7 = Anna Berta 19")]) == {(0, 2): "exact"}
+
+
+def _leaks_by_definition(texts, items, k=8, least=4, share=0.5, agree=0.6):
+    out = {}
+    for d, text in enumerate(texts):
+        for item, body in items:
+            tokens, template = decontamination.template_of(text, decontamination.Canon())
+            own, g = decontamination.template_of(body, decontamination.Canon())
+            slot = decontamination.is_slot(g)
+            h = template
+            if (~slot).sum() < least:
+                (own, g), (tokens, h) = decontamination.words_of(body), decontamination.words_of(text)
+                slot = np.zeros(len(g), bool)
+                if len(g) < least:
+                    continue
+            size = min(k, len(g))
+            starts = sorted({*range(0, len(g) - size, size), len(g) - size})
+            starts = [a for a in starts if 2 * (~slot[a : a + size]).sum() >= size] or starts
+            matched, equal = set(), True
+            for shift in range(-len(g), len(h)):
+                here = [a for a in starts if a + shift >= 0 and a + shift + size <= len(h) and (h[a + shift : a + shift + size] == g[a : a + size]).all()]
+                values: dict = {}
+                same = True
+                for a in here:
+                    for i in range(a, a + size):
+                        if slot[i]:
+                            number = g[i] == decontamination.NUM
+                            role = (own[i], int(g[i]), int(g[i + 1]) if number and i + 1 < len(g) else None)
+                            values.setdefault(role, {})[i] = tokens[i + shift]
+                            same &= own[i] == tokens[i + shift]
+                many = [list(x.values()) for x in values.values() if len(x) > 1]
+                if here and sum(max(Counter(v).values()) for v in many) >= agree * sum(map(len, many)):
+                    matched |= set(here)
+                    equal &= same
+            if matched and len(matched) >= share * len(starts):
+                out[d, item] = "reparameterised" if not equal else "exact" if len(matched) == len(starts) else "partial"
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["Anna", "Boris", "Clara", "12", "7", "3", "km", "apples", "pears", "has", "gives", "walks", "left", "shop", "red", "big"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([6, 9, 14, 20])))) for i in range(25)]
+    texts = []
+    for _, body in items * 3:
+        w = body.split()
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join([*(word() for _ in range(5)), *w, *(word() for _ in range(5))]))
+    want = _leaks_by_definition(texts, items)
+    assert leaks_of(spark, texts, items) == want and len(set(want.values())) == 3
+
+
+def test_leaks_of_odd_tables(spark):
+    docs = docs_of(spark, [(1, ITEM), (1, ITEM), (None, ITEM), (2, None)])
+    items = spark.createDataFrame([(7, ITEM), (7, ITEM), (None, ITEM), (8, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.kind) for r in decontamination.leaks(docs, items).collect()] == [(1, 7, "exact")]
+    assert decontamination.leaks(docs.limit(0), items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
+
+
 def test_dropping_leaks_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
     found = spark.createDataFrame([(1, 5), (1, 6)], "doc_id long, item_id long")

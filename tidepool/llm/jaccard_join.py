@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepool.llm.common import HASHES, Bitmap, WordHashes, bitmap_of, materialize, scramble, windows
+from tidepool.llm.common import HASHES, Bitmap, WordHashes, bitmap_of, hot_keys, materialize, salted_join, scramble, windows, without
 from tidepool.llm.components import components
 
 #: Numbers of 64 bits in a signature: two bits a shingle, at least LEAST and in tiles at most MOST of them; powers of two.
@@ -286,16 +286,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = classes.select(F.col("rep").alias("_id"), "n", "d1", "d2")
     # Most prefix shingles are one class's own. The hashes that several ids have make a bitmap, by which the rest is dropped before
     # the rows of the others are shuffled to meet them and the classes' representatives.
-    several = materialize(usable.select("_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("_id").alias("x"), F.max("_id").alias("y")).filter("x < y").select("h"), "several")
+    several = materialize(usable.select("_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("_id").alias("x"), F.max("_id").alias("y"), F.count("*").alias("n")).filter("x < y").select("h", "n"), "several")
+    hot, several = materialize(hot_keys(several, ["h"]), "hot"), several.select("h")  # a bounded number of shingles, whose rows are dealt over many tasks
     rows = postings(usable, bitmap_of(several, position=F.col("h").bitwiseAND(F.lit(POSTING_BITS - 1)), size=POSTING_BITS))
     # Repeated rows count once (the join has dealt them by what tells them apart): two copies would cancel out of the XOR below.
-    rows = rows.join(several, "h").join(reps, ["_id", "n", "d1", "d2"], "left_semi").select("h", "_id", "n", "d1", "d2").distinct()
+    rows = salted_join(rows, several, ["h"], F.col("_id"), hot=hot).join(reps, ["_id", "n", "d1", "d2"], "left_semi").select("h", "_id", "n", "d1", "d2").distinct()
     # A shared passage gives many shingles to the same documents: of shingles with the same members (by their number, ends and
     # two combined hashes) one is kept, since the others would compare the same pairs.
     mixes = [F.bit_xor(F.xxhash64(*c)).alias(x) for x, c in (("mix", ("_id", "n", "d1", "d2")), ("mix2", ("d2", "d1", "n", "_id")))]
     members = rows.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("c"), *mixes).filter("lo < hi")
     ends = members.groupBy("lo", "hi", "c", "mix", "mix2").agg(F.min("h").alias("h")).select("h", "lo", "hi")
-    shared = materialize(rows.join(ends, "h"), "shared")
+    shared = materialize(salted_join(rows, ends, ["h"], F.col("_id"), hot=hot), "shared")
     sigs = usable.select("_id", "n", "d1", "d2", "sig", "wide")
 
     none = shared.select(F.col("_id").alias("node"), F.col("_id").alias("label")).limit(0)
@@ -312,23 +313,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     known = shared.join(labels, F.col("_id") == F.col("node"), "left").select("h", "_id", "n", "d1", "d2", F.coalesce("label", "_id").alias("label"))
     mixed = known.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
-    open_ = materialize(known.join(mixed, "h"), "open")
+    open_ = materialize(salted_join(known, mixed, ["h"], F.col("_id"), hot=hot), "open")
     if open_.limit(1).count():
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("long")
         rows = open_.withColumn("band", band).select("*", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("lower")), F.struct((F.col("band") + 1).alias("tile"), F.lit(True).alias("lower")))).alias("t"))
         rows = rows.select("h", "_id", "n", "d1", "d2", "label", "t.tile", "t.lower")
         sizes = rows.groupBy("h", "tile").agg(F.count("*").alias("rows"), F.min("label").alias("x"), F.max("label").alias("y"), F.bool_and("lower").alias("low")).filter("x < y and not low")
-        rows = rows.join(sizes.select("h", "tile", F.ceil(F.col("rows") / chunk_rows).cast("int").alias("q")), ["h", "tile"])
+        sizes = materialize(sizes.select("h", "tile", F.col("rows").alias("n"), F.ceil(F.col("rows") / chunk_rows).cast("int").alias("q")), "sizes")
+        rows = salted_join(rows, sizes.drop("n"), ["h", "tile"], F.col("_id"), hot=hot_keys(sizes, ["h", "tile"]))
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_id"), F.col("q")).cast("int")).join(sigs.select("_id", "n", "d1", "d2", "sig").dropDuplicates(["_id", "n", "d1", "d2"]), ["_id", "n", "d1", "d2"])
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other"))
         rows = rows.select("h", "tile", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "lower", "chunk", "_id", "n", "label", "sig")
         new = verified(tile_pairs(rows, percent), sigs, docs, k, percent)
         labels = components(links.unionByName(new))
 
-    copies = classes.filter("copies > 1").select("n", "d1", "d2", "rep")
-    rows = table.select("_id", "n", "d1", "d2").join(copies, ["n", "d1", "d2"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("_id").isNotNull(), F.coalesce("rep", "_id")).otherwise(F.col("_id")))
-    out = rows.join(labels, F.col("rep") == F.col("node"), "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    copies = classes.filter("copies > 1").select("n", "d1", "d2", "rep", "copies")
+    rows = salted_join(table.select("_id", "n", "d1", "d2"), copies.drop("copies"), ["n", "d1", "d2"], F.col("_id"), "left", hot=hot_keys(copies, ["n", "d1", "d2"], "copies"))
+    rows = rows.select("_id", "n", F.when((F.col("n") > 0) & F.col("_id").isNotNull(), F.coalesce("rep", "_id")).otherwise(F.col("_id")).alias("node"))
+    out = salted_join(rows, labels, ["node"], F.col("_id"), "left", hot=hot_keys(copies.withColumnRenamed("rep", "node"), ["node"], "copies"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -340,5 +343,4 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id; all columns kept, rows with a null id stay."""
-    rest = found.filter(F.col("component_id") != F.col(id_col)).select(id_col)
-    return docs.join(rest.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+    return without(docs, found.filter(F.col("component_id") != F.col(id_col)).select(id_col), [id_col])

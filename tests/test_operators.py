@@ -211,3 +211,70 @@ def test_level_chunks():
     assert parts[1][7].split()[:11] == parts[0][7].split()[-22:-11], "two sentences overlap"
     assert [r[4] for r in chunking.level_rows(1, "1. One\nx\n1.1. Two\ny")] == [1, 2]
     assert chunking.level_rows(1, "") == [] and chunking.level_rows(1, "plain words " * 6)[0][5] == "group"
+
+
+# --- whole retrievals and what queries are turned into --------------------------------------------------------------------------
+
+
+def test_requests_without_hits_say_so(spark):
+    from tidepool.operators import pipelines
+
+    requests = spark.createDataFrame([(1, "explain widgets", [1.0, 0.0]), (2, "nothing", [0.0, 1.0])], "query_id long, query string, embedding array<float>")
+    chunks = spark.createDataFrame([(5, "All about widgets", [1.0, 0.1]), (6, None, [0.5, 0.5])], "doc_id long, content string, embedding array<float>")
+    entities = spark.createDataFrame([(1, "Widgets", "thing", 3), (2, "Gadget", "thing", None)], "id long, name string, type string, frequency long")
+    edges = spark.createDataFrame([(1, 2, 0.9)], "src long, dst long, weight double")
+    got = pipelines.answer_requests(requests, chunks, entities, edges).collect()
+    first = {r.source: r.content for r in got if r.query_id == 1 and r.final_rank <= 2}
+    assert first["vector"] == "All about widgets" and "Entity: Widgets (Type: thing)" in {r.content for r in got if r.query_id == 1}
+    assert "Entity: Gadget (Type: thing)" in {r.content for r in got if r.query_id == 1}, "one hop from the entity named"
+    empty = pipelines.answer_requests(requests, chunks.limit(0), entities.limit(0), edges.limit(0)).collect()
+    assert {(r.query_id, r.source, r.final_rank, r.content) for r in empty} == {(i, "system", 1, pipelines.NO_RESULTS) for i in (1, 2)}
+
+
+def test_queries_in_blocks_find_the_same(spark):
+    from tidepool.operators.retrieval import vector_top_k
+
+    vectors = spark.range(60).selectExpr("id as doc_id", "array(cast(id % 7 as float), cast(id % 5 as float), 1f) as embedding")
+    asked = vectors.selectExpr("doc_id as query_id", "embedding as query")
+    rows = lambda block: sorted(map(tuple, vector_top_k(vectors, asked, 3, block=block).select("query_id", "doc_id", "rank").collect()))
+    assert rows(7) == rows(1000) and len(rows(7)) == 180
+
+
+def test_enhanced_retrieval_takes_the_best_of_the_parts(spark):
+    from tidepool.operators import pipelines
+    from tidepool.operators.config import FusionConfig
+
+    requests = spark.createDataFrame([(1, "alpha then beta before gamma and delta?", [1.0, 0.0])], "query_id long, query string, embedding array<float>")
+    docs = spark.createDataFrame([(1, "alpha alpha"), (2, "beta words"), (3, "delta"), (4, "none")], "doc_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<float>")
+    ages = docs.selectExpr("doc_id", "'values' as doc_type", "0 as age_days")
+    got = pipelines.retrieve_enhanced(requests, vectors, docs, ages, FusionConfig()).orderBy("final_rank").collect()
+    assert [r.doc_id for r in got][0] == 1 and {r.doc_id for r in got} == {1, 2, 3}
+    best = 0.4 / 61 + 0.3 / 61
+    assert abs(got[0].score - (0.7 * best + 0.3)) < 1e-6
+
+
+def test_variations_and_reasoning(spark):
+    from pyspark.sql import functions as F
+
+    from tidepool.operators import queries as qu
+
+    rows = spark.createDataFrame([("How do I update the api config?",), ("compare auth and login, then explain it, before that and these",), ("",)], "q string").select(qu.enhanced(F.col("q")).alias("e"), qu.needs_multi_hop(F.col("q")).alias("m")).collect()
+    assert rows[0].e.variations[:3] == ["How do I update the api config?", "how do i update the interface config?", "how do i update the endpoint config?"] and len(rows[0].e.variations) == 7
+    assert rows[1].e.sub_queries[0] == "What about compare auth?" and " → Then use results from (" in rows[1].e.reasoning_path
+    assert rows[2].e.variations == [""] and rows[2].e.kind == "factual"
+
+
+def test_temporal_metadata_of_texts_and_names(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from tidepool.functions import temporal
+
+    rows = [("Created: 2024-01-15\nvalid until March 3, 2024", "a_v1.2_2023-05-06.txt"), ("Sprint 3 of nothing", "notes.md"), ("milestone: launch on 1/5/2030 or so", "x-20240131.txt"), ("", None), ("date: none\nupdated 2/3/2024", "x")]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string, f string").select(temporal.temporal_metadata(F.col("c"), F.col("f"), F.lit("2024-02-20").cast("timestamp"))).collect()]
+    assert (got[0].created_at, got[0].expires_at, got[0].version, got[0].lifecycle_stage) == (datetime(2024, 1, 15), datetime(2024, 3, 3), "1.2", "active")
+    assert (got[1].sprint, got[1].created_at, got[1].lifecycle_stage) == (3, datetime(2024, 1, 23), "current")
+    assert (got[2].milestone, got[2].expires_at, got[2].created_at, got[2].lifecycle_stage) == ("launch on 1/5/2030 or so", datetime(2030, 1, 5), datetime(2024, 1, 31), "active")
+    assert got[3].created_at is None and got[3].lifecycle_stage is None

@@ -97,3 +97,36 @@ def rank_boost(query: Column, content: Column, score: Column) -> Column:
 def evaluation_grade(passed: Column, warned: Column, total: Column) -> Column:
     share = (100 * passed + 50 * warned) / (100 * total)
     return F.when(share >= 0.9, "A").when(share >= 0.8, "B").when(share >= 0.7, "C").when(share >= 0.6, "D").otherwise("F")
+
+
+def hybrid_match(vector: Column, graph: Column, source: Column) -> Column:
+    """Score of a row that one or both searches found: its own list's, else the better of both, else 50."""
+    both = F.when(vector.isNotNull() & graph.isNotNull(), F.greatest(vector, graph)).otherwise(50.0)
+    return F.when((source == "vector") & vector.isNotNull(), vector).when((source == "graph") & graph.isNotNull(), graph).otherwise(both)
+
+
+def hop_penalty(nodes: Column) -> Column:
+    return F.pow(F.lit(0.9), F.size(nodes) - 1)
+
+
+def path_score(nodes: Column, confidence: Column, coherence: Column) -> Column:
+    """0.3 coherence, 0.25 confidence, 0.25 share of distinct nodes, 0.2 hop penalty; unknown coherence counts 0.5."""
+    distinct = F.size(F.array_distinct(nodes)) / F.greatest(F.size(nodes), F.lit(1))
+    return 0.3 * F.coalesce(coherence, F.lit(0.5)) + 0.25 * confidence + 0.25 * distinct + 0.2 * hop_penalty(nodes)
+
+
+def relevance(similarity: Column, entity: Column, relation: Column) -> Column:
+    """Of an entity and its relation to a query: 0.4 similarity, 0.3 each confidence; without similarity the mean of the confidences."""
+    return F.when(similarity.isNull(), (entity + relation) / 2).otherwise(0.4 * similarity + 0.3 * entity + 0.3 * relation)
+
+
+def rerank_blend(score: Column, logit: Column, weight: float = 0.5) -> Column:
+    """A score blended with the sigmoid of a re-ranker's output, which is a hook of the caller's."""
+    return (1 - weight) * score + weight * sigmoid(logit, 1.0, 0.0)
+
+
+def ranking_explanation(match: Column, source: Column, weight: Column, rank: Column) -> Column:
+    found = F.when(source == "vector", F.concat(F.lit("Source: Vector Search (weight: "), F.format_string("%.0f%%", 100 * weight), F.lit(")")))
+    found = found.when(source == "graph", F.concat(F.lit("Source: Graph Search (weight: "), F.format_string("%.0f%%", 100 * weight), F.lit(")"))).otherwise("Source: Hybrid (found by both)")
+    place = F.when(rank > 0, F.concat(F.lit("Rank: #"), rank.cast("string")))
+    return F.concat_ws(" | ", F.concat(F.lit("Match Quality: "), F.format_string("%.1f", match), F.lit("%")), found, place)

@@ -55,3 +55,38 @@ def relevance_window(created: Column, expires: Column, milestone: Column, sprint
     ended = F.when(left < -30, 0.1).when(left < 0, 0.3).when(left < 7, 0.9).otherwise(1.0)
     aged = F.when(age <= 7, 1.0).when(age <= 30, 0.8).when(age <= 90, 0.5).otherwise(0.3)
     return F.when(expires.isNotNull(), ended).when(milestone.isNotNull(), 0.8).when(sprint.isNotNull(), 0.7).when(created.isNotNull(), aged).otherwise(0.5)
+
+
+def _dated(text: Column, patterns: list[str]) -> Column:
+    """The date after the first of the phrases whose first occurrence is followed by one."""
+    return F.coalesce(*(parse_date(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit(""))) for p in patterns))
+
+
+def temporal_metadata(content: Column, filename: Column, now: Column) -> Column:
+    """Struct of created_at, expires_at (timestamps, UTC), sprint, milestone, version and lifecycle_stage that a text and its file's name tell.
+
+    Creation dates are looked for in the first 1,000 characters, sprints and milestones in the first 500, ends anywhere. A sprint without
+    a date began two weeks before ``now`` for each sprint before it; a dated milestone is an end; a date in the name is the last resort.
+    """
+    first = lambda n, p: F.nullif(F.regexp_extract(F.substring(content, 1, n), f"(?i){p}", 1), F.lit(""))
+    sprint, milestone = first(500, r"sprint[:\s#]+(\d+)").try_cast("int"), first(500, r"milestone[:\s]+([^\n]+)")
+    in_name = lambda p: F.nullif(F.regexp_extract(filename, p, 1), F.lit(""))
+    named = F.coalesce(
+        F.try_to_timestamp(F.replace(in_name(r"(\d{4}[-_]\d{2}[-_]\d{2})"), F.lit("_"), F.lit("-")), F.lit("yyyy-MM-dd")), F.try_to_timestamp(in_name(r"(\d{8})"), F.lit("yyyyMMdd"))
+    )
+    began = F.when(sprint.isNotNull(), now - F.make_dt_interval((sprint - 1) * 14))
+    created = F.coalesce(_dated(F.substring(content, 1, 1000), values.CREATED).cast("timestamp"), began, named)
+    expires = F.coalesce(_dated(content, values.EXPIRES), parse_date(milestone)).cast("timestamp")
+    age = (F.unix_seconds(now) - F.unix_seconds(created)) / 86400
+    stage = F.when(expires.isNotNull(), F.when(expires < now, "expired").otherwise("active")).when(age < 30, "current").when(age < 90, "recent").when(created.isNotNull(), "historical")
+    return F.struct(
+        created.alias("created_at"), expires.alias("expires_at"), sprint.alias("sprint"), F.trim(milestone).alias("milestone"), in_name(r"[_\-\.]v?(\d+(?:\.\d+)*)").alias("version"), stage.alias("lifecycle_stage")
+    )
+
+
+def enriched(known: dict[str, Column], content: Column, filename: Column, now: Column) -> Column:
+    """``temporal_metadata`` merged over what is known: a known created_at or doc_type stays, the rest is replaced where the text tells it; created_at is ``now`` at last."""
+    got = temporal_metadata(content, filename, now)
+    old = lambda name, kind: known.get(name, F.lit(None)).cast(kind)
+    newer = [F.coalesce(got[c], old(c, k)).alias(c) for c, k in (("expires_at", "timestamp"), ("sprint", "int"), ("milestone", "string"), ("version", "string"), ("lifecycle_stage", "string"))]
+    return F.struct(F.coalesce(old("created_at", "timestamp"), got["created_at"], now).alias("created_at"), *newer, F.coalesce(old("doc_type", "string"), doc_type(filename, content)).alias("doc_type"))

@@ -43,27 +43,28 @@ def best_per_key(rows: DataFrame, keys: list[str], score: str = "score", seq: st
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def rank_fusion(rows: DataFrame, weights: dict[str, float], mode: str = "merge") -> DataFrame:
+def rank_fusion(rows: DataFrame, weights: dict[str, float] | None = None, mode: str = "merge") -> DataFrame:
     """Match and ranking scores of vector and graph rows, merged by the first 100 characters of their content.
 
-    ``rows``: query_id, source, pos (0-based in its list), match, content, path_length. Ranking is match * weight / (1 + 0.1 pos), a
+    ``rows``: query_id, source, pos (0-based in its list), match, content, path_length, and weight if no ``weights`` by source are given. Ranking is match * weight / (1 + 0.1 pos), a
     direct graph hit 1.2 times that. In merge mode the first row of a key (vector rows first) takes the best match of all and half
     the ranking of the others, and is 'hybrid' if a later row came from the graph. The other modes drop later vector duplicates
     (prefer_graph) or later graph duplicates (prefer_vector).
     """
-    weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("source")]
+    weight = F.col("weight") if weights is None else F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("source")]
     direct = F.when((F.col("source") == "graph") & (F.coalesce("path_length", F.lit(0)) == 0), 1.2).otherwise(1.0)
     rows = rows.withColumns({"ranking": F.col("match") * weight / (1 + 0.1 * F.col("pos")) * direct, "key": F.lower(F.substring("content", 1, 100)), "seq": F.struct(F.when(F.col("source") == "vector", 0).otherwise(1).alias("s"), F.col("pos").alias("p"))})
     order = Window.partitionBy("query_id", "key").orderBy("seq")
     rows = rows.withColumn("nth", F.row_number().over(order))
     if mode != "merge":
         drop = "vector" if mode == "prefer_graph" else "graph"
-        return rows.filter((F.col("nth") == 1) | (F.col("source") != drop)).select("query_id", "key", "match", "ranking", "source")
+        return rows.filter((F.col("nth") == 1) | (F.col("source") != drop)).select("query_id", "key", "match", "ranking", "source", "content")
     first = F.col("nth") == 1
     return rows.groupBy("query_id", "key").agg(
         F.max("match").alias("match"),
         (F.max(F.when(first, F.col("ranking"))) + 0.5 * F.coalesce(F.sum(F.when(~first, F.col("ranking"))), F.lit(0.0))).alias("ranking"),
         F.when(F.max(F.when(~first & (F.col("source") == "graph"), 1)) == 1, "hybrid").otherwise(F.max(F.when(first, F.col("source")))).alias("source"),
+        F.max(F.when(first, F.col("content"))).alias("content"),
     )
 
 
@@ -90,7 +91,7 @@ def context_budget(rows: DataFrame, budget: float = 8000, least: float = 100) ->
     return rows.filter(keep).withColumn("content", F.when(F.col("over") == 1, cut).otherwise(F.col("content"))).drop("before", "over", "n_over")
 
 
-def api_budget(rows: DataFrame, budget: float = 8000, top_k: int = 10, per_row: float = 50) -> DataFrame:
+def api_budget(rows: DataFrame, budget: float | Column = 8000, top_k: int = 10, per_row: float = 50) -> DataFrame:
     """Rows before the first overflow of words * 1.3 + 50 tokens each, then the first ``top_k``."""
     w = Window.partitionBy("query_id").orderBy("rank")
     total = F.sum(F.size(F.filter(F.split("content", r"\s+"), lambda x: x != "")) * 1.3 + per_row).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -29,6 +30,24 @@ def entity_lookup(entities: DataFrame, query: str, limit: int = 20) -> DataFrame
     return rows.select("id", "name", "frequency", (base + F.coalesce("frequency", F.lit(1)) / 100).alias("relevance"), sure.alias("confidence")).orderBy(F.desc("relevance"), F.desc("frequency"), "id").limit(limit)
 
 
+def entity_lookup_batch(entities: DataFrame, requests: DataFrame, limit: int = 20, block: int = 1000) -> DataFrame:
+    """``entity_lookup`` for many requests (query_id, query): their rows with rank and match_type. Requests are broadcast in blocks of about ``block``."""
+    blocks = max(1, -(-requests.count() // block))
+    q, name = F.lower("query"), F.lower("name")
+
+    def hits(own: DataFrame) -> DataFrame:
+        return entities.join(F.broadcast(own.select("query_id", "query")), F.contains(name, q) | F.contains(q, name))
+
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    rows = reduce(DataFrame.unionByName, (hits(requests if blocks == 1 else requests.filter(number == b)) for b in range(blocks)))
+    kind = F.when(name == q, "exact").when(F.contains(name, q), "contains").otherwise("contained_by")
+    base = F.when(kind == "exact", 0.95).when(kind == "contains", 0.86).otherwise(0.80)
+    sure = F.when(kind == "exact", 1.0).when(kind == "contains", 0.95).otherwise(0.9)
+    rows = rows.withColumns({"match_type": kind, "relevance": base + F.coalesce("frequency", F.lit(1)) / 100, "confidence": sure})
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.desc("frequency"), "id"))
+    return rows.withColumn("rank", place).filter(F.col("rank") <= limit)
+
+
 def weighted_paths(edges: DataFrame, seeds: DataFrame, frequency: DataFrame, max_hops: int = 3, least: float = 0.3) -> DataFrame:
     """Best score of each entity over paths from a seed: (seed, id, hops, score, confidence).
 

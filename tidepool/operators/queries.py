@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepool import values
 from tidepool.functions.scoring import contains_any, count_contained, words
@@ -13,7 +13,7 @@ KINDS = [("factual", values.FACTUAL), ("analytical", values.ANALYTICAL), ("compa
 
 
 def exploratory(q: Column) -> Column:
-    return F.when(F.endswith(F.trim(q), F.lit("?")) & (F.size(words(q)) > 10), 2).otherwise(0)
+    return F.when(F.endswith(q, F.lit("?")) & (F.size(words(q)) > 10), 2).otherwise(0)
 
 
 def kind(q: Column) -> Column:
@@ -26,11 +26,11 @@ def kind(q: Column) -> Column:
 
 
 def complexity(q: Column) -> Column:
-    """Mean of four signs, at most 1: words / 30, commas, semicolons and question marks / 5, marks of all kinds / 10, and-or."""
+    """Mean of four signs, at most 1: words / 30, commas and semicolons / 5, marks of all kinds / 10, whether both "and" and "or" occur."""
     low = F.lower(q)
     marks = reduce(lambda a, b: a + b, (count_contained(low, m) for _, m in KINDS)) + exploratory(q)
-    stops = F.length(q) - F.length(F.regexp_replace(q, "[,;?]", ""))
-    joined = (low.contains("and") | low.contains("or")).cast("int")
+    stops = F.length(q) - F.length(F.regexp_replace(q, "[,;]", ""))
+    joined = (low.contains("and") & low.contains("or")).cast("int")
     return F.least(F.lit(1.0), (F.size(words(q)) / 30 + stops / 5 + marks / 10 + joined) / 4)
 
 
@@ -58,7 +58,79 @@ def parts(q: Column, most: int = 5) -> Column:
 
 
 def depends_on_previous(part: Column) -> Column:
-    return contains_any(F.lower(part), ["it", "this", "that", "these", "those"])
+    return contains_any(F.lower(part), values.BACK_REFERENCES)
+
+
+def needs_decomposition(q: Column) -> Column:
+    """At least two of: and, then, before or after between spaces, several question marks, several commas, over 15 words."""
+    low = F.lower(q)
+    count = lambda mark: F.length(q) - F.length(F.replace(q, F.lit(mark), F.lit("")))
+    signs = [low.contains(f" {w} ") for w in ("and", "then", "before", "after")] + [count("?") > 1, count(",") > 1, F.size(words(q)) > 15]
+    return reduce(lambda a, b: a + b, (s.cast("int") for s in signs)) >= 2
+
+
+def sub_queries(q: Column) -> Column:
+    """The parts of a complex query; others are their own only part."""
+    return F.when((complexity(q) > 0.5) | needs_decomposition(q), parts(q)).otherwise(F.array(q))
+
+
+def variations(q: Column, most: int = 7) -> Column:
+    """The query, its lower-case text with a term replaced by either of its first two synonyms, then four ways to ask it if it is a question."""
+    low = F.lower(q)
+    replaced = F.flatten(F.transform(expanded(q), lambda e: F.transform(F.slice(e["synonyms"], 1, 2), lambda s: F.replace(low, e["term"], s))))
+    first = F.array_distinct(F.concat(F.array(q), F.filter(replaced, lambda v: v != low)))
+    base = F.substring(q, F.lit(1), F.length(q) - 1)
+    asked = F.array(F.concat(F.lit("Can you explain "), base, F.lit("?")), F.concat(F.lit("Tell me about "), base), F.concat(F.lit("What do you know about "), base, F.lit("?")), F.concat(F.lit("Show me information on "), base))
+    known = F.transform(first, lambda v: F.lower(v))
+    more = F.filter(asked, lambda v: ~F.array_contains(known, F.lower(v)))
+    return F.slice(F.when(F.endswith(q, F.lit("?")), F.concat(first, more)).otherwise(first), 1, most)
+
+
+def reasoning_path(subs: Column) -> Column:
+    """How the parts build on each other, as text: those that refer to nothing first, then each that refers back with the part before it."""
+    back = lambda s, i: (i > 0) & depends_on_previous(s)
+    roots = F.concat(F.lit("Start with: "), F.array_join(F.filter(subs, lambda s, i: ~back(s, i)), ", "))
+    then = F.transform(subs, lambda s, i: F.when(back(s, i), F.concat(F.lit("Then use results from ("), F.get(subs, i - 1), F.lit(") to answer: "), s)))
+    return F.when(F.size(subs) > 0, F.array_join(F.concat(F.array(roots), F.filter(then, lambda x: x.isNotNull())), " \u2192 "))
+
+
+def enhanced(q: Column) -> Column:
+    """Struct of kind, complexity, sub_queries, concepts, expanded, variations and reasoning_path (for multi-hop queries and those of over two parts)."""
+    subs, k = sub_queries(q), kind(q)
+    path = F.when((k == "multi_hop") | (F.size(subs) > 2), reasoning_path(subs))
+    return F.struct(k.alias("kind"), complexity(q).alias("complexity"), subs.alias("sub_queries"), concepts(q).alias("concepts"), expanded(q).alias("expanded"), variations(q).alias("variations"), path.alias("reasoning_path"))
+
+
+def needs_multi_hop(q: Column) -> Column:
+    return (kind(q) == "multi_hop") | contains_any(F.lower(q), values.HOP_WORDS)
+
+
+def component_weights(kind_: Column) -> Column:
+    """Weights of a query's original text, parts, variations and expansions; parts count more in multi-hop queries, expansions less in navigational ones."""
+    return F.struct(
+        F.lit(1.0).alias("original"), F.when(kind_ == "multi_hop", 1.0).otherwise(0.8).alias("sub_queries"), F.lit(0.6).alias("variations"), F.when(kind_ == "navigational", 0.2).otherwise(0.4).alias("expanded")
+    )
+
+
+def vector_weight(q: Column, default: float = 0.7) -> Column:
+    """Weight of vector results that suits the wording of the query; graph results get the rest."""
+    low = F.lower(q)
+    (first, w), *rest = values.ADAPTIVE
+    return reduce(lambda c, x: c.when(contains_any(low, x[0]), x[1]), rest, F.when(contains_any(low, first), w)).otherwise(default)
+
+
+def weight_recommendation(kind_: Column) -> Column:
+    """Struct of weight and reason by the kind of query."""
+    pair = lambda x: F.struct(F.lit(x[0]).alias("weight"), F.lit(x[1]).alias("reason"))
+    (first, x), *rest = values.RECOMMENDED.items()
+    return reduce(lambda c, r: c.when(kind_ == r[0], pair(r[1])), rest, F.when(kind_ == first, pair(x))).otherwise(pair(values.RECOMMENDED_ELSE))
+
+
+def combined_answers(parts_: DataFrame, results: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, text): each part that has results as a heading over its first ``most`` results. ``parts_``: query_id, pos, part; ``results``: query_id, pos, rank, content."""
+    best = results.filter(F.col("rank") <= most).groupBy("query_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n").alias("body"))
+    rows = parts_.join(best, ["query_id", "pos"]).select("query_id", "pos", F.concat(F.lit("\n## "), "part", F.lit("\n\n"), "body").alias("block"))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"]), "\n").alias("text"))
 
 
 def strategy(q: Column, threshold: float = 0.5) -> Column:

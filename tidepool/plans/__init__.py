@@ -1,6 +1,6 @@
 """Registered queries of the reference's operators, with the same results as SQL where SQL can express them."""
 
-from tidepool.plans import analysis, graph, retrieval, stream, text
+from tidepool.plans import analysis, graph, pipelines, retrieval, stream, text
 from tidepool.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analysis", "graph", "retrieval", "stream", "text"]
+__all__ = ["ORACLE", "QUERIES", "analysis", "graph", "pipelines", "retrieval", "stream", "text"]

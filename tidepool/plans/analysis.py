@@ -31,14 +31,14 @@ FIXED = f"t as (select q from {TEXT_SQL})"
 has = lambda x, needles: " + ".join(f"contains({x}, {quoted(n)})::INT" for n in needles)
 any_ = lambda x, needles: "(" + " or ".join(f"contains({x}, {quoted(n)})" for n in needles) + ")"
 WORDS = "list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda x: x <> '')"
-SCORES = f"""s as (select q, lower(q) l, {WORDS} w, {', '.join(f'{has("lower(q)", m)} {k}' for k, m in qu.KINDS)}, case when suffix(trim(q), '?') and len({WORDS}) > 10 then 2 else 0 end exploratory from t)"""
+SCORES = f"""s as (select q, lower(q) l, {WORDS} w, {', '.join(f'{has("lower(q)", m)} {k}' for k, m in qu.KINDS)}, case when suffix(q, '?') and len({WORDS}) > 10 then 2 else 0 end exploratory from t)"""
 NAMES = [k for k, _ in qu.KINDS] + ["exploratory"]
 
 
 @query(
     "query_classify",
     f"""with {SOURCE}, {SCORES} select q, case greatest({', '.join(NAMES)}) {' '.join(f'when {n} then {quoted(n)}' for n in NAMES)} end as kind,
-round(least(1.0, (len(w) / 30 + (length(q) - length(regexp_replace(q, '[,;?]', '', 'g'))) / 5 + ({' + '.join(NAMES)}) / 10 + (contains(l, 'and') or contains(l, 'or'))::INT) / 4), 6)::DOUBLE as complexity from s""",
+round(least(1.0, (len(w) / 30 + (length(q) - length(regexp_replace(q, '[,;]', '', 'g'))) / 5 + ({' + '.join(NAMES)}) / 10 + (contains(l, 'and') and contains(l, 'or'))::INT) / 4), 6)::DOUBLE as complexity from s""",
 )
 def query_classify(spark, sf):
     q = F.col("q")
@@ -270,8 +270,9 @@ def node_sizes(spark, sf):
     return m.select("id", F.least(20 + 5 * F.col("n"), F.lit(60)).cast("long").alias("size"))
 
 
-@query("adaptive_weights", f"with {SOURCE} select q, (case when {any_('lower(q)', ['what is', 'define'])} then 0.3 when {any_('lower(q)', ['how', 'why', 'explain'])} then 0.8 when {any_('lower(q)', ['relationship', 'between', 'compare'])} then 0.4 else 0.7 end)::DOUBLE as vector_weight from t")
+ADAPTIVE = " ".join(f"when {any_('lower(q)', w)} then {v}" for w, v in values.ADAPTIVE)
+
+
+@query("adaptive_weights", f"with {SOURCE} select q, (case {ADAPTIVE} else 0.7 end)::DOUBLE as vector_weight from t")
 def adaptive_weights(spark, sf):
-    low = F.lower("q")
-    w = F.when(scoring.contains_any(low, ["what is", "define"]), 0.3).when(scoring.contains_any(low, ["how", "why", "explain"]), 0.8).when(scoring.contains_any(low, ["relationship", "between", "compare"]), 0.4).otherwise(0.7)
-    return texts(spark, sf).select("q", w.cast("double").alias("vector_weight"))
+    return texts(spark, sf).select("q", qu.vector_weight(F.col("q")).cast("double").alias("vector_weight"))

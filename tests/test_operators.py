@@ -123,10 +123,10 @@ def test_chunks():
     sentences = [f"{'word ' * 19}s{i}." for i in range(10)]
     chunks = chunking.standard_chunks(" ".join(sentences), 60, 25)
     assert all(chunking.count_tokens(c) <= 60 for c in chunks) and chunks[1].startswith("word") and "s1." in chunks[0] and "s1." in chunks[1]
-    assert chunking.standard_chunks("") == chunking.semantic_chunks("  ") == []
+    assert chunking.standard_chunks("") == chunking.semantic_chunks([]) == []
     assert chunking.standard_chunks("x" * 5000, 60, 10) == ["x" * 5000], "a sentence too long stays whole"
-    long = chunking.semantic_chunks("word " * 400, 50, 10)
-    assert all(chunking.count_tokens(c) <= 50 for c in long) and len(long) > 8 and chunking.semantic_chunks("short.") == []
+    long = chunking.semantic_chunks(["word " * 400], 50, 10)
+    assert all(sum(chunking.count_tokens(w + " ") for w in c.split()) <= 50 for c in long) and len(long) > 8 and chunking.semantic_chunks(["short."]) == []
 
 
 def test_chunk_rows(spark):
@@ -278,3 +278,119 @@ def test_temporal_metadata_of_texts_and_names(spark):
     assert (got[1].sprint, got[1].created_at, got[1].lifecycle_stage) == (3, datetime(2024, 1, 23), "current")
     assert (got[2].milestone, got[2].expires_at, got[2].created_at, got[2].lifecycle_stage) == ("launch on 1/5/2030 or so", datetime(2030, 1, 5), datetime(2024, 1, 31), "active")
     assert got[3].created_at is None and got[3].lifecycle_stage is None
+
+
+# --- against brute force ---------------------------------------------------------------------------------------------------------
+
+
+def test_candidates_lose_no_match(spark):
+    import difflib
+    import random
+
+    from tidepool.operators import graph
+
+    rng = random.Random(3)
+    names = {"RAG", "retrieval augmented generation", "GPT-4", "gpt-5", "GPT 3.5", "LLM tools", "a large language model"}
+    for _ in range(60):
+        base = "".join(rng.choice("abcde ") for _ in range(rng.randrange(3, 14))).strip() or "x"
+        names |= {base, base + rng.choice("xyz"), base[1:] or base, base.title()}
+    rows = [(n, t) for n in sorted(names) for t in rng.choice([["a"], ["b"], ["a", "b"]])]
+    df = spark.createDataFrame(rows, "name string, type string")
+    found = {tuple(r) for r in graph.match_candidates(df).collect()}
+    for a, s in rows:
+        for b, t in rows:
+            if a < b and (difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() >= 0.7):
+                assert (a, s, b, t) in found, (a, b)
+    kinds = {(r.a_name, r.b_name): r.kind for r in graph.match_kind(graph.match_candidates(df)).collect()}
+    assert kinds["GPT-4", "gpt-5"] == "SIMILAR_TO" and kinds["RAG", "retrieval augmented generation"] == "ABBREVIATION_OF"
+    assert len(found) < len(rows) ** 2 / 2
+
+
+def _beams(edges, start, hops, width):
+    queue, seen, done = [([start], 1.0, 1.0)], {start}, []
+    while queue:
+        path, rel, conf = queue.pop(0)
+        if len(path) == hops + 1:
+            done.append((tuple(path), round(rel, 9), conf))
+            continue
+        fresh = sorted(((-w, d, c) for s, d, w, c in edges if s == path[-1] and d not in seen))[:width]
+        for w, d, c in fresh:
+            seen.add(d)
+            queue.append(([*path, d], rel * -w, min(conf, c)))
+    return sorted(done)
+
+
+def test_beams_equal_a_sequential_search(spark):
+    import random
+
+    from tidepool.operators import graph
+
+    rng = random.Random(1)
+    edges = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(70)})
+    edges = [(a, b, rng.randrange(1, 10) / 10, rng.randrange(5, 10) / 10) for a, b in edges if a != b]
+    df = spark.createDataFrame(edges, "src long, dst long, relevance double, confidence double")
+    for hops, width in ((3, 2), (2, 5), (3, 3)):
+        got = graph.beam_search(df, spark.createDataFrame([(0,), (3,), (3,), (99,)], "id long"), hops, width).collect()
+        for start in (0, 3):
+            assert sorted((tuple(r.path), round(r.relevance, 9), r.confidence) for r in got if r.start == start) == _beams(edges, start, hops, width)
+        assert {r.start for r in got} <= {0, 3}
+
+
+def test_percentiles_equal_sorted_lists(spark):
+    import random
+
+    from tidepool.operators import evaluation
+
+    rng = random.Random(2)
+    rows = [("a", rng.gauss(0, 5)) for _ in range(500)] + [("b", 3.0)] * 40 + [("c", float(i % 7)) for i in range(90)] + [("d", None), ("d", 1.0)]
+    got = {r.g: (r.p0, r.p50, r.p99) for r in evaluation.percentiles_by_index(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99}, parts=16).collect()}
+    for g in "abcd":
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == tuple(own[int(len(own) * s)] for s in (0, 0.5, 0.99))
+
+
+def test_names_in_texts_in_blocks(spark):
+    from tidepool.operators import graph
+
+    chunks = spark.createDataFrame([(1, "The Red fox"), (2, None), (3, "REDfoxes"), (4, "")], "chunk_id long, content string")
+    entities = spark.createDataFrame([(1, "red"), (2, "Fox"), (3, "RED"), (4, ""), (5, None), (6, "x"), (7, "hen")], "entity_id long, name string")
+    want = {(c, e) for c in (1, 3) for e in (1, 2, 3, 6)}
+    for block in (1, 100):
+        assert {tuple(r) for r in graph.entity_in_chunk(chunks, entities, block).collect()} == want
+    assert graph.entity_in_chunk(chunks, entities.limit(0)).count() == 0
+
+
+def test_tree_of_sections():
+    from tidepool.operators.chunking import tree_rows
+
+    text = "lost\n# A\npara one\n\npara two\n## B\n```python\nx = 1\n```\n| a | b |\n| 1 | 2 |\n\nend\n### C\n#### D\n##### E\n###### F\n# A\nagain\n"
+    rows = tree_rows(1, "Doc", text, 800, 100)
+    assert [(r[2], r[3], r[4], r[5], r[6]) for r in rows] == [
+        ("summary", "", None, 0, "Doc"), ("hierarchical", "/0", "/0", 1, "A"), ("code", "/0/1", "/0/1", 2, "B"), ("table", "/0/1", "/0/1", 2, "B"), ("hierarchical", "/0/1", "/0/1", 2, "B"), ("hierarchical", "/0", "/0", 1, "A"),
+    ]
+    assert rows[1][7] == "para one\n\npara two" and rows[2][7] == "```python\nx = 1\n```" and rows[3][7] == "| a | b |\n| 1 | 2 |" and rows[4][7] == "end"
+    packed = [r for r in tree_rows(1, "t", "\n\n".join(f"word{i} " * 50 for i in range(8)), 200, 3) if r[2] == "hierarchical"]
+    assert len(packed) > 2 and all(a[7].split()[-3:] == b[7].split()[:3] for a, b in zip(packed, packed[1:], strict=False))
+    assert [r[2] for r in tree_rows(1, "t", "word " * 200)] == ["summary", "section", "hierarchical"]
+
+
+def test_semantic_chunks_overlap_by_sentences_and_parts():
+    from tidepool.operators.chunking import semantic_chunks
+
+    short = [f"Sentence number {i} has a few words of its own here." for i in range(30)]
+    chunks = semantic_chunks(short, 60, 30)
+    assert len(chunks) > 3 and all(a.split(". ")[-1] in b for a, b in zip(chunks, chunks[1:], strict=False))
+    assert " ".join(short).endswith(chunks[-1])
+    long = semantic_chunks(["short one that is well over fifty characters long, certainly.", "w " * 900, "tail sentence that is again over fifty characters long."], 100, 20)
+    assert long[0].startswith("short one") and long[-1].startswith("tail") and len(long) >= 3
+    partial = semantic_chunks([("alpha beta gamma delta " * 9).strip() + ".", ("one two three four five " * 9).strip() + "."], 60, 40)
+    assert partial[1].split()[0] != "one" and "one two" in partial[1]
+    assert semantic_chunks([], 10, 2) == []
+
+
+def test_overlap_of_neighbours():
+    from tidepool.operators.evaluation import overlap_chars
+
+    assert overlap_chars("First one here. A shared sentence here", "A shared sentence here. More") == len("A shared sentence here")
+    assert overlap_chars("", "x") == 0 and overlap_chars("abc def", "nothing shared at all") == 0
+    assert overlap_chars("tiny. a b c d", "b c d e") == len("b c d")

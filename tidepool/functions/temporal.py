@@ -36,6 +36,11 @@ def doc_type(path: Column, content: Column) -> Column:
     return reduce(lambda col, r: col.when(contains_any(r[0], r[2]), r[1]), rest, F.when(contains_any(first[0], first[2]), first[1])).otherwise("default")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_date(text: Column) -> Column:
     """The first of ISO, US and written dates in the text that is a real date; null if none is."""
     month = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -59,7 +64,7 @@ def relevance_window(created: Column, expires: Column, milestone: Column, sprint
 
 def _dated(text: Column, patterns: list[str]) -> Column:
     """The date after the first of the phrases whose first occurrence is followed by one."""
-    return F.coalesce(*(parse_date(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit(""))) for p in patterns))
+    return F.coalesce(*(_let(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")), parse_date) for p in patterns))
 
 
 def temporal_metadata(content: Column, filename: Column, now: Column) -> Column:
@@ -76,17 +81,23 @@ def temporal_metadata(content: Column, filename: Column, now: Column) -> Column:
     )
     began = F.when(sprint.isNotNull(), now - F.make_dt_interval((sprint - 1) * 14))
     created = F.coalesce(_dated(F.substring(content, 1, 1000), values.CREATED).cast("timestamp"), began, named)
-    expires = F.coalesce(_dated(content, values.EXPIRES), parse_date(milestone)).cast("timestamp")
-    age = (F.unix_seconds(now) - F.unix_seconds(created)) / 86400
-    stage = F.when(expires.isNotNull(), F.when(expires < now, "expired").otherwise("active")).when(age < 30, "current").when(age < 90, "recent").when(created.isNotNull(), "historical")
-    return F.struct(
-        created.alias("created_at"), expires.alias("expires_at"), sprint.alias("sprint"), F.trim(milestone).alias("milestone"), in_name(r"[_\-\.]v?(\d+(?:\.\d+)*)").alias("version"), stage.alias("lifecycle_stage")
-    )
+    expires = F.coalesce(_dated(content, values.EXPIRES), _let(milestone, parse_date)).cast("timestamp")
+
+    def described(x: Column) -> Column:
+        age = (F.unix_seconds(now) - F.unix_seconds(x["created_at"])) / 86400
+        stage = F.when(x["expires_at"].isNotNull(), F.when(x["expires_at"] < now, "expired").otherwise("active")).when(age < 30, "current").when(age < 90, "recent").when(age.isNotNull(), "historical")
+        version = in_name(r"[_\-\.]v?(\d+(?:\.\d+)*)")
+        return F.struct(x["created_at"].alias("created_at"), x["expires_at"].alias("expires_at"), sprint.alias("sprint"), F.trim(milestone).alias("milestone"), version.alias("version"), stage.alias("lifecycle_stage"))
+
+    return _let(F.struct(created.alias("created_at"), expires.alias("expires_at")), described)
 
 
 def enriched(known: dict[str, Column], content: Column, filename: Column, now: Column) -> Column:
     """``temporal_metadata`` merged over what is known: a known created_at or doc_type stays, the rest is replaced where the text tells it; created_at is ``now`` at last."""
-    got = temporal_metadata(content, filename, now)
     old = lambda name, kind: known.get(name, F.lit(None)).cast(kind)
-    newer = [F.coalesce(got[c], old(c, k)).alias(c) for c, k in (("expires_at", "timestamp"), ("sprint", "int"), ("milestone", "string"), ("version", "string"), ("lifecycle_stage", "string"))]
-    return F.struct(F.coalesce(old("created_at", "timestamp"), got["created_at"], now).alias("created_at"), *newer, F.coalesce(old("doc_type", "string"), doc_type(filename, content)).alias("doc_type"))
+
+    def merged(got: Column) -> Column:
+        newer = [F.coalesce(got[c], old(c, k)).alias(c) for c, k in (("expires_at", "timestamp"), ("sprint", "int"), ("milestone", "string"), ("version", "string"), ("lifecycle_stage", "string"))]
+        return F.struct(F.coalesce(old("created_at", "timestamp"), got["created_at"], now).alias("created_at"), *newer, F.coalesce(old("doc_type", "string"), doc_type(filename, content)).alias("doc_type"))
+
+    return _let(temporal_metadata(content, filename, now), merged)

@@ -98,3 +98,37 @@ def protected_sentences(text: Column) -> Column:
         return F.transform(parts, lambda x, i: ended(x, i < F.size(parts) - 1))
 
     return F.flatten(F.transform(pieces, of_piece))
+
+
+def marked_up(text: Column, query: Column) -> Column:
+    """The text with each word of the query (over two letters) wrapped in <mark>, in any case and one word after the other."""
+    terms = F.filter(F.split(F.lower(query), " "), lambda w: F.length(w) > 2)
+    literal = lambda w: F.concat(F.lit("(?i)("), F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1"), F.lit(")"))
+    return F.aggregate(terms, text, lambda t, w: F.regexp_replace(t, literal(w), F.lit("<mark>$1</mark>")))
+
+
+def suggestions(query: Column) -> Column:
+    """Three ways to go on asking, by whether the query has 'how' or 'what'."""
+    ends = lambda *tails: F.array(*(F.concat(query, F.lit(x)) for x in tails))
+    low = F.lower(query)
+    plain = F.array(F.concat(F.lit("How does "), query, F.lit(" work?")), F.concat(F.lit("What is "), query, F.lit("?")), F.concat(F.lit("Explain "), query))
+    return F.when(low.contains("how"), ends(" work?", " implemented?", " configured?")).when(low.contains("what"), ends(" is?", " are the benefits?", " are the components?")).otherwise(plain)
+
+
+def json_of(text: Column) -> Column:
+    """The JSON object in a model's reply: from the first brace to the last, fenced or not; null if there is none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def cut_to(text: Column, most: int) -> Column:
+    """The first ``most`` characters, for a caller's external service."""
+    return F.substring(text, 1, most)
+
+
+def text_between(text: Column, a: Column, b: Column) -> Column:
+    """What stands between the first occurrences of two names, in either order; '' if one is missing."""
+    x, y, low = F.lower(a), F.lower(b), F.lower(text)
+    i, j = F.position(x, low), F.position(y, low)
+    one = F.substring(low, i + F.length(x), F.greatest(j - i - F.length(x), F.lit(0)))
+    two = F.substring(low, j + F.length(y), F.greatest(i - j - F.length(y), F.lit(0)))
+    return F.when((i == 0) | (j == 0), "").when(i < j, one).otherwise(two)

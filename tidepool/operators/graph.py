@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidepool import values
 from tidepool.functions.text import acronym_pair, version_base
 
 
@@ -99,51 +101,71 @@ def beam_search(edges: DataFrame, starts: DataFrame, max_hops: int = 3, width: i
     """Paths of exactly ``max_hops`` hops from each start: (start, path, relevance, confidence).
 
     Each expanded node takes its ``width`` best edges to nodes that no path of this start has visited before; relevance multiplies along
-    the path, confidence is its least. What was visited depends on the order of expansion, so each start is one sequential task over
-    the edges that its hops can reach. ``edges``: src, dst, relevance, confidence.
+    the path, confidence is its least. What was visited depends on the order of expansion, so a start's frontier of one hop is one small
+    group. A frontier has at most ``width`` ** hops nodes, and a node needs no more than its best ``width`` + (nodes visited) edges, which
+    a limit per node keeps before anything is grouped, so hubs cost no more than other nodes. ``edges``: src, dst, relevance, confidence.
     """
     node = dict(edges.dtypes)["src"]
     edges = edges.select("src", "dst", F.col("relevance").cast("double").alias("relevance"), F.col("confidence").cast("double").alias("confidence"))
-    near = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
-    parts = None
-    for _ in range(max_hops):
-        rows = near.join(edges.withColumnRenamed("src", "at"), "at").select("start", F.col("at").alias("src"), "dst", "relevance", "confidence")
-        parts = rows if parts is None else parts.unionByName(rows)
-        near = rows.select("start", F.col("dst").alias("at")).distinct()
-    reach = parts.distinct()
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        start = group["start"].iloc[0]
-        by = {k: g.sort_values(["relevance", "dst"], ascending=[False, True]) for k, g in group.groupby("src")}
-        queue, seen, done = [([start], 1.0, 1.0)], {start}, []
-        while queue:
-            path, relevance, confidence = queue.pop(0)
-            if len(path) == max_hops + 1:
-                done.append((start, path, relevance, confidence))
-                continue
-            fresh = by[path[-1]] if path[-1] in by else group.iloc[:0]
-            for r in fresh[~fresh["dst"].isin(seen)].head(width).itertuples():
-                seen.add(r.dst)
-                queue.append(([*path, r.dst], relevance * r.relevance, min(confidence, r.confidence)))
-        return pd.DataFrame(done, columns=["start", "path", "relevance", "confidence"])
-
-    return reach.groupBy("start").applyInPandas(search, f"start {node}, path array<{node}>, relevance double, confidence double")
-
-
-def entity_in_chunk(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("relevance"), "dst"))
+    kind = f"start {node}, place int, path array<{node}>, relevance double, confidence double, visited array<{node}>"
+    beam = starts.select(F.col("id").alias("start")).distinct().select("start", F.lit(0).alias("place"), F.array("start").alias("path"), F.lit(1.0).alias("relevance"), F.lit(1.0).alias("confidence"), F.array("start").alias("visited"))
+
+    def expand(group: pd.DataFrame) -> pd.DataFrame:
+        seen, out = set(group["visited"].iloc[0]), []
+        for _, own in sorted(group.groupby("place"), key=lambda x: x[0]):
+            fresh = own[own["dst"].notna() & ~own["dst"].isin(seen)].sort_values(["weight", "dst"], ascending=[False, True]).head(width)
+            for r in fresh.itertuples():
+                to = type(r.start)(r.dst)
+                seen.add(to)
+                out.append((r.start, len(out), [*r.path, to], r.relevance * r.weight, min(r.confidence, r.sure)))
+        rows = pd.DataFrame(out, columns=["start", "place", "path", "relevance", "confidence"])
+        rows["visited"] = [list(seen)] * len(rows)
+        return rows.astype({"path": object, "visited": object})
+
+    visited = 1
+    for hop in range(max_hops):
+        near = edges.withColumn("_n", best).filter(F.col("_n") <= width + visited).select(F.col("src").alias("at"), "dst", F.col("relevance").alias("weight"), F.col("confidence").alias("sure"))
+        joined = beam.withColumn("at", F.element_at("path", -1)).join(near, "at").drop("at")
+        beam = joined.groupBy("start").applyInPandas(expand, kind)
+        visited += width ** (hop + 1)
+    return beam.select("start", "path", "relevance", "confidence")
+
+
+def entity_in_chunk(chunks: DataFrame, entities: DataFrame, names_per_block: int = 200_000) -> DataFrame:
     """(chunk_id, entity_id): entities whose name occurs in the text, any case.
 
-    A name's first word must be part of the text, so names meet texts by the three-letter pieces both have: candidates come from an
-    equi-join on the name's first piece, and containment decides. Names under three letters are compared with every text; there
-    can only be some 18,000 of them in one alphabet, so that side may be broadcast.
+    Distinct names are counted and dealt into blocks of about ``names_per_block``, each of which is broadcast as one array; a text is
+    matched against a block in one pass by an automaton that each Python worker builds once. Only (chunk_id, name) rows leave it and
+    meet the entities of that name in a join.
     """
     names = entities.select("entity_id", F.lower("name").alias("name")).filter(F.length("name") > 0)
+    distinct = names.select("name").distinct()
+    blocks = max(1, -(-distinct.count() // names_per_block))
+    kind = dict(chunks.dtypes)["chunk_id"]
+
+    def matcher(words: list[str]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            for w in words:
+                found.add_word(w, w)
+            found.make_automaton()
+            for pdf in batches:
+                rows = [(c, n) for c, t in zip(pdf["chunk_id"], pdf["low"], strict=True) if t for n in ({x for _, x in found.iter(t)} if len(found) else ())]
+                yield pd.DataFrame(rows, columns=["chunk_id", "name"])
+
+        return run
+
     texts = chunks.select("chunk_id", F.lower("content").alias("low"))
-    pieces = texts.select("chunk_id", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(3))))).alias("piece"))
-    long = names.filter(F.length("name") >= 3).withColumn("piece", F.substring("name", 1, 3))
-    found = pieces.join(long, "piece").filter(F.contains("low", F.col("name"))).select("chunk_id", "entity_id")
-    short = texts.join(F.broadcast(names.filter(F.length("name") < 3)), F.contains(F.col("low"), F.col("name"))).select("chunk_id", "entity_id")
-    return found.union(short).distinct()
+    number = F.pmod(F.xxhash64("name"), F.lit(blocks))
+    hits = None
+    for b in range(blocks):
+        words = [r["name"] for r in distinct.filter(number == b).collect()]  # a block: a bounded number of names
+        own = texts.mapInPandas(matcher(words), f"chunk_id {kind}, name string")
+        hits = own if hits is None else hits.unionByName(own)
+    return hits.join(names, "name").select("chunk_id", "entity_id").distinct()
 
 
 def exact_links(entities: DataFrame) -> DataFrame:
@@ -161,6 +183,37 @@ def type_groups(entities: DataFrame) -> DataFrame:
     return usable.groupBy(F.concat_ws("_", F.lower("type"), F.substring(F.lower("name"), 1, 3)).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+def match_candidates(names: DataFrame, ratio: float = 0.7) -> DataFrame:
+    """Pairs (a_name, a_type, b_name, b_type), a_name < b_name, that ``match_kind`` can match; none is lost.
+
+    The likeness 2 M / (m + n) has M no larger than the number of characters both names have, so pairs must have lengths within a band
+    and enough common characters. Rare characters first, a name's first m - ceil(least M) + 1 character occurrences must include one
+    of the other's: an equi-join on (occurrence, length band). Versions meet on what stands before them, acronyms through their
+    dictionary. ``names``: name, type (distinct).
+    """
+    low = names.select("name", "type", F.lower("name").alias("low")).withColumn("m", F.length("low"))
+    chars = F.transform(F.split("low", ""), lambda c: c)
+    counted = F.array_sort(F.flatten(F.transform(F.array_distinct(chars), lambda c: F.transform(F.sequence(F.lit(1), F.size(F.filter(chars, lambda x: x == c))), lambda i: F.concat(c, F.lit("#"), i.cast("string"))))))
+    # The least M of a pair is ratio * (m + n) / 2 with n at least m * ratio / (2 - ratio).
+    least = F.ceil(F.col("m") * ratio / (2 - ratio) - 1e-9)
+    rows = low.withColumn("tokens", counted).withColumn("head", F.slice("tokens", F.lit(1), F.greatest(F.col("m") - least + 1, F.lit(1)).cast("int")))
+    each = rows.select("name", "type", "m", F.explode("head").alias("token"))
+    a, b = each.toDF("a_name", "a_type", "am", "token"), each.toDF("b_name", "b_type", "bm", "token")
+    near = (2 * F.least("am", "bm")) >= ratio * (F.col("am") + F.col("bm")) - 1e-9
+    alike = a.join(b, "token").filter((F.col("a_name") < F.col("b_name")) & near)
+    base = names.select("name", "type", version_base(F.col("name")).alias("base")).filter("base is not null")
+    x, y = base.toDF("a_name", "a_type", "base"), base.toDF("b_name", "b_type", "base")
+    versions = x.join(y, "base").filter("a_name < b_name")
+    words = F.explode(F.array_compact(F.array(*(F.when(F.contains(F.lower("name"), F.lit(k)), F.lit(k)) for k in values.ACRONYMS)))).alias("k")
+    long = F.explode(F.array_compact(F.array(*(F.when(F.contains(F.lower("name"), F.lit(v)), F.lit(k)) for k, v in values.ACRONYMS.items())))).alias("k")
+    s, t = names.select("name", "type", words).toDF("p", "pt", "k"), names.select("name", "type", long).toDF("q", "qt", "k")
+    short = s.join(t, "k").filter("p <> q")
+    first = F.col("p") < F.col("q")
+    acronyms = short.select(*(F.when(first, F.col(u)).otherwise(F.col(v)).alias(n) for u, v, n in (("p", "q", "a_name"), ("pt", "qt", "a_type"), ("q", "p", "b_name"), ("qt", "pt", "b_type"))))
+    columns = ["a_name", "a_type", "b_name", "b_type"]
+    return alike.select(*columns).union(versions.select(*columns)).union(acronyms.select(*columns)).distinct()
+
+
 def match_kind(left: DataFrame, ratio: float = 0.75, same_type: float = 0.7) -> DataFrame:
     """Adds kind and confidence to candidate pairs (a_name, a_type, b_name, b_type): the first rule that holds, in order exact, fuzzy, acronym, version, type."""
 
@@ -184,3 +237,69 @@ def bridges(entities: DataFrame) -> DataFrame:
     first = entities.filter(F.lower("type") == "concept").withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("seq"))).filter("n = 1")
     a, b = first.select(F.col("id").alias("src"), F.col("document_id").alias("a")), first.select(F.col("id").alias("dst"), F.col("document_id").alias("b"))
     return a.join(b, F.col("a") < F.col("b")).select("src", "dst", F.lit(0.7).alias("weight"))
+
+
+def technical_entities(chunks: DataFrame, text_col: str = "content") -> DataFrame:
+    """(chunk_id, pos, name, type): technical entities of each chunk, of 3 to 99 characters, each once whatever its case, in the order of the patterns.
+
+    One alternation of all patterns tells which texts are worth the single ones.
+    """
+    any_ = "|".join(p for p, _ in values.TECHNICAL)
+    rows = chunks.select("chunk_id", F.col(text_col).alias("t")).filter(F.col("t").rlike(f"(?i){any_}"))
+    tagged = lambda p, kind: F.transform(F.regexp_extract_all("t", F.lit(f"(?i){p}"), 0), lambda m: F.struct(F.trim(m).alias("name"), F.lit(kind).alias("type")))
+    found = rows.select("chunk_id", F.posexplode(F.concat(*(tagged(p, k) for p, k in values.TECHNICAL))).alias("pos", "x")).select("chunk_id", "pos", "x.name", "x.type")
+    once = found.filter(F.length("name").between(3, 99)).groupBy("chunk_id", F.lower("name").alias("key")).agg(F.min(F.struct("pos", "name", "type")).alias("x"))
+    return once.select("chunk_id", "x.pos", "x.name", "x.type")
+
+
+def extract_graph(chunks: DataFrame, reach: int = 200, text_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of documents' chunks, by rules. ``chunks``: document_id, chunk_id, chunk_index, content.
+
+    Entities: document_id, key, name and type of the first mention, frequency (distinct chunks). Relations: document_id, src, dst (keys, in
+    the order of the patterns), type CO_OCCURS, weight: chunks in which the names' first places are less than ``reach`` apart.
+    """
+    found = technical_entities(chunks, text_col).join(chunks.select("document_id", "chunk_id", "chunk_index", F.lower(text_col).alias("low")), "chunk_id")
+    found = found.withColumns({"key": F.lower("name"), "at": F.position(F.lower("name"), F.col("low"))}).drop("low")
+    entities = found.groupBy("document_id", "key").agg(F.min_by(F.struct("name", "type"), F.struct("chunk_index", "pos")).alias("x"), F.count_distinct("chunk_id").alias("frequency"))
+    a = found.select("document_id", "chunk_id", F.col("key").alias("src"), F.col("pos").alias("p"), F.col("at").alias("i"))
+    b = found.select("chunk_id", F.col("key").alias("dst"), F.col("pos").alias("q"), F.col("at").alias("j"))
+    near = a.join(b, "chunk_id").filter((F.col("p") < F.col("q")) & (F.abs(F.col("i") - F.col("j")) < reach))
+    relations = near.groupBy("document_id", "src", "dst").agg(F.lit("CO_OCCURS").alias("type"), F.count("*").alias("weight"))
+    return entities.select("document_id", "key", "x.name", "x.type", "frequency"), relations
+
+
+def resolve_names(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations by name (src, dst, type) as relations by id; names that no entity has, and relations of an entity to itself, go. ``entities``: id, name."""
+    ids = entities.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
+    ends = relations.select(F.lower("src").alias("s"), F.lower("dst").alias("d"), "type")
+    rows = ends.join(ids.withColumnsRenamed({"key": "s", "id": "src"}), "s").join(ids.withColumnsRenamed({"key": "d", "id": "dst"}), "d")
+    return rows.filter("src <> dst").select("src", "dst", "type")
+
+
+def start_entities(near: DataFrame, named: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, id, confidence): entities of the best chunks and those that the request names, the surest first. Both inputs have these columns."""
+    best = near.unionByName(named).groupBy("query_id", "id").agg(F.max("confidence").alias("confidence"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("rank")
+
+
+def path_contexts(paths: DataFrame, chunks: DataFrame, most_paths: int = 3, per_node: int = 2, most_chars: int = 500) -> DataFrame:
+    """(query_id, context): the best paths' chains, each followed by the starts of chunks of its nodes that no earlier path had.
+
+    ``paths``: query_id, rank, nodes, chain; ``chunks``: id (node), pos, chunk_id, content.
+    """
+    best = paths.filter(F.col("rank") <= most_paths)
+    nodes = best.select("query_id", "rank", F.posexplode("nodes").alias("at", "id"))
+    rows = nodes.join(chunks.filter(F.col("pos") < per_node), "id").groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "at", "pos", F.substring("content", 1, most_chars).alias("text"))).alias("x"))
+    evidence = rows.select("query_id", "x.rank", F.struct((F.col("x.at") + 1).alias("a"), F.col("x.pos").alias("b"), F.concat(F.lit("Evidence: "), "x.text").alias("text")).alias("piece"))
+    chain = best.select("query_id", "rank", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.concat(F.lit("Reasoning path: "), "chain").alias("text")).alias("piece"))
+    pieces = chain.unionByName(evidence).select("query_id", "rank", "piece.*")
+    return pieces.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "a", "b", "text"))), lambda x: x["text"]), "\n\n").alias("context"))
+
+
+def path_answer(chain: Column, edges: Column, confidence: Column) -> Column:
+    """The answer that needs no model: the best path, its first three relations (array of src, type, dst) and how sure it is; a null chain means nothing was found."""
+    lines = F.transform(F.slice(edges, 1, 3), lambda e: F.concat(F.lit("- "), e["src"], F.lit(" "), e["type"], F.lit(" "), e["dst"]))
+    head = F.array(F.lit("Based on the knowledge graph traversal, I found the following connection:"), chain, F.lit(""), F.lit("This shows that:"))
+    sure = F.concat(F.lit("\nConfidence in this answer: "), F.format_string("%.1f%%", 100 * confidence))
+    return F.when(chain.isNull(), "Unable to find relevant information to answer this question.").otherwise(F.array_join(F.concat(head, lines, F.array(sure)), "\n"))

@@ -46,3 +46,48 @@ def retrieve_from_seeds(mentions: DataFrame, seeds: DataFrame, confidence: float
     reached = related_entities(mentions, seeds, max_depth).select("entity_id", "depth").unionByName(seeds.select("entity_id", F.lit(0).alias("depth")))
     nearest = reached.groupBy("entity_id").agg(F.min("depth").alias("depth"))
     return nearest.join(mentions, "entity_id").groupBy("chunk_id").agg(F.max(confidence / (F.col("depth") + 1)).alias("score"))
+
+
+def add_and_count(links: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with ``new`` ones added in both directions, and a row with the number of those asked for, there before or not."""
+    return add_links(links.select(*LINK).unionByName(add_links(new)), bidirectional=False), new.agg(F.count("*").alias("n"))
+
+
+def ingest_links(chunks: DataFrame) -> DataFrame:
+    """All links of documents' chunks. ``chunks``: document_id, chunk_id, parent_id, vector_id, entity_ids, node_ids; nulls link nothing."""
+    entity = chunks.select("document_id", "chunk_id", F.explode("entity_ids").alias("entity_id"))
+    node = chunks.select("chunk_id", F.explode("node_ids").alias("node_id"))
+    parts = [
+        make_links(chunks, "document", "document_id", "chunk", "chunk_id", "contains"), make_links(entity, "document", "document_id", "entity", "entity_id", "mentions"),
+        make_links(chunks, "chunk", "chunk_id", "vector", "vector_id", "embeds"), make_links(entity, "chunk", "chunk_id", "entity", "entity_id", "mentions"),
+        make_links(node, "chunk", "chunk_id", "graph_node", "node_id", "represents"), make_links(chunks, "chunk", "chunk_id", "chunk", "parent_id", "parent"),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return add_links(rows.filter(F.col("a_id").isNotNull() & F.col("b_id").isNotNull()), bidirectional=False)
+
+
+def nodes_of_vectors(vectors: DataFrame, mentions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(vector_id, chunk_id, entity_ids, node_ids): each vector's first chunk and what it is linked with; vectors without a chunk go.
+
+    ``vectors``: vector_id, chunk_id; ``mentions``: chunk_id, entity_id; ``nodes``: chunk_id, node_id.
+    """
+    own = vectors.groupBy("vector_id").agg(F.min("chunk_id").alias("chunk_id")).filter("chunk_id is not null")
+    asked = own.select("chunk_id").distinct()
+    grouped = lambda rows, key, name: rows.join(asked, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.sort_array(F.collect_set(key)).alias(name))
+    joined = own.join(grouped(mentions, "entity_id", "entity_ids"), "chunk_id", "left").join(grouped(nodes, "node_id", "node_ids"), "chunk_id", "left")
+    return joined.select("vector_id", "chunk_id", *(F.coalesce(c, F.array()).alias(c) for c in ("entity_ids", "node_ids")))
+
+
+def expand_seeds(mentions: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """(entity_id, distance, weight): entities within ``depth`` steps of any seed, seeds left out; weight 1 / distance."""
+    near = related_entities(mentions, seeds, depth).groupBy("entity_id").agg(F.min("depth").alias("distance"))
+    return near.join(seeds.select("entity_id").distinct(), "entity_id", "left_anti").select("entity_id", "distance", (1 / F.col("distance")).alias("weight"))
+
+
+def hybrid_scores(vector: DataFrame, graph: DataFrame, vector_weight: float = 0.7) -> DataFrame:
+    """(chunk_id, score): vector scores and the best weight of graph rows that hold the chunk, a missing side counting 0. ``graph``: chunk_ids, weight."""
+    best = graph.select(F.explode("chunk_ids").alias("chunk_id"), F.coalesce("weight", F.lit(0.5)).alias("w")).groupBy("chunk_id").agg(F.max("w").alias("w"))
+    both = vector.select("chunk_id", "score").join(best, "chunk_id", "full_outer")
+    return both.select("chunk_id", (vector_weight * F.coalesce("score", F.lit(0.0)) + (1 - vector_weight) * F.coalesce("w", F.lit(0.0))).alias("score"))

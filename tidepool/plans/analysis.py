@@ -223,10 +223,11 @@ def cascade_delete(spark, sf):
     return storage.delete_cascade(table(spark, sf, "customer"), table(spark, sf, "orders"), "c_custkey", "o_custkey", gone)[1].select("o_orderkey", "o_custkey")
 
 
-@query("orphan_delete", "with c as (select distinct o_custkey d, l_partkey e from orders join lineitem on l_orderkey = o_orderkey), g as (select c_custkey d from customer where c_mktsegment = 'BUILDING') select e as entity_id from c where d in (select d from g) except select e from c where d not in (select d from g)")
+@query("orphan_delete", "with c as (select distinct l_suppkey % 50 d, l_orderkey e from lineitem), g as (select d from c where d < 10) select distinct e as entity_id from c where d in (select d from g) and e not in (select e from c where d not in (select d from g))")
 def orphan_delete(spark, sf):
-    own = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("document_id"), F.col("l_partkey").alias("entity_id")).distinct()
-    gone = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("document_id"))
+    """Suppliers' groups as documents, orders as entities: those that only deleted documents contain."""
+    own = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 50).alias("document_id"), F.col("l_orderkey").alias("entity_id")).distinct()
+    gone = own.filter("document_id < 10").select("document_id").distinct()
     return storage.orphans(own.select("entity_id").distinct(), own, gone)
 
 
@@ -240,7 +241,9 @@ def merge_edges(spark, sf):
 
 @query("array_contains_scan", "select o_orderkey as document_id, (select count(*) from (select distinct l_partkey from lineitem where l_orderkey = o_orderkey)) as n_entities from orders where o_orderkey in (select l_orderkey from lineitem where l_partkey = 5)")
 def array_contains_scan(spark, sf):
-    sets = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.collect_set("l_partkey").alias("entity_ids"))
+    lines = table(spark, sf, "lineitem")
+    own = lines.join(lines.filter("l_partkey = 5").select("l_orderkey").distinct(), "l_orderkey", "left_semi")
+    sets = own.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.collect_set("l_partkey").alias("entity_ids"))
     return sets.filter(F.array_contains("entity_ids", 5)).select("document_id", F.size("entity_ids").cast("long").alias("n_entities"))
 
 

@@ -49,16 +49,24 @@ def link_traverse(spark, sf):
     return links.traverse(all_links(spark, sf), "document", "7").select("type", F.array_join("ids", ",").alias("ids"))
 
 
-@query("related_entities", f"with {M_SQL}, s as (select unnest([3, 5]) seed) select distinct seed::BIGINT as seed, y.e as entity_id, 1 as depth from s join m x on x.e = seed join m y on y.c = x.c where y.e <> seed")
+#: Seeds are the parts whose id is divisible by 100.
+SEEDS = "sd as (select p_partkey e from part where p_partkey % 100 = 0)"
+REACHED = f"""{M_SQL}, {SEEDS}, h1 as (select distinct sd.e s, y.e from sd join m x using (e) join m y on y.c = x.c where y.e <> sd.e),
+h2 as (select distinct s, y.e from h1 join m x on x.e = h1.e join m y on y.c = x.c where y.e <> s), re as (select s, e, min(d)::INT d from (select *, 1 d from h1 union all select *, 2 from h2) group by 1, 2)"""
+
+
+def part_seeds(spark, sf, name="entity_id") -> DataFrame:
+    return table(spark, sf, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias(name))
+
+
+@query("related_entities", f"with {REACHED} select s as seed, e as entity_id, d as depth from re")
 def related_entities(spark, sf):
-    seeds = spark.createDataFrame([(3,), (5,)], "entity_id long")
-    return links.related_entities(mentions(spark, sf), seeds, 1)
+    return links.related_entities(mentions(spark, sf), part_seeds(spark, sf), 2)
 
 
-@query("seeds_retrieve", f"with {M_SQL}, n as (select 5 e, 0 d union select distinct y.e, 1 from m x join m y on y.c = x.c where x.e = 5 and y.e <> 5) select c as chunk_id, round(max(0.6 / (d + 1)), 6)::DOUBLE as score from n join m using (e) group by 1")
+@query("seeds_retrieve", f"with {REACHED}, n as (select e, min(d) d from (select e, 0 d from sd union all select e, d from re) group by 1) select c as chunk_id, round(max(0.6 / (d + 1)), 6)::DOUBLE as score from n join m using (e) group by 1")
 def seeds_retrieve(spark, sf):
-    seeds = spark.createDataFrame([(5,)], "entity_id long")
-    return links.retrieve_from_seeds(mentions(spark, sf), seeds, 0.6, 1).withColumn("score", F.round("score", 6))
+    return links.retrieve_from_seeds(mentions(spark, sf), part_seeds(spark, sf), 0.6, 2).withColumn("score", F.round("score", 6))
 
 
 @query("cooccur", f"with {E_SQL} select src, dst, w as weight from ed")
@@ -80,18 +88,22 @@ def entity_lookup(spark, sf):
     return graph.entity_lookup(entities, name).withColumn("relevance", F.round("relevance", 6))
 
 
-@query("hops_min", f"with {S_SQL}, h1 as (select distinct b id from u where a = 5), h2 as (select distinct b id from u join h1 on a = id) select 5::BIGINT as seed, id, min(d) as distance from (select id, 1 d from h1 union all select id, 2 from h2) where id <> 5 group by id")
+@query("hops_min", f"with {S_SQL}, {SEEDS}, h1 as (select distinct e seed, b id from u join sd on a = e), h2 as (select distinct seed, b id from u join h1 on a = id) select seed, id, min(d)::INT as distance from (select *, 1 d from h1 union all select *, 2 from h2) where id <> seed group by 1, 2")
 def hops_min(spark, sf):
-    return graph.within_hops(strong_edges(spark, sf), spark.createDataFrame([(5,)], "id long"), 2)
+    return graph.within_hops(strong_edges(spark, sf), part_seeds(spark, sf, "id"), 2)
+
+
+SAME = "(least({x}.a, {x}.b) = least({y}.a, {y}.b) and greatest({x}.a, {x}.b) = greatest({y}.a, {y}.b))"
 
 
-@query("weighted_traversal", f"""with {S_SQL}, p1 as (select a seed, b id, w t, a || '|' || b k from (select least(a,b) || '' x, * from u) where a = 5), f as (select e, count(*) n from m group by 1),
-p as (select 5 seed, b id, 1 hops, w / 10.0 mean from u where a = 5 union all select 5, y.b, 2, (x.w + y.w) / 20.0 from u x join u y on x.b = y.a where x.a = 5 and not (least(x.a, x.b) = least(y.a, y.b) and greatest(x.a, x.b) = greatest(y.a, y.b)))
-select seed::BIGINT as seed, id, min(hops)::INT as hops, round(max(case hops when 1 then 0.8 else 0.6 end * mean + coalesce(n, 1) / 50), 6)::DOUBLE as score, max(case when mean >= 0.7 then 0.9 when mean >= 0.5 then 0.8 else 0.7 end)::DOUBLE as confidence from p left join f on e = id where id <> 5 group by 1, 2""")
+@query("weighted_traversal", f"""with {S_SQL}, {SEEDS}, f as (select e, count(*) n from m group by 1),
+p as (select e seed, b id, 1 hops, w / 10.0 mean from u join sd on a = e union all select e, y.b, 2, (x.w + y.w) / 20.0 from sd join u x on x.a = e join u y on x.b = y.a where not {SAME.format(x='x', y='y')}
+ union all select e, z.b, 3, (x.w + y.w + z.w) / 30.0 from sd join u x on x.a = e join u y on x.b = y.a join u z on y.b = z.a where not {SAME.format(x='x', y='y')} and not {SAME.format(x='x', y='z')} and not {SAME.format(x='y', y='z')})
+select seed, id, min(hops)::INT as hops, round(max(case hops when 1 then 0.8 when 2 then 0.6 else 0.4 end * mean + coalesce(n, 1) / 50), 6)::DOUBLE as score, max(case when mean >= 0.7 then 0.9 when mean >= 0.5 then 0.8 else 0.7 end)::DOUBLE as confidence from p left join f on f.e = id where id <> seed group by 1, 2""")
 def weighted_traversal(spark, sf):
     edges = strong_edges(spark, sf).withColumn("weight", F.col("weight") / 10.0)
     f = mentions(spark, sf).groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("frequency"))
-    return graph.weighted_paths(edges, spark.createDataFrame([(5,)], "id long"), f, 2, 0.0).withColumn("score", F.round("score", 6))
+    return graph.weighted_paths(edges, part_seeds(spark, sf, "id"), f, 3, 0.0).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -128,11 +140,9 @@ def link_type(spark, sf):
 
 @query("link_fuzzy")
 def link_fuzzy(spark, sf):
-    """Ratcliff-Obershelp likeness has no SQL equal: distinct part names against each other, blocked by a shared word."""
-    names = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_type").alias("type"))
-    words = names.select("p_name", "type", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("w"))
-    a, b = words.select("w", F.col("p_name").alias("a_name"), F.col("type").alias("a_type")), words.select("w", F.col("p_name").alias("b_name"), F.col("type").alias("b_type"))
-    pairs = a.join(b, "w").filter("a_name < b_name").select("a_name", "a_type", "b_name", "b_type").distinct()
+    """Ratcliff-Obershelp likeness has no SQL equal: distinct part names and types against each other; candidates by bounds that lose none, tested against all pairs."""
+    names = table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("type")).distinct()
+    pairs = graph.match_candidates(names)
     return graph.match_kind(pairs)
 
 

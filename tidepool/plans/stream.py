@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepool.plans.registry import query
@@ -16,13 +14,14 @@ from tidepool.streaming import ingest
     "select date_trunc('day', ts) as day, event_type as strategy, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by 1, 2",
 )
 def stream_latency(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily windows over the event stream, written by a streaming query in complete mode and read back."""
+    """Daily windows over the event stream; each micro-batch's new totals are written to shared storage, and the last of a window counts."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    name, where = f"latency_{uuid.uuid4().hex}", scratch(spark, "stream")
-    done = ingest.windowed_latency(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "strategy", "n", F.round("mean_value", 6).alias("mean_value"), "max_value")
+    where = scratch(spark, "stream")
+    ingest.store_updates(ingest.windowed_latency(stream), f"{where}/latency", f"{where}/checkpoint").awaitTermination()
+    rows = spark.read.option("basePath", f"{where}/latency").parquet(f"{where}/latency")
+    last = rows.groupBy("w", "strategy").agg(F.max_by(F.struct("n", "mean_value", "max_value"), "batch").alias("x"))
+    return last.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "strategy", "x.n", F.round("x.mean_value", 6).alias("mean_value"), "x.max_value")
 
 
 @query("stream_chunks")

@@ -35,13 +35,13 @@ def token_counts(spark, sf):
 
 
 #: A markdown text made of each document's columns, the same in both engines.
-MD = "'lost' || chr(10) || '# ' || source || chr(10) || substr(text, 1, 200) || chr(10) || '## ' || lang || chr(10) || '### Deep' || chr(10) || 'tail' || chr(10) || '## Last'"
+MD = "'lost' || chr(10) || '# ' || source || chr(10) || text || chr(10) || '## ' || lang || chr(10) || '### Deep' || chr(10) || 'tail' || chr(10) || '## Last'"
 LINES = f"li as (select doc_id, unnest(generate_series(0, len(l) - 1)) line_no, unnest(l) line from (select doc_id, string_split({MD}, chr(10)) l from documents))"
 
 
 def markdown():
     nl = F.lit("\n")
-    return F.concat(F.lit("lost"), nl, F.lit("# "), F.col("source"), nl, F.substring("text", 1, 200), nl, F.lit("## "), F.col("lang"), nl, F.lit("### Deep"), nl, F.lit("tail"), nl, F.lit("## Last"))
+    return F.concat(F.lit("lost"), nl, F.lit("# "), F.col("source"), nl, F.col("text"), nl, F.lit("## "), F.col("lang"), nl, F.lit("### Deep"), nl, F.lit("tail"), nl, F.lit("## Last"))
 
 
 SECTIONS = f"""{LINES}, h as (select *, regexp_matches(line, '^#{{1,6}}\\s+.+$') hd from li), s as (select *, sum(hd::INT) over (partition by doc_id order by line_no) section from h),
@@ -65,12 +65,12 @@ def sections_numbered(spark, sf):
     return chunking.numbered_sections(table(spark, sf, "documents"), t)
 
 
-PARAS = "substr(text, 1, 300) || chr(10) || ' ' || chr(10) || source || chr(10) || chr(10) || substr(text, 100, 400)"
+PARAS = "text || chr(10) || ' ' || chr(10) || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10))"
 
 
 @query("sections_paragraph", f"select doc_id, pos::INT as pos, substr(regexp_split_to_array(c, '[.!?]')[1], 1, 50) as title, md5(c) as digest from (select doc_id, unnest(generate_series(0, len(p) - 1)) pos, trim(unnest(p)) c from (select doc_id, regexp_split_to_array({PARAS}, '\\n\\s*\\n') p from documents)) where length(c) > 100")
 def sections_paragraph(spark, sf):
-    t = F.concat(F.substring("text", 1, 300), F.lit("\n \n"), F.col("source"), F.lit("\n\n"), F.substring("text", 100, 400))
+    t = F.concat(F.col("text"), F.lit("\n \n"), F.col("source"), F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return chunking.paragraphs(table(spark, sf, "documents"), t).select("doc_id", "pos", "title", F.md5("content").alias("digest"))
 
 
@@ -102,10 +102,11 @@ def numbered(spark, sf):
     return rows.select(F.col("source").alias("doc_id"), (F.col("rank") - 1).alias("chunk_index"), F.col("text").alias("content"), F.col("doc_id").alias("chunk"))
 
 
-@query("chunk_siblings", "select a.doc_id as chunk, coalesce((select string_agg(b.doc_id::VARCHAR, ',' order by b.doc_id) from documents b where b.source = a.source and b.lang = a.lang and b.doc_id <> a.doc_id), '') as siblings from documents a")
+@query("chunk_siblings", "with o as (select distinct l_orderkey d, l_linenumber c from lineitem) select a.d as document_id, a.c as chunk, b.c as sibling from o a join o b on a.d = b.d and a.c <> b.c")
 def chunk_siblings(spark, sf):
-    rows = chunking.siblings(table(spark, sf, "documents").withColumn("chunk", F.col("doc_id")), ["source", "lang"])
-    return rows.select("chunk", F.array_join(F.transform("siblings", lambda x: x.cast("string")), ",").alias("siblings"))
+    """Lines of an order as chunks of a node."""
+    own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.struct("l_orderkey", "l_linenumber").alias("chunk")).distinct()
+    return chunking.siblings(own, ["document_id"]).select(F.col("chunk.l_orderkey").alias("document_id"), F.col("chunk.l_linenumber").alias("chunk"), F.col("sibling.l_linenumber").alias("sibling"))
 
 
 @query("chunk_min_length", "select doc_id, n_chars from documents where length(trim(text)) > 50")
@@ -148,32 +149,38 @@ def neighbour_jaccard(spark, sf):
     return docs.join(nxt, "doc_id").select("doc_id", F.round(word_jaccard(F.col("text"), F.col("other")), 6).alias("jaccard"))
 
 
-NAMES = [("Model v1.2", "model 3"), ("RAG", "Retrieval Augmented Generation"), ("training", "AI"), ("Widget", "Widget"), ("GPT-4", "GPT 3.5"), ("plain", "other"), ("x1", "X2"), ("", "v2")]
+#: Pairs of names made of each part and the next.
+PAIRS = "pr as (select a.p_partkey, a.p_name || case a.p_partkey % 5 when 0 then ' v' || (a.p_partkey % 7) || '.2' when 1 then '-' || a.p_size when 2 then ' RAG' else '' end a, b.p_name || case b.p_partkey % 5 when 0 then ' 3' when 3 then ' retrieval augmented generation' when 4 then ' AI' else '' end b from part a join part b on b.p_partkey = a.p_partkey + 1)"
 
 
-@query("version_match", f"select a, b, nullif(regexp_extract(lower(a), '^(.+?)[\\s\\-]*(v?\\d+(?:\\.\\d+)*|\\d+)$', 1), '') as a_base, nullif(regexp_extract(lower(b), '^(.+?)[\\s\\-]*(v?\\d+(?:\\.\\d+)*|\\d+)$', 1), '') as b_base from {values_sql(NAMES, 't(a, b)')}")
+def name_pairs(spark, sf):
+    part, k = table(spark, sf, "part"), F.col("p_partkey") % 5
+    a = F.concat("p_name", F.when(k == 0, F.concat(F.lit(" v"), (F.col("p_partkey") % 7).cast("string"), F.lit(".2"))).when(k == 1, F.concat(F.lit("-"), F.col("p_size").cast("string"))).when(k == 2, " RAG").otherwise(""))
+    b = F.concat("p_name", F.when(k == 0, " 3").when(k == 3, " retrieval augmented generation").when(k == 4, " AI").otherwise(""))
+    return part.select("p_partkey", a.alias("a")).join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), b.alias("b")), "p_partkey")
+
+
+@query("version_match", f"with {PAIRS} select p_partkey, a, b, nullif(regexp_extract(lower(a), '^(.+?)[\\s\\-]*(v?\\d+(?:\\.\\d+)*|\\d+)$', 1), '') as a_base, nullif(regexp_extract(lower(b), '^(.+?)[\\s\\-]*(v?\\d+(?:\\.\\d+)*|\\d+)$', 1), '') as b_base from pr")
 def version_match(spark, sf):
-    return spark.createDataFrame(NAMES, "a string, b string").select("a", "b", tx.version_base(F.col("a")).alias("a_base"), tx.version_base(F.col("b")).alias("b_base"))
+    return name_pairs(spark, sf).select("p_partkey", "a", "b", tx.version_base(F.col("a")).alias("a_base"), tx.version_base(F.col("b")).alias("b_base"))
 
 
 ACRONYM_SQL = " or ".join(f"(contains({p}, {quoted(k)}) and contains({q}, {quoted(v)}))" for p, q in (("lower(a)", "lower(b)"), ("lower(b)", "lower(a)")) for k, v in values.ACRONYMS.items())
 
 
-@query("acronym_match", f"select a, b, ({ACRONYM_SQL}) as is_acronym from {values_sql(NAMES, 't(a, b)')}")
+@query("acronym_match", f"with {PAIRS} select p_partkey, a, b, ({ACRONYM_SQL}) as is_acronym from pr")
 def acronym_match(spark, sf):
-    return spark.createDataFrame(NAMES, "a string, b string").select("a", "b", tx.acronym_pair(F.col("a"), F.col("b")).alias("is_acronym"))
+    return name_pairs(spark, sf).select("p_partkey", "a", "b", tx.acronym_pair(F.col("a"), F.col("b")).alias("is_acronym"))
 
 
 TECH = "text || ' The transformer model uses PyTorch, and ' || source || ' needs redis with a Vector  Database; GPT-4 and few-shot retrieval on AWS.'"
 
 
-@query("tech_entities", f"select doc_id, kind, string_agg(distinct lower(m), ',' order by lower(m)) as found from (select doc_id, kind, unnest(regexp_extract_all({TECH}, p, 0, 'i')) m from documents, {values_sql(values.TECHNICAL, 'v(p, kind)')}) group by 1, 2")
+@query("tech_entities", f"with f as (select doc_id, kind, i, lower(trim(m)) m from (select doc_id, kind, i, unnest(regexp_extract_all({TECH}, p, 0, 'i')) m from documents, {values_sql([(i, p, k) for i, (p, k) in enumerate(values.TECHNICAL)], 'v(i, p, kind)')})), o as (select doc_id, m, arg_min(kind, i) kind from f where length(m) between 3 and 99 group by 1, 2) select doc_id, kind, string_agg(m, ',' order by m) as found from o group by 1, 2")
 def tech_entities(spark, sf):
     t = F.concat("text", F.lit(" The transformer model uses PyTorch, and "), "source", F.lit(" needs redis with a Vector  Database; GPT-4 and few-shot retrieval on AWS."))
-    rows = table(spark, sf, "documents").select("doc_id", t.alias("t"))
-    tagged = lambda p, kind: F.transform(F.regexp_extract_all("t", F.lit(f"(?i){p}"), 0), lambda m: F.struct(F.lit(kind).alias("kind"), F.lower(m).alias("m")))
-    found = F.concat(*(tagged(p, kind) for p, kind in values.TECHNICAL))
-    return rows.select("doc_id", F.explode(found).alias("x")).groupBy("doc_id", F.col("x.kind").alias("kind")).agg(F.array_join(F.sort_array(F.collect_set("x.m")), ",").alias("found"))
+    found = graph.technical_entities(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), t.alias("content")))
+    return found.groupBy(F.col("chunk_id").alias("doc_id"), F.col("type").alias("kind")).agg(F.array_join(F.sort_array(F.collect_set(F.lower("name"))), ",").alias("found"))
 
 
 @query("entity_group", "select lower(p_name) as key, min(p_name) as name, count(distinct p_brand) as frequency, count(*) as mentions from part group by 1")
@@ -181,13 +188,19 @@ def entity_group(spark, sf):
     return table(spark, sf, "part").groupBy(F.lower("p_name").alias("key")).agg(F.min("p_name").alias("name"), F.count_distinct("p_brand").alias("frequency"), F.count("*").alias("mentions"))
 
 
-RELATION_TEXTS = [("It uses Redis",), ("A depends on B and has C",), ("a b",), ("one two three four five six seven eight nine ten",), ("",), ("x versus y",)]
 REL_SQL = " ".join(f"when {' or '.join(f'contains(lower(t), {quoted(w)})' for w in ws)} then {quoted(k)}" for k, ws in values.RELATIONS.items())
 
 
-@query("relation_words", f"select t, case {REL_SQL} else case when len({WORDS.format('t')}) < 10 then 'RELATES_TO' end end as relation from {values_sql(RELATION_TEXTS, 'v(t)')}")
+@query("relation_words", f"with w as (select conv_id, turn, text || case (conv_id + turn) % 4 when 0 then ' uses it' when 1 then ' is part of it' else '' end t from conversations) select conv_id, turn, md5(t) as digest, case {REL_SQL} else case when len({WORDS.format('t')}) < 10 then 'RELATES_TO' end end as relation from w")
 def relation_words(spark, sf):
-    return spark.createDataFrame(RELATION_TEXTS, "t string").select("t", tx.relation_between(F.col("t")).alias("relation"))
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    t = F.concat("text", F.when(k == 0, " uses it").when(k == 1, " is part of it").otherwise(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(t).alias("digest"), tx.relation_between(t).alias("relation"))
+
+
+@query("between_names", "with b as (select doc_id, lower(text) t, instr(lower(text), 'the') i, instr(lower(text), 'und') j from documents) select doc_id, md5(case when i = 0 or j = 0 then '' when i < j then substr(t, i + 3, greatest(j - i - 3, 0)) else substr(t, j + 3, greatest(i - j - 3, 0)) end) as digest from b")
+def between_names(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.text_between(F.col("text"), F.lit("The"), F.lit("und"))).alias("digest"))
 
 
 @query("proximity", "select doc_id, (instr(text, 'the') > 0 and instr(text, 'and') > 0 and abs(instr(text, 'the') - instr(text, 'and')) < 200) as near from documents")
@@ -196,13 +209,16 @@ def proximity(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ((a > 0) & (b > 0) & (F.abs(a - b) < 200)).alias("near"))
 
 
-DATES = [("due 2024-01-15 or so",), ("on 1/5/2023",), ("January 15, 2024",), ("Jan 3, 2022",), ("2024-13-45",), ("none",), ("31/31/2020 then",)]
-DATES_OUT = ["2024-01-15", "2023-01-05", "2024-01-15", "2022-01-03", None, None, None]
+DAY = "o_orderdate::DATE"
 
 
-@query("parse_dates", f"select t, d::DATE as d from {values_sql([(t[0], d) for t, d in zip(DATES, DATES_OUT, strict=True)], 'v(t, d)')}")
+@query("parse_dates", f"select o_orderkey, case when o_orderkey % 6 < 4 then {DAY} end as d from orders")
 def parse_dates(spark, sf):
-    return spark.createDataFrame(DATES, "t string").select("t", temporal.parse_date(F.col("t")).alias("d"))
+    """Order dates written in four ways, as no real date, or not at all."""
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 6
+    written = [F.date_format(day, f) for f in ("yyyy-MM-dd", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy")]
+    text = F.when(k == 0, written[0]).when(k == 1, written[1]).when(k == 2, written[2]).when(k == 3, written[3]).when(k == 4, F.lit("31/31/2020 and 2024-13-45")).otherwise("soon")
+    return table(spark, sf, "orders").select("o_orderkey", temporal.parse_date(F.concat(F.lit("due "), text, F.lit(" or so"))).alias("d"))
 
 
 @query("lifecycle", "select o_orderkey, case when o_orderkey % 4 = 0 then case when o_orderdate::DATE < DATE '1999-01-01' then 'expired' else 'active' end when datediff('day', o_orderdate::DATE, DATE '1999-01-01') <= 30 then 'current' when datediff('day', o_orderdate::DATE, DATE '1999-01-01') <= 90 then 'recent' else 'historical' end as stage from orders")

@@ -7,7 +7,9 @@ def test_entire_texts_whatever_their_dress(spark):
     mit = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + ls.KNOWN["MIT"].upper().replace(", ", " ,\n") + "\n"
     rows = [(1, mit), (2, ls.KNOWN["BSD-3-Clause"].replace("1. ", "(1)  ")), (3, "some text\nReleased under the MIT Licence!"), (4, None), (5, ""), (6, "*** ..."), (7, ls.KNOWN["MIT"] + " more"), (8, "x " * 50000), (1, mit)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' as license_id", "'b' as text_digest", "1 as _id")
-    got = {r.doc_id: r for r in ls.license_scan(docs).collect()}
+    out = ls.license_scan(docs).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows), "a row for each row"
+    got = {r.doc_id: r for r in out}
     assert {i: r.license_id for i, r in got.items()} == {1: "MIT", 2: "BSD-3-Clause", 3: None, 4: None, 5: None, 6: None, 7: None, 8: None}
     assert got[3].notices == "MIT notice" and got[4].text_digest == got[5].text_digest == got[6].text_digest
     assert ls.license_scan(docs.limit(0)).count() == 0
@@ -18,3 +20,19 @@ def test_known_texts_of_the_caller(spark):
     assert ls.license_scan(docs, known={"own": "my own license", "b": "other"}).first().license_id == "own"
     with pytest.raises(Exception, match="nothere"):
         ls.license_scan(docs, text_col="nothere").collect()
+
+
+def test_full_texts_are_known(spark):
+    known = ls.known_licenses()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(known)
+    rows = [(i, f"\n{text.upper()}  ") for i, text in enumerate(known.values())] + [(None, known["MIT"]), (None, known["MIT"]), (99, known["GPL-3.0"][:5000])]
+    got = ls.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.license_id is not None for r in got if r.doc_id != 99) and [r.license_id for r in got if r.doc_id == 99] == [None]
+    assert [r.license_id for r in got if r.doc_id is None] == ["MIT", "MIT"]
+    assert {list(known)[r.doc_id] for r in got if r.doc_id not in (None, 99)} >= {r.license_id for r in got if r.license_id}
+
+
+def test_a_hot_text(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "if(id % 3 = 0, 'x\\nReleased under the MIT License.', concat('own ', id)) as text")
+    got = ls.license_scan(docs).groupBy("notices").count().collect()
+    assert {(r.notices, r["count"]) for r in got} == {("MIT notice", 667), ("", 1333)}

@@ -2,18 +2,23 @@
 
 A text is normalised (case, copyright lines, punctuation, white space, equivalent spellings), digested, and the digest is
 hash-joined with those of known licences. Besides the entire text, each line that names a licence is digested by the same rules, so
-that one-line notices at the foot of a document are found.
+that one-line notices at the foot of a document are found. What lines say depends on the text alone, so it is found once for each
+distinct text and joined back.
 
 Defined cases: a null text is the empty text; an empty (or all-punctuation) text has the digest of '' and no licence; equal texts have
-equal results; repeated rows stay repeated; extra columns are ignored. Known texts with equal canonical forms give the smallest id.
+equal results; each row gives one row, repeated rows and null ids too; very long texts are read whole; extra columns are ignored,
+whatever their names. Known texts with equal canonical forms give the smallest id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidepool.llm.common import hot_keys, materialize, salted_join
+
 # Public licence texts and notices, by SPDX identifier.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -37,6 +42,15 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
@@ -48,6 +62,15 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
 }
 
+#: Long licences, a file each, named by SPDX identifier.
+TEXTS = Path(__file__).with_name("licenses")
+
+
+def known_licenses() -> dict[str, str]:
+    """The texts and notices above and the files of ``TEXTS``."""
+    return KNOWN | {f.stem: f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
+
+
 # Spellings taken as equal, after punctuation has become spaces; applied in this order.
 EQUIVALENT = [
     ("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("organisation", "organization"),
@@ -72,28 +95,28 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark, known: dict[str, str] | None = None) -> DataFrame:
     """(license_id, license_digest), one row per canonical form."""
-    rows = list((KNOWN if known is None else known).items())
+    rows = list((known_licenses() if known is None else known).items())
     texts = spark.createDataFrame(rows, "license_id string, body string")
     return texts.groupBy(F.md5(canonical(F.col("body"))).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None) -> DataFrame:
-    """One row per (id, canonical text): text_digest, license_id of the entire text (or null), notices: sorted ids found on its lines, joined by commas.
+    """Per row: id, text_digest, license_id of the entire text (or null), notices: sorted ids found on its lines, joined by commas.
 
-    The documents are read once: each gives its entire digest and those of its lines that name a licence; these narrow rows meet the
-    known digests in a hash join and are grouped by document, after partial aggregation. ``known`` maps licence ids to texts.
+    The documents are read once. Entire digests meet the known ones in a hash join, so do the digests of lines, of which those of equal
+    texts are one; texts with notices, hot ones dealt over many tasks, meet their rows by the text's own digest. ``known`` maps licence
+    ids to texts.
     """
     digests = known_digests(docs.sparkSession, known)
     text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.lower(x).rlike(NAMES_LICENSE))
-    units = text.select("_id", F.md5(canonical(F.col("_text"))).alias("text_digest"), F.array_distinct(F.transform(lines, lambda x: F.md5(canonical(x)))).alias("_lines"))
-    tagged = F.concat(F.array(F.struct(F.lit(True).alias("entire"), F.col("text_digest").alias("d"))), F.transform("_lines", lambda x: F.struct(F.lit(False).alias("entire"), x.alias("d"))))
-    flat = units.select("_id", "text_digest", F.explode(tagged).alias("u")).select("_id", "text_digest", "u.entire", "u.d")
-    found = flat.join(digests, flat.d == digests.license_digest, "left")
-    return found.groupBy("_id", "text_digest").agg(
-        F.min(F.when(F.col("entire"), F.col("license_id"))).alias("license_id"),
-        F.array_join(F.sort_array(F.collect_set(F.when(~F.col("entire"), F.col("license_id")))), ",").alias("notices"),
-    ).withColumnRenamed("_id", id_col)
+    units = text.select("_id", F.md5("_text").alias("_raw"), F.md5(canonical(F.col("_text"))).alias("text_digest"), F.array_distinct(F.transform(lines, lambda x: F.md5(canonical(x)))).alias("_lines"))
+    units = materialize(units, "licenses")
+    said = units.select("_raw", F.explode("_lines").alias("license_digest")).join(digests, "license_digest").groupBy("_raw", "license_id").agg(F.count("*").alias("n"))
+    said = materialize(said.groupBy("_raw").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"), F.max("n").alias("n")), "notices")
+    entire = units.join(digests.withColumnRenamed("license_digest", "text_digest"), "text_digest", "left")
+    rows = salted_join(entire.select("_id", "_raw", "text_digest", "license_id"), said.drop("n"), ["_raw"], F.col("_id"), "left", hot=hot_keys(said, ["_raw"]))
+    return rows.select(F.col("_id").alias(id_col), "text_digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def oracle(table: str = "documents") -> str:
@@ -106,11 +129,11 @@ def oracle(table: str = "documents") -> str:
             c = f"replace({c}, {quote(a)}, {quote(b)})"
         return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
 
-    values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in KNOWN.items())
+    values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known_licenses().items())
     return f"""
 with known as (select min(license_id) license_id, d from (select license_id, md5({canon('body')}) d from (values {values}) t(license_id, body)) group by d),
 units as (select doc_id, coalesce(text, '') t, md5({canon("coalesce(text, '')")}) text_digest from {table}),
-lines as (select distinct doc_id, text_digest, md5({canon('line')}) d from (select doc_id, text_digest, unnest(string_split(t, chr(10))) line from units) where regexp_matches(lower(line), '{NAMES_LICENSE}')),
-notices as (select doc_id, text_digest, string_agg(license_id, ',' order by license_id) n from (select distinct l.doc_id, l.text_digest, k.license_id from lines l join known k using (d)) group by 1, 2)
-select distinct u.doc_id, u.text_digest, k.license_id, coalesce(n.n, '') as notices
-from units u left join known k on k.d = u.text_digest left join notices n on n.doc_id = u.doc_id and n.text_digest = u.text_digest"""
+texts as (select distinct t from units), lines as (select distinct t, md5({canon('line')}) d from (select t, unnest(string_split(t, chr(10))) line from texts) where regexp_matches(lower(line), '{NAMES_LICENSE}')),
+notices as (select t, string_agg(license_id, ',' order by license_id) n from (select distinct l.t, k.license_id from lines l join known k using (d)) group by 1)
+select u.doc_id, u.text_digest, k.license_id, coalesce(n.n, '') as notices
+from units u left join known k on k.d = u.text_digest left join notices n on n.t = u.t"""

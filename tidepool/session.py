@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, whatever the working directory."""
-    home, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if home not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    """Send this package to the executors once a session, as a zip that Python workers import from."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        home = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-tidepool-")) / "tidepool.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(app)
     return spark
 
 
@@ -44,6 +52,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-tidepool-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(where)
     return f"{where.rstrip('/')}/tidepool/{name}-{uuid.uuid4().hex}"

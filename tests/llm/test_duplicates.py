@@ -212,8 +212,8 @@ def test_units_tile_the_text():
     assert start[0] == 2 and stop[-1] == len(text) and (start[1:] == stop[:-1]).all() and (words > 0).all() and len(digest) == len(start)
 
 
-def test_spans_equal_brute_force(spark, sf):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+def spans_by_definition(rows):
+    """Counter of (id, start, stop, words) of the runs that go."""
     units = {i: substring_dedup.units_of(t, HASHES) for i, t in rows}
     first = {}
     for i in sorted(units):
@@ -230,7 +230,13 @@ def test_spans_equal_brute_force(spark, sf):
                 if words[run].sum() >= 20 and 2 * told >= words[run].sum():
                     expect[i, int(start[run[0]]), int(stop[run[-1]]), int(words[run].sum())] += 1
                 run = []
-    got = Counter((r.doc_id, r.start, r.stop, r.n_words) for r in substring_dedup.repeated_spans(spark.read.parquet(f"{sf}/documents.parquet")).collect())
+    return expect
+
+
+def test_spans_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    expect = spans_by_definition([(r.doc_id, r.text) for r in docs.collect()])
+    got = Counter((r.doc_id, r.start, r.stop, r.n_words) for r in substring_dedup.repeated_spans(docs).collect())
     assert got == expect and expect
 
 

@@ -1,17 +1,69 @@
-"""Stages keep columns and clean documents, take effect, and run() equals the stages one after the other."""
+"""Stages keep columns and clean documents and take effect; the whole run equals a brute-force version, stage by stage."""
+
+import zlib
+
+import numpy as np
+from test_duplicates import _leaks_by_definition, expected, spans_by_definition
+from test_packing import _library
 
 import corpus_pipeline
-from tidepool.llm.common import materialize
+from tidepool.llm import quality_bayes
+from tidepool.llm.common import HASHES, materialize
+from tidepool.llm.doc_stats import stats_of
+
+SF = "/root/testdata/sf0.001"
+
+
+def quality_by_definition(rows, labels, model):
+    """(id, site) -> posterior, of rows (id, host, path, text)."""
+    logit = model.logit(np.array([stats_of(t, HASHES)[1] for _, _, _, t in rows]))
+    p = 1 / (1 + np.exp(-logit))
+    e = np.array([labels.get(i, x) for (i, _, _, _), x in zip(rows, p, strict=True)])
+    rate = e.mean()
+
+    def strength(groups, parents):
+        n, s = (np.array([g[k] for g in groups], float) for k in (0, 1))
+        parents = np.array(parents)
+        m = (parents * (1 - parents)).mean()
+        between = ((n * (s / n - parents) ** 2).sum() - (len(n) - 1) * m) / max(n.sum() - (n * n).sum() / n.sum(), 1e-9)
+        return float(np.clip(m / max(between, 1e-12) - 1, 1.0, 1e6)) if len(n) > 1 else 100.0
+
+    sums: dict = {}
+    for (_, host, path, _), x in zip(rows, e, strict=True):
+        for key in ((host,), (host, path)):
+            n, s = sums.get(key, (0, 0.0))
+            sums[key] = (n + 1, s + x)
+    hosts = {k: v for k, v in sums.items() if len(k) == 1}
+    paths = {k: v for k, v in sums.items() if len(k) == 2}
+    k_host = strength(list(hosts.values()), [rate] * len(hosts))
+    host_rate = {k[0]: (s + k_host * rate) / (n + k_host) for k, (n, s) in hosts.items()}
+    k_path = strength(list(paths.values()), [host_rate[k[0]] for k in paths])
+    clipped = lambda q: np.log(np.clip(q, 1e-4, 1 - 1e-4) / (1 - np.clip(q, 1e-4, 1 - 1e-4)))
+    out = []
+    for (i, host, path, _), x, own in zip(rows, e, p, strict=True):
+        n, s = paths[host, path]
+        site = (s - x + k_path * host_rate[host]) / (n - 1 + k_path)
+        out.append((i, site, 1 / (1 + np.exp(-(clipped(own) + clipped(site) - clipped(rate))))))
+    return out
+
+
+def test_posteriors_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_bayes.fit(docs, labels)
+    got = sorted((r.doc_id, r.site_rate, r.posterior, r.kept) for r in quality_bayes.quality_bayes(docs, labels, model, docs.source, docs.lang).collect())
+    rows = sorted((r.doc_id, r.source, r.lang, r.text) for r in docs.collect())
+    want = quality_by_definition(rows, {r.doc_id: float(r.quality) for r in labels.collect()}, model)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1:3] for g in got], [w[1:] for w in want], atol=1e-9) and all(g[3] == (w[2] >= 0.5) for g, w in zip(got, want, strict=True))
 
 
 def test_stages(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     before = {r.doc_id: r.text for r in docs.collect()}
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        out = materialize(stage(spark, docs, sf), name)
+        out = materialize(stage(spark, docs, SF), name)
         if name == "packed_sequences":
             assert {r.doc_id for r in out.collect()} == set(before)
             break
@@ -26,6 +78,30 @@ def test_stages(spark):
         before, docs = after, out
 
 
-def test_run(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and all(0 < r.offset + r.length <= 1024 for r in rows)
+def test_run_equals_brute_force(spark):
+    docs, labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    rows = sorted((r.doc_id, r.source, r.lang, r.text) for r in docs.collect())
+    model = quality_bayes.fit(docs, labels)
+    kept = {i for i, _, p in quality_by_definition(rows, {r.doc_id: float(r.quality) for r in labels.collect()}, model) if p >= 0.5}
+    texts = [(i, t) for i, _, _, t in rows if i in kept]
+    first = {i for i, _, c in expected(texts, 5, 80) if i == c}
+    texts = [(i, t) for i, t in texts if i in first]
+    cut = dict(texts)
+    for i, start, stop, _ in sorted(spans_by_definition(texts), reverse=True):
+        cut[i] = cut[i][:start] + cut[i][stop:]
+    ids = sorted(cut)
+    leaked = {ids[d] for d, _ in _leaks_by_definition([cut[i] for i in ids], [(r.item_id, r.text) for r in items.collect()])}
+    tokens = _library()
+    want = set()
+    for i in ids:
+        if i in leaked:
+            continue
+        own = [*tokens.encode(cut[i] or "", add_special_tokens=False).ids, 2]
+        k = -(-len(own) // 1024)
+        cuts = [0, *range(len(own) - (k - 1) * 1024, len(own) + 1, 1024)]
+        want |= {(i, j, a, b - a, zlib.crc32(np.array(own[a:b], "<u4").tobytes())) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert len(ids) < len(rows) and all(0 < r.offset + r.length <= 1024 for r in got)
+    used = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) <= 1.02 * -(-used // 1024) + 1

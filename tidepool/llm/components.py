@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         near = salted_join(both, labels, ["node"], F.col("a"), hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = materialize(salted_join(step, jump, ["label"], F.col("node"), "left").select("node", "old", F.coalesce("further", "label").alias("label")), "labels")
+        many = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), ["label"])  # those of the round before: any choice gives the same result
+        step = materialize(salted_join(step, jump, ["label"], F.col("node"), "left", hot=many).select("node", "old", F.coalesce("further", "label").alias("label")), "labels")
         changed = step.filter("label <> old").limit(1).count()
         labels = step.select("node", "label")
         if not changed:

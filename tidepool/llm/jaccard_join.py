@@ -76,11 +76,11 @@ def prefix(s: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) ->
     return np.concatenate([rare, often[: p - len(rare)]])
 
 
-def common_shingles(docs: DataFrame, k: int, most: int = 1 << 17, block: int = 2_000_000, local: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` of the commonest shingles (sorted) and their ranks from rarer to commoner.
+def common_shingles(docs: DataFrame, k: int, most: int = 1 << 17, block: int = 2_000_000, local: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``most`` of the commonest shingles (sorted), their ranks from rarer to commoner, and their counts.
 
     Counts of shingles that ``local`` documents of one block of shingles share are summed. The driver gets at most ``most`` rows,
-    whatever the corpus; they only order prefixes.
+    whatever the corpus; they only order prefixes and tell which shingles are hot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def common_shingles(docs: DataFrame, k: int, most: int = 1 << 17, block: int = 2
     rows = docs.select("_text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toArrow()
     h = np.array(rows["h"], np.int64).view(np.uint64)
     by_hash = np.argsort(h)
-    return h[by_hash], np.arange(len(h), 0, -1)[by_hash]
+    return h[by_hash], np.arange(len(h), 0, -1)[by_hash], np.array(rows["n"], np.int64)[by_hash]
 
 
 def described(docs: DataFrame, k: int, percent: int, common: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -137,6 +137,8 @@ def described(docs: DataFrame, k: int, percent: int, common: np.ndarray, rank: n
     return docs.select("_id", "_text").mapInArrow(run, f"_id {kind}, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, sig array<bigint>, wide array<bigint>")
 
 
+#: Shingles of fewer documents are never hot.
+HOT_ROWS = 1000
 #: Bits of the fixed-size filter of shared prefix shingles.
 POSTING_BITS = 1 << 24
 
@@ -278,19 +280,22 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, chunk_rows: int = 1024) -> DataFrame:
     """Per row: id, n_shingles, component_id. ``percent``: documents link when 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    common, rank = common_shingles(docs, k)
+    common, rank, counts = common_shingles(docs, k)
+    # Shingles that very many documents share: their rows are dealt over many tasks. Any choice gives the same result.
+    often = common[counts >= max(HOT_ROWS, docs.count() // 1000)].view(np.int64)
+    hot = docs.sparkSession.createDataFrame(pa.table({"h": pa.array(often)}))
     table = materialize(described(docs, k, percent, common, rank), "sets")
 
     usable = table.filter((F.col("n") > 0) & F.col("_id").isNotNull())
     classes = materialize(usable.groupBy("n", "d1", "d2").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("_id"), "n", "d1", "d2")
     # Most prefix shingles are one class's own. The hashes that several ids have make a bitmap, by which the rest is dropped before
-    # the rows of the others are shuffled to meet them and the classes' representatives.
-    several = materialize(usable.select("_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("_id").alias("x"), F.max("_id").alias("y"), F.count("*").alias("n")).filter("x < y").select("h", "n"), "several")
-    hot, several = materialize(hot_keys(several, ["h"]), "hot"), several.select("h")  # a bounded number of shingles, whose rows are dealt over many tasks
+    # the rows of the others are shuffled to meet the classes' representatives.
+    several = usable.select("_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("_id").alias("x"), F.max("_id").alias("y")).filter("x < y")
+    # Shingles that pass by chance have one member and go with the filter on members below.
     rows = postings(usable, bitmap_of(several, position=F.col("h").bitwiseAND(F.lit(POSTING_BITS - 1)), size=POSTING_BITS))
     # Repeated rows count once (the join has dealt them by what tells them apart): two copies would cancel out of the XOR below.
-    rows = salted_join(rows, several, ["h"], F.col("_id"), hot=hot).join(reps, ["_id", "n", "d1", "d2"], "left_semi").select("h", "_id", "n", "d1", "d2").distinct()
+    rows = materialize(rows.join(reps, ["_id", "n", "d1", "d2"], "left_semi").select("h", "_id", "n", "d1", "d2").distinct(), "postings")
     # A shared passage gives many shingles to the same documents: of shingles with the same members (by their number, ends and
     # two combined hashes) one is kept, since the others would compare the same pairs.
     mixes = [F.bit_xor(F.xxhash64(*c)).alias(x) for x, c in (("mix", ("_id", "n", "d1", "d2")), ("mix2", ("d2", "d1", "n", "_id")))]

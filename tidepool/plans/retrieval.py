@@ -8,24 +8,35 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidepool.functions import scoring, temporal
 from tidepool.operators import fusion, retrieval
-from tidepool.plans.registry import query, quoted, values_sql
+from tidepool.plans.registry import query, quoted
 from tidepool.session import table
 
-REQUESTS = [(0, "the thing and on there"), (1, "la de cion que"), (2, "und der ein"), (3, "ther ation")]
-REQUEST_SQL = values_sql(REQUESTS, "req(query_id, query)")
+#: Requests: the first user turns of the conversations whose id is divisible by 100, and vectors whose id is.
+REQUEST_SQL = "(select conv_id::BIGINT query_id, text as query from (select conv_id, text, row_number() over (partition by conv_id order by turn, text) n from conversations where role = 'user' and conv_id % 100 = 0) where n = 1)"
 WEIGHTS = {"vector": 0.4, "keyword": 0.3, "metadata": 0.3}
 
 
-def requests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REQUESTS, "query_id int, query string")
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").filter("role = 'user' and conv_id % 100 = 0")
+    return turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.min(F.struct("turn", "text"))["text"].alias("query"))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
 
 
-def request_vectors(spark: SparkSession, sf: str, n: int = 4) -> DataFrame:
-    return table(spark, sf, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query"))
+def one_vector(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").filter("vec_id = 0").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def vectors_of_requests(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    req = requests(spark, sf).select("query_id")
+    return req.join(e, e.vec_id == req.query_id % 500).select("query_id", F.col("embedding").alias("query"))
 
 
 COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -35,7 +46,7 @@ COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
     "hybrid_rrf",
     f"""
 with req as (select * from {REQUEST_SQL}),
-v as (select q.vec_id::INT query_id, 'vector' source, e.vec_id doc_id, {COS} score from embeddings e, embeddings q where q.vec_id < 4 and exists (select 1 from documents d where d.doc_id = e.vec_id)),
+v as (select query_id, 'vector' source, e.vec_id doc_id, {COS} score from embeddings e, embeddings q, req where q.vec_id = query_id % 500 and exists (select 1 from documents d where d.doc_id = e.vec_id)),
 vr as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from v qualify rank <= 20),
 tok as (select doc_id, len(t)::DOUBLE doc_len, unnest(t) term from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') t from documents)),
 want as (select query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) term from req),
@@ -59,8 +70,8 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def three_lists(spark: SparkSession, sf: str) -> DataFrame:
-    docs, req = table(spark, sf, "documents"), requests(spark)
-    v = retrieval.vector_top_k(vectors(spark, sf).join(docs.select("doc_id"), "doc_id", "left_semi"), request_vectors(spark, sf), 20).select("query_id", F.lit("vector").alias("source"), "doc_id", "score")
+    docs, req = table(spark, sf, "documents"), requests(spark, sf)
+    v = retrieval.vector_top_k(vectors(spark, sf).join(docs.select("doc_id"), "doc_id", "left_semi"), vectors_of_requests(spark, sf), 20).select("query_id", F.lit("vector").alias("source"), "doc_id", "score")
     k = retrieval.keyword_search(docs, req, 20).select("query_id", F.lit("keyword").alias("source"), "doc_id", "score")
     m = retrieval.metadata_search(docs, {"lang": "en", "source": "src3"}).crossJoin(F.broadcast(req)).select("query_id", F.lit("metadata").alias("source"), "doc_id", "score")
     return v.unionByName(k).unionByName(m)
@@ -68,24 +79,24 @@ def three_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vec_topk", f"select e.vec_id as doc_id, round({COS}, 6) as score, round(100 / (1 + exp(-5 * ({COS} - 0.5))), 4) as match from embeddings e, embeddings q where q.vec_id = 0 order by {COS} desc, e.vec_id limit 10")
 def vec_topk(spark, sf):
-    rows = retrieval.vector_top_k(vectors(spark, sf), request_vectors(spark, sf, 1), 10)
+    rows = retrieval.vector_top_k(vectors(spark, sf), one_vector(spark, sf), 10)
     return rows.select("doc_id", F.round("score", 6).alias("score"), F.round(100 * scoring.sigmoid(F.col("score")), 4).alias("match"))
 
 
-@query("vec_topk_batch", f"select query_id, doc_id, round(s, 6) as score, rank from (select q.vec_id::INT query_id, e.vec_id doc_id, {COS} s, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id)::INT rank from embeddings e, embeddings q where q.vec_id < 8) where rank <= 5")
+@query("vec_topk_batch", f"select query_id, doc_id, round(s, 6) as score, rank from (select q.vec_id query_id, e.vec_id doc_id, {COS} s, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id)::INT rank from embeddings e, embeddings q where q.vec_id % 100 = 0) where rank <= 5")
 def vec_topk_batch(spark, sf):
-    return retrieval.vector_top_k(vectors(spark, sf), request_vectors(spark, sf, 8), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.vector_top_k(vectors(spark, sf), query_vectors(spark, sf), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("vec_filtered_threshold", f"select query_id, doc_id, round(s, 6) as score, (rank - 2)::INT as rank from (select q.vec_id::INT query_id, e.vec_id doc_id, {COS} s, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id) rank from embeddings e, embeddings q where q.vec_id < 4 and e.label = 1 and {COS} >= 0.05) where rank > 2 and rank <= 12")
+@query("vec_filtered_threshold", f"select query_id, doc_id, round(s, 6) as score, (rank - 2)::INT as rank from (select q.vec_id query_id, e.vec_id doc_id, {COS} s, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id) rank from embeddings e, embeddings q where q.vec_id % 100 = 0 and e.label = 1 and {COS} >= 0.05) where rank > 2 and rank <= 12")
 def vec_filtered_threshold(spark, sf):
-    rows = retrieval.vector_top_k(vectors(spark, sf), request_vectors(spark, sf), 10, F.col("label") == 1, 0.05, 2)
+    rows = retrieval.vector_top_k(vectors(spark, sf), query_vectors(spark, sf), 10, F.col("label") == 1, 0.05, 2)
     return rows.select("query_id", "doc_id", F.round("score", 6).alias("score"), (F.col("rank") - 2).alias("rank"))
 
 
 @query("vec_prefix_cosine", "select vec_id as doc_id, round(list_cosine_similarity(embedding[1:32]::DOUBLE[], (select embedding[1:32]::DOUBLE[] from embeddings where vec_id = 0)), 6) as score from embeddings")
 def vec_prefix_cosine(spark, sf):
-    q = request_vectors(spark, sf, 1)
+    q = one_vector(spark, sf)
     cut = vectors(spark, sf).select("doc_id", F.slice("embedding", 1, 32).alias("embedding"))
     return cut.crossJoin(F.broadcast(q)).select("doc_id", F.round(scoring.prefix_cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
 
@@ -169,7 +180,7 @@ m as (select doc_id, round(least(100.0, 100 / (1 + exp(-5 * (c - 0.5))) + 20 * l
 select doc_id, score, case when score >= 90 then 'Excellent match' when score >= 75 then 'Strong match' when score >= 60 then 'Good match' when score >= 40 then 'Moderate match' when score >= 25 then 'Weak match' else 'Poor match' end as quality from m""",
 )
 def match_vector(spark, sf):
-    q = request_vectors(spark, sf, 1).select("query")
+    q = one_vector(spark, sf).select("query")
     rows = table(spark, sf, "documents").join(vectors(spark, sf), "doc_id").crossJoin(F.broadcast(q))
     scored = rows.select("doc_id", scoring.vector_match(F.lit(Q), F.col("text"), scoring.cosine(F.col("embedding"), F.col("query"))).alias("score"))
     return scored.withColumn("quality", scoring.match_quality(F.col("score")))

@@ -183,6 +183,19 @@ def type_groups(entities: DataFrame) -> DataFrame:
     return usable.groupBy(F.concat_ws("_", F.lower("type"), F.substring(F.lower("name"), 1, 3)).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+def type_edges(entities: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs of one type and name start (``type_groups``) in groups that span several documents, minus those ``linked`` (src, dst) already: weight .4.
+
+    All pairs of a group are the result by definition, so a group is meant to be small. ``entities``: id, name, type, document_id.
+    """
+    usable = entities.filter((F.length("type") > 2) & (F.length("name") > 2)).withColumn("key", F.concat_ws("_", F.lower("type"), F.substring(F.lower("name"), 1, 3)))
+    groups = usable.groupBy("key").agg(F.min("document_id").alias("lo"), F.max("document_id").alias("hi")).filter("lo < hi").select("key")
+    kept = usable.join(groups, "key")
+    a, b = kept.select("key", F.col("id").alias("src")), kept.select("key", F.col("id").alias("dst"))
+    pairs = a.join(b, "key").filter("src < dst").select("src", "dst").join(linked.select("src", "dst"), ["src", "dst"], "left_anti")
+    return pairs.select("src", "dst", F.lit("CROSS_DOCUMENT_TYPE").alias("type"), F.lit(0.4).alias("weight"))
+
+
 def match_candidates(names: DataFrame, ratio: float = 0.7) -> DataFrame:
     """Pairs (a_name, a_type, b_name, b_type), a_name < b_name, that ``match_kind`` can match; none is lost.
 

@@ -138,6 +138,13 @@ def link_type(spark, sf):
     return graph.type_groups(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type")))
 
 
+@query("link_types", "with p as (select p_partkey id, lower(p_type) || '_' || lower(p_name)[1:3] k, lower(p_name) nm, p_brand d from part where length(p_type) > 2 and length(p_name) > 2), g as (select k from p group by 1 having min(d) < max(d)), n as (select nm from p group by 1 having min(d) < max(d)) select x.id as src, y.id as dst, 'CROSS_DOCUMENT_TYPE' as type, 0.4::DOUBLE as weight from p x join p y on x.k = y.k and x.id < y.id join g on g.k = x.k where not (x.nm = y.nm and x.nm in (select nm from n))")
+def link_types(spark, sf):
+    """Type edges of parts (brands as documents), beside the exact links."""
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("document_id"))
+    return graph.type_edges(own, graph.exact_links(own))
+
+
 @query("link_fuzzy")
 def link_fuzzy(spark, sf):
     """Ratcliff-Obershelp likeness has no SQL equal: distinct part names and types against each other; candidates by bounds that lose none, tested against all pairs."""

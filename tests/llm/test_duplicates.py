@@ -133,12 +133,13 @@ def test_a_hub_connects(spark):
     assert components.components(links).groupBy("label").count().collect() == [(0, 3002)]
 
 
-def test_rows_without_keys(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_rows_without_keys(spark, few):
     rows = spark.createDataFrame([(i % 50 if i % 7 else None, str(i)) for i in range(400)], "k long, text string")
     gone = spark.createDataFrame([(i,) for i in range(0, 60, 2)] + [(None,), (4,)], "k long")
-    got = sorted(r.text for r in without(rows, gone, ["k"]).collect())
+    got = sorted(r.text for r in without(rows, gone, ["k"], few).collect())
     assert got == sorted(str(i) for i in range(400) if i % 7 == 0 or i % 50 % 2)
-    assert without(rows, gone.limit(0), ["k"]).count() == 400 and without(rows.limit(0), gone, ["k"]).count() == 0
+    assert without(rows, gone.limit(0), ["k"], few).count() == 400 and without(rows.limit(0), gone, ["k"], few).count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

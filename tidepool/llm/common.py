@@ -41,7 +41,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 class WordHashes(dict):
     """bytes of a word -> its 64-bit hash. Emptied at ``limit`` entries, so that memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
@@ -126,14 +126,21 @@ def by_filter(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[Dat
     return rows.join(bits, hit, "left_anti"), rows.join(bits, hit, "left_semi")
 
 
-def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+#: So many keys may be broadcast (of one or two short columns: some 20 MB).
+FEW_KEYS = 200_000
+
+
+def without(rows: DataFrame, gone: DataFrame, columns: list[str], few_keys: int = FEW_KEYS) -> DataFrame:
     """The rows of ``rows`` whose ``columns`` don't occur in ``gone``; null keys stay. Wide rows stay where they are.
 
-    Rows that miss a bitmap of the keys pass. Of those that hit it only the keys are shuffled, to find the few that hit by chance; a
-    second bitmap picks these, and only rows that hit both meet the exact keys. Where the keys are too many for the largest bitmap it
-    lets more rows through to that join; results are the same.
+    Up to ``few_keys`` distinct keys, which are counted, are broadcast. More of them are looked up in bitmaps: rows that miss one pass. Of
+    those that hit it only the keys are shuffled, to find the few that hit by chance; a second bitmap picks these, and only rows that hit
+    both meet the exact keys. Where the keys are too many for the largest bitmap it lets more rows through to that join. Results are the
+    same either way.
     """
     gone = materialize(gone.select(*columns).distinct(), "gone")
+    if gone.count() <= few_keys:
+        return rows.join(F.broadcast(gone), columns, "left_anti").select(*rows.columns)
     passing, maybe = by_filter(rows, gone, columns)
     chance = materialize(maybe.select(*columns).join(gone, columns, "left_anti").distinct(), "chance")
     return passing.unionByName(by_filter(maybe, chance, columns)[1].join(gone, columns, "left_anti").select(*rows.columns))

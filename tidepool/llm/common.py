@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def word_pieces(text: str | None, translation: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a whole text as UTF-8, after ``translation`` of its bytes (to spaces where no word is), some ``size`` bytes at a time."""
+    data = (text or "").encode("utf-8", "replace").translate(translation)
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = end if end >= 0 else len(data)
+        yield data[at:end].split()
+        at = end
+
+
+def merged_vector(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of vectors of ``size`` 64-bit numbers, one to a row of a binary column, added up in a tree: the driver gets at most some 64 of them."""
+    rdd = parts.rdd.map(lambda row: np.frombuffer(bytes(row[0]), np.int64))
+    n = rdd.getNumPartitions()
+    if n == 0:
+        return np.zeros(size, np.int64)
+    depth = next(d for d in range(2, 64) if n ** (1 / d) <= 64)
+    return rdd.union(parts.sparkSession.sparkContext.parallelize([np.zeros(size, np.int64)], 1)).treeReduce(np.add, depth)
+
+
 class WordHashes(dict):
     """bytes of a word -> its 64-bit hash. Emptied at ``limit`` entries, so that memory stays bounded."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepool.llm import decontamination, html_text, jaccard_join, license_scan as licenses, packing, quality_bayes, quality_rules, substring_dedup, toxicity, warc
+from tidepool.llm import decontamination, html_text, jaccard_join, license_scan as licenses, packing, quality_bayes, quality_rules, resampling, source_audit, substring_dedup, toxicity, warc
 from tidepool.llm.common import table
 
 
@@ -51,7 +51,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_bayes, op3_decontamination, op4_best_fit_packing, op5_toxicity, op6_warc_revisits, op7_substring_dedup, op8_jaccard_join, op9_license_scan, op10_html_text)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_bayes, op3_decontamination, op4_best_fit_packing, op5_toxicity, op6_warc_revisits, op7_substring_dedup, op8_jaccard_join, op9_license_scan, op10_html_text, op11_importance_resampling, op13_source_audit)}
 OP6_SQL = """
 with h as (select page_id, encode(coalesce(html, '')) b, sha1(coalesce(html, '')) d from pages),
 g as (select d, octet_length(b) n, max(page_id) top, count(*) c from h group by 1, 2)
@@ -59,4 +67,4 @@ select page_id, octet_length(b) as payload_bytes, h.d as payload_digest,
   case when c > 1 and n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
   case when c > 1 and n >= 1000 and page_id < top then top end as refers_to
 from h join g on g.d = h.d and g.n = octet_length(h.b)"""
-ORACLE = {"op6_warc_revisits": OP6_SQL, "op9_license_scan": licenses.oracle()}
+ORACLE = {"op6_warc_revisits": OP6_SQL, "op9_license_scan": licenses.oracle(), "op11_importance_resampling": resampling.ORACLE_SQL, "op13_source_audit": source_audit.ORACLE_SQL}

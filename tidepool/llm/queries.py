@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepool.llm import decontamination, html_text, jaccard_join, license_scan as licenses, packing, quality_bayes, quality_rules, resampling, source_audit, substring_dedup, toxicity, warc
+from tidepool.llm import decontamination, html_text, jaccard_join, language_id, license_scan as licenses, packing, quality_bayes, quality_rules, resampling, source_audit, substring_dedup, toxicity, warc
 from tidepool.llm.common import table
 
 
@@ -55,11 +55,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_bayes, op3_decontamination, op4_best_fit_packing, op5_toxicity, op6_warc_revisits, op7_substring_dedup, op8_jaccard_join, op9_license_scan, op10_html_text, op11_importance_resampling, op13_source_audit)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_bayes, op3_decontamination, op4_best_fit_packing, op5_toxicity, op6_warc_revisits, op7_substring_dedup, op8_jaccard_join, op9_license_scan, op10_html_text, op11_importance_resampling, op12_language_id, op13_source_audit)}
 OP6_SQL = """
 with h as (select page_id, encode(coalesce(html, '')) b, sha1(coalesce(html, '')) d from pages),
 g as (select d, octet_length(b) n, max(page_id) top, count(*) c from h group by 1, 2)

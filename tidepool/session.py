@@ -32,10 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to Python, unless the session sets its own: both ends hold a batch for every running task.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once a session, as a zip that Python workers import from."""
+    """Send this package to the executors once a session, as a zip that Python workers import from, and bound the batches they get by bytes."""
+    if BATCH_BYTES[0] not in spark.sparkContext.getConf().toDebugString():
+        spark.conf.set(*BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         home = Path(__file__).resolve().parent

@@ -313,9 +313,9 @@ def _beams(edges, start, hops, width):
         if len(path) == hops + 1:
             done.append((tuple(path), round(rel, 9), conf))
             continue
-        fresh = sorted(((-w, d, c) for s, d, w, c in edges if s == path[-1] and d not in seen))[:width]
-        for w, d, c in fresh:
-            seen.add(d)
+        fresh = sorted(((-w, d, c) for s, d, w, c in edges if s == path[-1] and d not in seen))
+        seen |= {d for _, d, _ in fresh}
+        for w, d, c in fresh[:width]:
             queue.append(([*path, d], rel * -w, min(conf, c)))
     return sorted(done)
 

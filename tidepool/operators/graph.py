@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepool import values
 from tidepool.functions.text import acronym_pair, version_base
+from tidepool.operators.skew import frontier_join
+from tidepool.session import stored
 
 
 def cooccurrence(mentions: DataFrame) -> DataFrame:
@@ -98,38 +100,27 @@ def shortest_paths(edges: DataFrame, start: object, end: object, max_hops: int =
 
 
 def beam_search(edges: DataFrame, starts: DataFrame, max_hops: int = 3, width: int = 5) -> DataFrame:
-    """Paths of exactly ``max_hops`` hops from each start: (start, path, relevance, confidence).
+    """Paths of exactly ``max_hops`` hops from each start: (start, path, relevance, confidence), by edges whose relevance is known beforehand.
 
-    Each expanded node takes its ``width`` best edges to nodes that no path of this start has visited before; relevance multiplies along
-    the path, confidence is its least. What was visited depends on the order of expansion, so a start's frontier of one hop is one small
-    group. A frontier has at most ``width`` ** hops nodes, and a node needs no more than its best ``width`` + (nodes visited) edges, which
-    a limit per node keeps before anything is grouped, so hubs cost no more than other nodes. ``edges``: src, dst, relevance, confidence.
+    A node that several frontier nodes reach belongs to the first of them, in the order of a queue; all nodes reached count as visited,
+    also those beyond a frontier node's ``width`` best. ``edges``: src, dst, relevance, confidence. Relevance multiplies along the path,
+    confidence is its least. See ``multihop.beam_paths`` for the form with a relevance per request.
     """
     node = dict(edges.dtypes)["src"]
-    edges = edges.select("src", "dst", F.col("relevance").cast("double").alias("relevance"), F.col("confidence").cast("double").alias("confidence"))
-    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("relevance"), "dst"))
-    kind = f"start {node}, place int, path array<{node}>, relevance double, confidence double, visited array<{node}>"
-    beam = starts.select(F.col("id").alias("start")).distinct().select("start", F.lit(0).alias("place"), F.array("start").alias("path"), F.lit(1.0).alias("relevance"), F.lit(1.0).alias("confidence"), F.array("start").alias("visited"))
-
-    def expand(group: pd.DataFrame) -> pd.DataFrame:
-        seen, out = set(group["visited"].iloc[0]), []
-        for _, own in sorted(group.groupby("place"), key=lambda x: x[0]):
-            fresh = own[own["dst"].notna() & ~own["dst"].isin(seen)].sort_values(["weight", "dst"], ascending=[False, True]).head(width)
-            for r in fresh.itertuples():
-                to = type(r.start)(r.dst)
-                seen.add(to)
-                out.append((r.start, len(out), [*r.path, to], r.relevance * r.weight, min(r.confidence, r.sure)))
-        rows = pd.DataFrame(out, columns=["start", "place", "path", "relevance", "confidence"])
-        rows["visited"] = [list(seen)] * len(rows)
-        return rows.astype({"path": object, "visited": object})
-
-    visited = 1
-    for hop in range(max_hops):
-        near = edges.withColumn("_n", best).filter(F.col("_n") <= width + visited).select(F.col("src").alias("at"), "dst", F.col("relevance").alias("weight"), F.col("confidence").alias("sure"))
-        joined = beam.withColumn("at", F.element_at("path", -1)).join(near, "at").drop("at")
-        beam = joined.groupBy("start").applyInPandas(expand, kind)
-        visited += width ** (hop + 1)
-    return beam.select("start", "path", "relevance", "confidence")
+    best = Window.partitionBy("start", "place").orderBy(F.desc("by"), "dst")
+    paths = starts.select(F.col("id").cast(node).alias("start")).distinct().select("start", F.lit(0).cast("long").alias("place"), F.array("start").alias("path"), F.lit(1.0).alias("relevance"), F.lit(1.0).alias("confidence"))
+    visited = paths.select("start", F.col("start").alias("dst"))
+    out = edges.select(F.col("src").alias("at"), "dst", F.col("relevance").cast("double").alias("by"), F.col("confidence").cast("double").alias("sure"))
+    for _ in range(max_hops):
+        paths = stored(paths, "beam")
+        reached = frontier_join(out, paths.select("start", "place", F.element_at("path", -1).alias("at")), ["at"], F.col("dst")).join(visited, ["start", "dst"], "left_anti")
+        claims = stored(reached.groupBy("start", "dst").agg(F.min(F.struct("place", (-F.col("by")).alias("minus"), "sure")).alias("c")).select("start", "dst", "c.place", (-F.col("c.minus")).alias("by"), "c.sure"), "claims")
+        visited = visited.unionByName(claims.select("start", "dst"))
+        kept = claims.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= width)
+        paths = paths.join(kept, ["start", "place"]).select(
+            "start", (F.col("place") * width + F.col("nth") - 1).alias("place"), F.array_append("path", F.col("dst")).alias("path"), (F.col("relevance") * F.col("by")).alias("relevance"), F.least("confidence", "sure").alias("confidence")
+        )
+    return paths.select("start", "path", "relevance", "confidence")
 
 
 def entity_in_chunk(chunks: DataFrame, entities: DataFrame, names_per_block: int = 200_000) -> DataFrame:

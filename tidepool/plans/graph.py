@@ -119,13 +119,27 @@ def shortest_path(spark, sf):
     return rows.select("hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")).orderBy("path").limit(5)
 
 
-@query("beam_search")
+def beam_hops(hops: int, width: int, reach: str) -> str:
+    """CTEs of a beam: b0 (q, s, place, nodes, rel, conf) to b``hops``. ``reach``: a select of q, s, place, dst, r, c, ty from b{h} and what it meets."""
+    out, visited = [], "(select q, s, s dst from b0)"
+    for h in range(hops):
+        out.append(f"""r{h} as ({reach.format(h=h, visited=visited)}),
+k{h} as (select *, row_number() over (partition by q, s, place order by r desc, dst) nth from r{h} qualify nth <= {width}),
+b{h + 1} as (select x.q, x.s, x.place * {width} + nth - 1 place, list_append(nodes, dst) nodes, rel * r rel, least(conf, c) conf, list_append(types, ty) types from b{h} x join k{h} using (q, s, place))""")
+        visited += f" union all (select q, s, dst from r{h})"
+    return ", ".join(out)
+
+
+BEAM = beam_hops(2, 5, "select q, s, place, b dst, least(1.0, w / 10.0)::DOUBLE r, 0.8::DOUBLE c, '' ty from b{h} x join u on u.a = x.nodes[-1] where not exists (select 1 from ({visited}) v where v.q = x.q and v.s = x.s and v.dst = b) qualify row_number() over (partition by q, s, b order by place, w desc) = 1")
+
+
+@query("beam_search", f"with {S_SQL}, b0 as (select 0 q, p_partkey s, 0 place, [p_partkey] nodes, 1.0::DOUBLE rel, 1.0::DOUBLE conf, ['']::VARCHAR[] types from part where p_partkey % 100 = 0), {BEAM} select s as start, array_to_string(nodes, ',') as path, round(rel, 6) as relevance, conf as confidence from b2")
 def beam_search(spark, sf):
-    """Sequential by definition, hence without SQL: two hops from the three commonest parts."""
-    e = strong_edges(spark, sf)
-    both = graph.undirected(e).select("src", "dst", F.least(F.lit(1.0), F.col("weight") / 10).alias("relevance"), F.lit(0.8).alias("confidence"))
-    starts = mentions(spark, sf).groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(3).select("id")
-    return graph.beam_search(both, starts, 2, 5)
+    """Two hops from every hundredth part."""
+    both = graph.undirected(strong_edges(spark, sf)).select("src", "dst", F.least(F.lit(1.0), F.col("weight") / 10).alias("relevance"), F.lit(0.8).alias("confidence"))
+    rows = graph.beam_search(both, part_seeds(spark, sf, "id"), 2, 5)
+    return rows.select("start", F.array_join("path", ",").alias("path"), F.round("relevance", 6).alias("relevance"), "confidence")
+
 
 
 @query("link_exact", "with p as (select p_partkey id, lower(p_name) k, p_brand d from part where length(p_name) > 2), g as (select k from p group by k having min(d) < max(d)) select x.id as src, y.id as dst, 'SAME_AS' as type, 0.95::DOUBLE as weight from p x join p y using (k) join g using (k) where x.id < y.id")

@@ -61,3 +61,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         where = tempfile.mkdtemp(prefix="spark-tidepool-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(where)
     return f"{where.rstrip('/')}/tidepool/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there, and an executor's loss costs nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -128,3 +128,7 @@ RECOMMENDED_ELSE = (0.5, "Balanced fusion for general queries")
 # Phrases after which a text tells its date, and when it ends.
 CREATED = [r"(?:created|written|prepared|dated?)[:\s]+([^\n]+)", r"(?:date|updated)[:\s]+([^\n]+)", r"(?:as of|effective)[:\s]+([^\n]+)"]
 EXPIRES = [r"(?:expires?|valid until|effective until)[:\s]+([^\n]+)", r"(?:deadline|due date|milestone date)[:\s]+([^\n]+)", r"(?:end date|completion date)[:\s]+([^\n]+)"]
+
+# What a request gets that reasoning over the graph can't answer.
+NO_STARTS = "I couldn't find relevant information to start answering this question."
+NO_PATHS = "I found relevant starting points but couldn't connect them to answer your question."

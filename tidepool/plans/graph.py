@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepool.operators import graph, links
+from tidepool.operators import clusters, graph, links
 from tidepool.plans.registry import query
 from tidepool.session import table
 
@@ -167,6 +167,14 @@ def link_fuzzy(spark, sf):
     return graph.match_kind(pairs)
 
 
+@query("link_clusters")
+def link_clusters(spark, sf):
+    """Greedy clusters of parts by name and brand, sizes as documents. The likeness has no SQL equal and its order matters: tested against the loop."""
+    part = table(spark, sf, "part")
+    own = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.regexp_extract("p_brand", r"\d+", 0)).alias("name"), F.col("p_size").alias("document_id"))
+    return clusters.cluster_links(own).select("src", "dst", "leader", F.round("ratio", 6).alias("ratio"), F.round("weight", 6).alias("weight"))
+
+
 @query("entity_in_chunk", "select distinct c.page_id as chunk_id, n.id as entity_id from pages c join (select min(item_id) id, lower(split_part(text, ' ', 1)) nm from benchmark group by 2) n on contains(lower(c.html), n.nm) where nm <> ''")
 def entity_in_chunk(spark, sf):
     """First words of the benchmark items, looked for in pages."""

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidepool.functions import blocks
 from tidepool.functions.text import protected_sentences
 
 CHUNK = "doc_id long, chunk_index int, content string, tokens int"
@@ -154,9 +155,7 @@ def paragraphs(docs: DataFrame, text: Column, least: int = 100) -> DataFrame:
 
 def code_blocks(docs: DataFrame, text: Column) -> DataFrame:
     """(doc_id, pos, language, code) of fenced blocks; no language means 'text'."""
-    fence = r"(?s)```(\w*)\n(.*?)```"
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(fence), 1).alias("l"), F.regexp_extract_all(text, F.lit(fence), 2).alias("c"))).alias("pos", "x"))
-    return rows.select("doc_id", "pos", F.when(F.col("x.l") == "", "text").otherwise(F.col("x.l")).alias("language"), F.col("x.c").alias("code"))
+    return docs.select("doc_id", F.posexplode(blocks.code(text)).alias("pos", "x")).select("doc_id", "pos", "x.language", "x.code")
 
 
 def parents(sections: DataFrame) -> DataFrame:
@@ -263,20 +262,9 @@ def level_chunks(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, LEVEL_CHUNK)
 
 
-# Fenced code and pipe tables, each a block of its own.
-CODE = r"```(?:(\w+)\n)?([\s\S]*?)```"
-TABLE = r"(\|.*\|[\s\S]*?\n)(?:\|.*\|.*\n)+"
-_CODE, _TABLE, _FENCED = re.compile(CODE), re.compile(TABLE), re.compile(r"```[\s\S]*?```")
-
-
 def tables(docs: DataFrame, text: Column) -> DataFrame:
     """(doc_id, pos, content) of pipe tables."""
-    return docs.select("doc_id", F.posexplode(F.transform(F.regexp_extract_all(text, F.lit(TABLE), 0), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))).alias("pos", "content"))
-
-
-def without_blocks(text: Column) -> Column:
-    """The text without fenced code and pipe tables."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"```[\s\S]*?```", ""), TABLE, ""))
+    return docs.select("doc_id", F.posexplode(blocks.tables(text)).alias("pos", "content"))
 
 
 def summary(text: Column, most: int = 300) -> Column:
@@ -346,11 +334,11 @@ def tree_rows(doc_id: object, title: str, text: str, size: int = 800, overlap: i
         open_.append((level, node, place))
         if count_tokens(body) > least:
             add("section", node, parent, place, name, f"## {name}\n\n{_cut(body, 300)}")
-        for m in _CODE.finditer(body):
-            add("code", node, node, place, name, f"```{m[1] or 'text'}\n{m[2].strip()}\n```", m[2].strip())
-        for m in _TABLE.finditer(body):
-            add("table", node, node, place, name, m[0].strip())
-        for c in _paragraph_chunks(_TABLE.sub("", _FENCED.sub("", body)).strip(), size, overlap):
+        for _, _, language, code in blocks.code_spans(body):
+            add("code", node, node, place, name, f"```{language or 'text'}\n{code.strip()}\n```", code.strip())
+        for table in blocks.table_texts(body):
+            add("table", node, node, place, name, table)
+        for c in _paragraph_chunks(blocks.plain_text(body), size, overlap):
             add("hierarchical", node, node, place, name, c)
     return rows
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidepool import values
-from tidepool.functions import scoring, temporal, text as tx
+from tidepool.functions import blocks, scoring, temporal, text as tx
 from tidepool.operators import chunking, evaluation, graph, links, retrieval, storage
 from tidepool.plans.analysis import SOURCE, texts
 from tidepool.plans.graph import M_SQL, S_SQL, mentions, strong_edges
@@ -30,16 +30,22 @@ def chunk_tree_nodes(spark, sf):
     return rows.select("doc_id", "chunk_index", "kind", "node", "parent", "level", "title", F.md5("content").alias("digest"), "tokens")
 
 
-@query("table_blocks", "select doc_id, 0 as pos, '| a | b |' || chr(10) || '| - | - |' || chr(10) || '| 1 | ' || doc_id || ' |' as content from documents where text not like '%|%'")
+#: Whole texts in a frame of headers, code and a table.
+MARKED = "('intro' || chr(10) || '# ' || source || chr(10) || text || chr(10) || '## Code' || chr(10) || '```python' || chr(10) || 'x = ''' || lang || '''' || chr(10) || '```' || chr(10) || '| a | b |' || chr(10) || '| - | - |' || chr(10) || '| 1 | ' || doc_id || ' |' || chr(10) || '### Deep' || chr(10) || chr(10) || 'tail')"
+TABLE = r"(\|.*\|[\s\S]*?\n)(?:\|.*\|.*\n)+"
+BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+"
+
+
+@query("table_blocks", f"select doc_id, (unnest(generate_series(1, len(t))) - 1)::INT as pos, regexp_replace(unnest(t), '{BLANKS}$', '') as content from (select doc_id, regexp_extract_all({MARKED}, '{TABLE}', 0) t from documents)")
 def table_blocks(spark, sf):
-    docs = table(spark, sf, "documents").filter("text not like '%|%'")
+    docs = table(spark, sf, "documents")
     return chunking.tables(docs, marked(docs))
 
 
-@query("text_without_blocks", "select doc_id, md5('intro' || chr(10) || '# ' || source || chr(10) || text || chr(10) || '## Code' || chr(10) || chr(10) || '### Deep' || chr(10) || chr(10) || 'tail') as digest from documents where text not like '%|%' and text not like '%`%'")
+@query("text_without_blocks", f"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace({MARKED}, '```[\\s\\S]*?```', '', 'g'), '{TABLE}', '', 'g'), '^{BLANKS}', ''), '{BLANKS}$', '')) as digest from documents")
 def text_without_blocks(spark, sf):
-    docs = table(spark, sf, "documents").filter("text not like '%|%' and text not like '%`%'")
-    return docs.select("doc_id", F.md5(chunking.without_blocks(marked(docs))).alias("digest"))
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.md5(blocks.without_blocks(marked(docs))).alias("digest"))
 
 
 @query("summaries", "select doc_id, md5(case when length(f) > 300 then f[1:300] || '...' else f end) as digest from (select doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))[1] f from documents)")

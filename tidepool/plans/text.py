@@ -59,10 +59,16 @@ def chunk_tree(spark, sf):
     return rows.select("doc_id", F.col("section").cast("int").alias("section"), "level", F.col("parent").cast("int").alias("parent"))
 
 
-@query("sections_numbered", """select doc_id, n.i as line_no, n.num as number, n.lvl as level, n.pre || source as title from documents, (values (0, '1', 1, 'Top '), (2, '1.2', 2, 'Sub '), (3, '1.2.3', 3, 'Deep ')) n(i, num, lvl, pre)""")
+NUMBERED = "'1. Top ' || source || chr(10) || text || chr(10) || '1.2. Sub ' || source || chr(10) || replace(text, '. ', chr(10) || doc_id || '.3. ') || chr(10) || '4 not a section'"
+
+
+@query("sections_numbered", f"""with l as (select doc_id, unnest(x) line, unnest(generate_series(0, len(x) - 1)) n from (select doc_id, string_split({NUMBERED}, chr(10)) x from documents)),
+g as (select doc_id, n, regexp_extract(line, '^(\\d+(?:\\.\\d+)*)\\.\\s+(.+)$', ['num', 'title']) g from l where regexp_matches(line, '^(\\d+(?:\\.\\d+)*)\\.\\s+(.+)$'))
+select doc_id, n::INT as line_no, g.num as number, len(string_split(g.num, '.'))::INT as level, md5(g.title) as title_md5 from g""")
 def sections_numbered(spark, sf):
-    t = F.concat(F.lit("1. Top "), F.col("source"), F.lit("\nno number\n1.2. Sub "), F.col("source"), F.lit("\n1.2.3. Deep "), F.col("source"), F.lit("\n4 not a section"))
-    return chunking.numbered_sections(table(spark, sf, "documents"), t)
+    """Whole texts, once as they are and once with a number at every sentence."""
+    t = F.concat(F.lit("1. Top "), "source", F.lit("\n"), "text", F.lit("\n1.2. Sub "), "source", F.lit("\n"), F.replace(F.col("text"), F.lit(". "), F.concat(F.lit("\n"), F.col("doc_id").cast("string"), F.lit(".3. "))), F.lit("\n4 not a section"))
+    return chunking.numbered_sections(table(spark, sf, "documents"), t).select("doc_id", "line_no", "number", "level", F.md5("title").alias("title_md5"))
 
 
 PARAS = "text || chr(10) || ' ' || chr(10) || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10))"
@@ -74,10 +80,16 @@ def sections_paragraph(spark, sf):
     return chunking.paragraphs(table(spark, sf, "documents"), t).select("doc_id", "pos", "title", F.md5("content").alias("digest"))
 
 
-@query("code_blocks", "select doc_id, pos, language, code from documents, (select unnest([0, 1]) pos), lateral (select case pos when 0 then 'python' else 'text' end language, case pos when 0 then 'x = ''' || source || '''' || chr(10) else lang || chr(10) end code)")
+CODED = "'before ```python' || chr(10) || text || chr(10) || '``` between ```' || lang || chr(10) || text || '``` and ``` ' || source || ' ```' || text"
+
+
+@query("code_blocks", f"""with m as (select doc_id, regexp_extract_all({CODED}, '(?s)```(?:([\\p{{L}}\\p{{N}}_]+)\\n)?(.*?)```', 1) l, regexp_extract_all({CODED}, '(?s)```(?:([\\p{{L}}\\p{{N}}_]+)\\n)?(.*?)```', 2) c from documents)
+select doc_id, pos, case when coalesce(lang, '') = '' then 'text' else lang end as language, md5(regexp_replace(regexp_replace(c, '^[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', ''), '[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+$', '')) as code_md5
+from (select doc_id, (unnest(generate_series(1, len(c))) - 1)::INT pos, unnest(l) lang, unnest(c) c from m)""")
 def code_blocks(spark, sf):
-    t = F.concat(F.lit("before ```python\nx = '"), F.col("source"), F.lit("'\n``` between\n```\n"), F.col("lang"), F.lit("\n``` after"))
-    return chunking.code_blocks(table(spark, sf, "documents"), t)
+    """Whole texts inside, between and after fences."""
+    t = F.concat(F.lit("before ```python\n"), "text", F.lit("\n``` between ```"), "lang", F.lit("\n"), "text", F.lit("``` and ``` "), "source", F.lit(" ```"), "text")
+    return chunking.code_blocks(table(spark, sf, "documents"), t).select("doc_id", "pos", "language", F.md5("code").alias("code_md5"))
 
 
 for name in ("standard", "semantic"):

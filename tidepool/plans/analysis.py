@@ -83,20 +83,32 @@ def query_decompose(spark, sf):
     return rows.withColumn("depends", (F.col("pos") > 0) & qu.depends_on_previous(F.col("part")))
 
 
+DECIDE = f"case when greatest(c, s) / greatest(0.1 * {len(values.CONCEPTUAL) + len(values.SPECIFIC)}, 1.0) < {{}} then 'hybrid' when s - c > 2 then 'vector' when c - s > 2 then 'graph' else 'hybrid' end"
+
+
 @query(
     "query_strategy",
-    f"""with {SOURCE}, s as (select q, len({WORDS}) n, {has('lower(q)', values.CONCEPTUAL)} c0, {has('lower(q)', values.SPECIFIC)} s0 from t), x as (select q, c0 + (n < 5)::INT c, s0 + 2 * (n > 10)::INT s from s)
-select q, case when greatest(c, s) / greatest(0.1 * (c + s), 1.0) < 0.5 then 'hybrid' when s - c > 2 then 'vector' when c - s > 2 then 'graph' else 'hybrid' end as strategy from x""",
+    f"""with {SOURCE}, u as (select q from t union select 'explain the relationship and compare the concept: ' || q from t), s as (select q, len({WORDS}) n, {has('lower(q)', values.CONCEPTUAL)} c0, {has('lower(q)', values.SPECIFIC)} s0 from u),
+x as (select q, c0 + (n < 5)::INT c, s0 + 2 * (n > 10)::INT s from s) select q, {DECIDE.format(0.5)} as strategy, {DECIDE.format(0.9)} as strict, {DECIDE.format(0.1)} as loose from x""",
 )
 def query_strategy(spark, sf):
-    return texts(spark, sf).select("q", qu.strategy(F.col("q")).alias("strategy"))
+    """Every user turn as it is and asked in conceptual words, at three thresholds."""
+    own = texts(spark, sf).select("q")
+    both = own.union(own.select(F.concat(F.lit("explain the relationship and compare the concept: "), "q"))).distinct()
+    return both.select("q", *(qu.strategy(F.col("q"), t).alias(n) for n, t in (("strategy", 0.5), ("strict", 0.9), ("loose", 0.1))))
+
 
+ASCII = "regexp_replace(regexp_replace(regexp_replace(q, '[\\p{Z}\\x{85}]', ' ', 'g'), '[^\\x00-\\x7F\\p{L}\\p{N}]', '.', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
 
-@query("query_entities", f"""with {FIXED}, e as (select q, list_concat(list_concat(regexp_extract_all(q, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), regexp_extract_all(q, '\\b([A-Z]{{2,}}|[a-z]+[A-Z][a-zA-Z]*)\\b', 1)), list_concat(regexp_extract_all(q, '"([^"]+)"', 1), list_filter([{', '.join(map(quoted, values.TECH_KEYWORDS))}], lambda k: contains(lower(q), k)))) f from t)
+
+@query("query_entities", f"""with {SOURCE}, u as (select q from t union select 'Ask Émile Zola about GPT and camelCase or "quoted Words" über BERT: ' || q from t), a as (select q, {ASCII} x from u),
+e as (select q, list_concat(list_concat(regexp_extract_all(x, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), regexp_extract_all(x, '\\b([A-Z]{{2,}}|[a-z]+[A-Z][a-zA-Z]*)\\b', 1)), list_concat(regexp_extract_all(q, '"([^"]+)"', 1), list_filter([{', '.join(map(quoted, values.TECH_KEYWORDS))}], lambda k: contains(lower(q), k)))) f from a)
 select q, array_to_string(list_filter(f, lambda x, i: list_position(list_transform(f, lambda y: lower(y)), lower(x)) = i), '|') as entities from e""")
 def query_entities(spark, sf):
-    own = spark.createDataFrame([(t,) for t in TEXTS], "q string")
-    return own.select("q", F.array_join(qu.entities(F.col("q")), "|").alias("entities"))
+    """All user turns, as they are and after a sentence with names of every sort."""
+    own = texts(spark, sf).select("q")
+    both = own.union(own.select(F.concat(F.lit('Ask Émile Zola about GPT and camelCase or "quoted Words" über BERT: '), "q"))).distinct()
+    return both.select("q", F.array_join(qu.entities(F.col("q")), "|").alias("entities"))
 
 
 @query("temporal_weight", f"with {SOURCE} select q, (case when {any_('lower(q)', values.RECENT)} then 0.5 when {any_('lower(q)', values.HISTORICAL)} then 0.1 else 0.3 end)::DOUBLE as weight from t")

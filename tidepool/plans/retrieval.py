@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidepool.functions import scoring, temporal
-from tidepool.operators import fusion, retrieval
+from tidepool.operators import fusion, retrieval, vector_index
 from tidepool.plans.registry import query, quoted
 from tidepool.session import table
 
@@ -88,6 +88,13 @@ def vec_topk_batch(spark, sf):
     return retrieval.vector_top_k(vectors(spark, sf), query_vectors(spark, sf), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vec_index_search", f"select query_id, doc_id, round(s, 6) as score, rank from (select q.vec_id query_id, e.vec_id doc_id, {COS} s, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id)::INT rank from embeddings e, embeddings q where q.vec_id % 100 = 0 and {COS} >= 0.1) where rank <= 10")
+def vec_index_search(spark, sf):
+    """Every hundredth vector against a stored index of all of them."""
+    index = vector_index.build(vectors(spark, sf), block_rows=64)
+    return vector_index.search(index, query_vectors(spark, sf), 10, 0.1).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("vec_filtered_threshold", f"select query_id, doc_id, round(s, 6) as score, (rank - 2)::INT as rank from (select q.vec_id query_id, e.vec_id doc_id, {COS} s, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id) rank from embeddings e, embeddings q where q.vec_id % 100 = 0 and e.label = 1 and {COS} >= 0.05) where rank > 2 and rank <= 12")
 def vec_filtered_threshold(spark, sf):
     rows = retrieval.vector_top_k(vectors(spark, sf), query_vectors(spark, sf), 10, F.col("label") == 1, 0.05, 2)

@@ -60,10 +60,24 @@ def merged_vector(parts: DataFrame, size: int) -> np.ndarray:
     return rdd.union(parts.sparkSession.sparkContext.parallelize([np.zeros(size, np.int64)], 1)).treeReduce(np.add, depth)
 
 
+_CACHES: list[dict] = []
+
+
+def alone(cache: dict) -> dict:
+    """``cache``, with those of other operators emptied: a Python worker that serves one operator after the other holds one of them."""
+    for other in _CACHES:
+        if other is not cache and other:
+            other.clear()
+    if not any(other is cache for other in _CACHES):
+        _CACHES.append(cache)
+    pa.default_memory_pool().release_unused()
+    return cache
+
+
 class WordHashes(dict):
     """bytes of a word -> its 64-bit hash. Emptied at ``limit`` entries, so that memory stays bounded."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -112,8 +126,10 @@ class Bitmap:
         """The bit of a value, as a long."""
         return F.pmod(F.xxhash64(value), F.lit(self.size))
 
-    def bits(self) -> np.ndarray:
-        return np.unpackbits(self.packed, bitorder="little").view(bool)
+    def at(self, positions: np.ndarray) -> np.ndarray:
+        """Whether the bits at ``positions`` are set; the bitmap stays packed."""
+        p = positions.astype(np.int64)
+        return (self.packed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
 
 
 def bitmap_of(df: DataFrame, column: str | None = None, position: Column | None = None, size: int = 1 << 22) -> Bitmap:
@@ -137,7 +153,7 @@ def _filter_of(keys: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
     n = keys.count()
     size = min(max(FEWEST_BITS, 1 << max(16 * n - 1, 1).bit_length()), MOST_BITS)
     at = F.pmod(F.xxhash64(*columns), F.lit(size))
-    words = np.packbits(bitmap_of(keys, position=at, size=size).bits(), bitorder="little").view(np.int64)
+    words = bitmap_of(keys, position=at, size=size).packed.view(np.int64)
     table = keys.sparkSession.createDataFrame(pa.table({"_bits": pa.array([words], pa.list_(pa.int64()))}))
     return F.broadcast(table), F.getbit(F.get("_bits", F.floor(at / 64).cast("int")), at % 64) == 1
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepool.llm.common import Bitmap, bitmap_of, materialize, windows, without
+from tidepool.llm.common import Bitmap, alone, bitmap_of, materialize, windows, without
 
 # Units of measure and number words.
 UNITS = {
@@ -52,7 +52,7 @@ BITS = 1 << 22
 class Canon(dict):
     """A token of the text -> the hash of its canonical form (0: nothing is left of it); emptied at ``limit`` entries."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -162,18 +162,18 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[tu
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
 
-    def windows_of(text: str | None, bits: np.ndarray) -> Iterator[tuple]:
+    def windows_of(text: str | None) -> Iterator[tuple]:
         for as_is in sorted({x for x, _ in sizes}):
             tokens, h = words_of(text) if as_is else template_of(text, _CANON)
             for size in (n for x, n in sizes if x == as_is):
                 own = windows(h, size)
-                for a in np.flatnonzero(bits[own & np.uint64(BITS - 1)]).tolist():
+                for a in np.flatnonzero(bitmap.at(own & np.uint64(BITS - 1))).tolist():
                     yield as_is, size, int(own[a].astype(np.int64)), a, [] if as_is else slots(tokens, h, a, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.bits()
+        alone(_CANON)
         for batch in batches:
-            out = [(i, *w) for i, text in enumerate(batch.column(1)) for w in windows_of(text.as_py(), bits)]
+            out = [(i, *w) for i, text in enumerate(batch.column(1)) for w in windows_of(text.as_py())]
             kinds = [pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
             ids = batch.column(0).take(pa.array([x[0] for x in out], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds, 1))], names=["_id", "as_is", "size", "hash", "at", "doc_slots"])

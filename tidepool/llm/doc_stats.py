@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidepool.llm.common import HASHES, WordHashes, windows
+from tidepool.llm.common import HASHES, WordHashes, alone, windows
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = [
@@ -70,6 +70,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in (id_col, *keep)] + [f"{c} bigint" for c in COUNTS] + ["score double" if score else "features array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(HASHES)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             got = [stats_of(x.as_py(), HASHES) for x in texts]

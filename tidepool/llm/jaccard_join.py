@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepool.llm.common import HASHES, Bitmap, WordHashes, bitmap_of, hot_keys, materialize, salted_join, scramble, windows, without
+from tidepool.llm.common import HASHES, Bitmap, WordHashes, alone, bitmap_of, hot_keys, materialize, salted_join, scramble, windows, without
 from tidepool.llm.components import components
 
 #: Numbers of 64 bits in a signature: two bits a shingle, at least LEAST and in tiles at most MOST of them; powers of two.
@@ -86,6 +86,7 @@ def common_shingles(docs: DataFrame, k: int, most: int = 1 << 17, block: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total = 0
+        alone(HASHES)
 
         def counted() -> pa.RecordBatch:
             s = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
@@ -121,6 +122,7 @@ def described(docs: DataFrame, k: int, percent: int, common: np.ndarray, rank: n
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(HASHES)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 n, digests, prefixes, sigs, wide = [], [], [], [], []
@@ -148,12 +150,11 @@ def postings(table: DataFrame, wanted: Bitmap) -> DataFrame:
     kind = dict(table.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.bits()
         for batch in batches:
             lists = batch.column(4)
             h = lists.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
-            hit = bits[h & (wanted.size - 1)]
+            hit = wanted.at(h & (wanted.size - 1))
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row[hit])) for i in range(4)), pa.array(h[hit])], names=["_id", "n", "d1", "d2", "h"])
 
     return table.select("_id", "n", "d1", "d2", "prefix").mapInArrow(run, f"_id {kind}, n bigint, d1 bigint, d2 bigint, h bigint")
@@ -177,9 +178,9 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent
     kind = dict(docs.dtypes)["_id"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.bits()
+        alone(HASHES)
         for batch in batches:
-            there = np.flatnonzero(bits[batch.column(1).to_numpy()])
+            there = np.flatnonzero(wanted.at(batch.column(1).to_numpy()))
             for at in range(0, len(there), 1000):
                 own = there[at : at + 1000]
                 found = [shingles(batch.column(2)[int(i)].as_py(), k, HASHES) for i in own]

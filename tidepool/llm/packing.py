@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepool.llm.common import materialize
+from tidepool.llm.common import alone, materialize
 
 END = 2
 #: Before a space that stands alone between two characters that no alphabet counts as white space.
@@ -36,7 +36,7 @@ class Encoder(dict):
     stands alone between two other characters to the first of them. Text cut there, and nowhere else, has the same ids.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 500_000):
+    def __init__(self, vocabulary: str, limit: int = 250_000):
         import public_tokenizers as tokenizers
         import tiktoken
 
@@ -77,7 +77,7 @@ def pieces_of(docs: DataFrame, vocabulary: str = "byte_bpe_50k", capacity: int =
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = alone(encoder(vocabulary))
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

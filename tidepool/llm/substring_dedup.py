@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepool.llm.common import HASHES, Bitmap, WordHashes, bitmap_of, by_filter, hot_keys, materialize, salted_join, scramble
+from tidepool.llm.common import HASHES, Bitmap, WordHashes, alone, bitmap_of, by_filter, hot_keys, materialize, salted_join, scramble
 
 _NORMAL = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
 _MARK = np.zeros(256, bool)
@@ -69,6 +69,7 @@ def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = dict(rows.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(HASHES)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 got = [units_of(x.as_py(), HASHES) for x in batch.column(2).slice(at, 500)]
@@ -125,9 +126,8 @@ def _passing(units: DataFrame, wanted: Bitmap) -> DataFrame:
     """The units whose digest the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.bits()
         for batch in batches:
-            yield batch.filter(pa.array(bits[batch.column(6).to_numpy() & (wanted.size - 1)]))
+            yield batch.filter(pa.array(wanted.at(batch.column(6).to_numpy() & (wanted.size - 1))))
 
     kinds = dict(units.dtypes)
     columns = ["_id", "_doc", "unit", "start", "stop", "words", "digest"]

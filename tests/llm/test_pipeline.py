@@ -41,9 +41,14 @@ def quality_by_definition(rows, labels, model):
     clipped = lambda q: np.log(np.clip(q, 1e-4, 1 - 1e-4) / (1 - np.clip(q, 1e-4, 1 - 1e-4)))
     out = []
     for (i, host, path, _), x, own in zip(rows, e, p, strict=True):
-        n, s = paths[host, path]
-        site = (s - x + k_path * host_rate[host]) / (n - 1 + k_path)
-        out.append((i, site, 1 / (1 + np.exp(-(clipped(own) + clipped(site) - clipped(rate))))))
+        # As if the document weren't there, on every level.
+        without = [(h, q, y) for (j, h, q, _), y in zip(rows, e, strict=True) if j != i]
+        others = np.mean([y for *_, y in without])
+        near = [y for h, _, y in without if h == host]
+        near = (sum(near) + k_host * others) / (len(near) + k_host)
+        same = [y for h, q, y in without if (h, q) == (host, path)]
+        site = (sum(same) + k_path * near) / (len(same) + k_path)
+        out.append((i, site, 1 / (1 + np.exp(-(clipped(own) + clipped(site) - clipped(others))))))
     return out
 
 
@@ -57,6 +62,14 @@ def test_posteriors_equal_brute_force(spark):
     assert np.allclose([g[1:3] for g in got], [w[1:] for w in want], atol=1e-9) and all(g[3] == (w[2] >= 0.5) for g, w in zip(got, want, strict=True))
 
 
+def test_a_label_says_nothing_of_its_own_site(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and the rest of a sentence. " * (5 + i), f"h{i if i < 3 else 9}", "p") for i in range(30)], "doc_id long, text string, source string, lang string")
+    labels = lambda y: spark.createDataFrame([(0, y), *((i, i % 2) for i in range(5, 25))], "doc_id long, quality int")
+    model = quality_bayes.fit(docs, labels(1))
+    rates = [quality_bayes.quality_bayes(docs, labels(y), model, docs.source, docs.lang).filter("doc_id = 0").first().site_rate for y in (0, 1)]
+    assert abs(rates[0] - rates[1]) < 0.02, "but for the strength of the prior, which all documents set"
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

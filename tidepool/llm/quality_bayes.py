@@ -4,9 +4,9 @@ A logistic regression over document statistics (numpy, on a bounded labelled sam
 probabilities of all documents, and the labels where they are known, are summed by host and by path in grouped aggregations. Sites
 shrink toward their parent (path to host, host to the global rate) by a strength that the method of moments estimates from the spread
 between sites, so sparse sites say little. A document's posterior odds are its own odds times the odds ratio of its path to the
-global rate, with the document's own contribution taken out.
+global rate, with the document's own contribution taken out of path, host and global rates alike.
 
-Defined cases: a null or empty text is scored by its (zero) statistics; null hosts and paths form a site of their own; repeated rows
+Defined cases: a null or empty text is scored by its (zero) statistics; null hosts and paths are read as the empty string; repeated rows
 count as often as they occur and share one verdict by id; rows with a null id are scored, and filters keep them; without usable labels
 every posterior is 0.5, which is kept. Very long texts are read whole; extra columns are ignored. An empty table gives an empty result.
 """
@@ -91,13 +91,17 @@ def quality_bayes(docs: DataFrame, labels: DataFrame, model: Logistic, host: Col
     rate = float(whole["s"] / whole["n"]) if whole["n"] else 0.5
     k_host = _strength(hosts, F.lit(rate))
     host_rates = hosts.select("host", ((F.col("s") + k_host * rate) / (F.col("n") + k_host)).alias("host_rate"))
-    sites = paths.join(host_rates, "host")
+    sites = paths.join(host_rates.join(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s")), "host"), "host")
     k_path = _strength(sites, F.col("host_rate"))
 
     own = salted_join(rows, sites, ["host", "path"], F.col("_id"), hot=hot_keys(paths, ["host", "path"]))
-    site = (F.col("s") - F.col("e") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path)
-    own = own.select("_id", "host", "path", "p_doc", site.alias("site_rate"))
-    odds = _logit(F.col("p_doc")) + _logit(F.col("site_rate")) - _logit(F.lit(rate))
+    # A document's own evidence is no evidence of its site: it is taken out of every level.
+    others = F.when(F.lit(whole["n"] or 0) > 1, (F.lit(float(whole["s"] or 0)) - F.col("e")) / F.lit(max((whole["n"] or 0) - 1, 1))).otherwise(0.5)
+    own = own.withColumn("others", others)
+    near = (F.col("host_s") - F.col("e") + k_host * F.col("others")) / (F.col("host_n") - 1 + k_host)
+    site = (F.col("s") - F.col("e") + k_path * near) / (F.col("n") - 1 + k_path)
+    own = own.select("_id", "host", "path", "p_doc", site.alias("site_rate"), "others")
+    odds = _logit(F.col("p_doc")) + _logit(F.col("site_rate")) - _logit(F.col("others"))
     posterior = (1 / (1 + F.exp(-odds))) if len(model.weights) else F.lit(0.5)
     out = own.withColumn("posterior", posterior)
     return out.select(F.col("_id").alias(id_col), "host", "path", "p_doc", "site_rate", "posterior", (F.col("posterior") >= threshold).alias("kept"))

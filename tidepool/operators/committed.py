@@ -135,6 +135,14 @@ class CommittedTable:
             merged = old.unionByName(new.join(old.select(*self.keys), self.keys, "left_anti"))
         return self._write(base, merged, touched, batch, files)
 
+    def replace(self, rows: DataFrame, gone: DataFrame, by: list[str], batch: tuple[str, int] | None = None, files: int = 1) -> int:
+        """Put ``rows`` in place of all rows whose ``by`` (columns of the bucket, among others) are in ``gone``, and return the version."""
+        base = self.manifest()
+        if self._done(base, batch):
+            return base.version
+        touched = self.touched(gone)
+        return self._write(base, self._read(base, touched).join(gone.select(*by).distinct(), by, "left_anti").unionByName(rows.select(*self.schema.names)), touched, batch, files)
+
     def delete(self, gone: DataFrame, by: list[str] | None = None, batch: tuple[str, int] | None = None, files: int = 1) -> int:
         """Remove rows whose ``by`` (the keys by default) are in ``gone`` and return the version. By other columns than those of the bucket, all buckets that hold such rows are rewritten."""
         base = self.manifest()

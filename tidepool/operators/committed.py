@@ -114,8 +114,9 @@ class CommittedTable:
         w = Window.partitionBy(*self.keys).orderBy(*order, *(F.desc(F.xxhash64(c)) for c in self.schema.names if c not in self.keys), F.lit(0))
         return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
-    def upsert(self, rows: DataFrame, batch: tuple[str, int] | None = None, newest: list[Column] | None = None, replace: bool = True, keep: list[str] | None = None, files: int = 1) -> int:
-        """Put ``rows`` in place of those with their keys and return the version. Of rows with one key the first by ``newest`` counts.
+    def upsert(self, rows: DataFrame, batch: tuple[str, int] | None = None, newest: list[Column] | None = None, replace: bool = True, keep: list[str] | None = None, files: int = 1, across: bool = False) -> int:
+        """Put ``rows`` in place of those with their keys and return the version. Of rows with one key the first by ``newest`` counts;
+        with ``across`` that also decides between them and what is there, so that the order of the batches doesn't matter.
 
         ``replace=False``: rows whose key is there already are left out (insert). ``keep``: columns that stay as they were where a key was
         there (created_at). ``batch``: a source's name and the number of the batch.
@@ -126,7 +127,9 @@ class CommittedTable:
         new = self._latest(rows.select(*self.schema.names), newest or [])
         touched = self.touched(rows)
         old = self._read(base, touched)
-        if replace:
+        if across:
+            merged = self._latest(old.unionByName(new), newest or [])
+        elif replace:
             if keep:
                 before = old.select(*self.keys, *(F.col(c).alias(f"_{c}") for c in keep), F.lit(True).alias("_there"))
                 new = new.join(before, self.keys, "left").select(*(F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in keep else F.col(c) for c in self.schema.names))
@@ -143,6 +146,15 @@ class CommittedTable:
         touched = self.touched(gone)
         return self._write(base, self._read(base, touched).join(gone.select(*by).distinct(), by, "left_anti").unionByName(rows.select(*self.schema.names)), touched, batch, files)
 
+    def add(self, rows: DataFrame, sums: dict[str, Column], batch: tuple[str, int], files: int = 1) -> int:
+        """Combine ``rows`` with those of their keys by the aggregates in ``sums`` (column -> aggregate over the rows of a key) and return the version. A batch adds once."""
+        base = self.manifest()
+        if self._done(base, batch):
+            return base.version
+        touched = self.touched(rows)
+        both = self._read(base, touched).unionByName(rows.select(*self.schema.names))
+        return self._write(base, both.groupBy(*self.keys).agg(*(c.alias(n) for n, c in sums.items())), touched, batch, files)
+
     def delete(self, gone: DataFrame, by: list[str] | None = None, batch: tuple[str, int] | None = None, files: int = 1) -> int:
         """Remove rows whose ``by`` (the keys by default) are in ``gone`` and return the version. By other columns than those of the bucket, all buckets that hold such rows are rewritten."""
         base = self.manifest()

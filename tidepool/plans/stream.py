@@ -14,14 +14,29 @@ from tidepool.streaming import ingest
     "select date_trunc('day', ts) as day, event_type as strategy, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by 1, 2",
 )
 def stream_latency(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily windows over the event stream; each micro-batch's new totals are written to shared storage, and the last of a window counts."""
+    """Daily windows over the event stream, added up in a committed table by each micro-batch."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     where = scratch(spark, "stream")
-    ingest.store_updates(ingest.windowed_latency(stream), f"{where}/latency", f"{where}/checkpoint").awaitTermination()
-    rows = spark.read.option("basePath", f"{where}/latency").parquet(f"{where}/latency")
-    last = rows.groupBy("w", "strategy").agg(F.max_by(F.struct("n", "mean_value", "max_value"), "batch").alias("x"))
-    return last.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "strategy", "x.n", F.round("x.mean_value", 6).alias("mean_value"), "x.max_value")
+    store = ingest.latency_table(spark, f"{where}/latency")
+    ingest.store_latency(stream, store, f"{where}/checkpoint").awaitTermination()
+    mean = F.round(F.col("total") / F.col("n"), 6)
+    return store.read().select(F.col("start").cast("timestamp_ntz").alias("day"), "strategy", "n", mean.alias("mean_value"), "max_value")
+
+
+@query(
+    "stream_corpus",
+    "select substr(md5(text), 1, 12) as document_id, min(doc_id) as doc_id, min(length(text)) as n_chars from documents where text is not null group by 1",
+)
+def stream_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by content, from a stream that is then replayed from its start; chunks and mentions are committed with them."""
+    schema = table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/documents.parquet*")
+    where = scratch(spark, "stream")
+    corpus = ingest.Corpus.at(spark, f"{where}/corpus", 16)
+    for run in range(2):
+        ingest.ingest_corpus(stream.select("doc_id", "text"), corpus, f"{where}/checkpoint{run}").awaitTermination()
+    return corpus.documents.read().select("document_id", "doc_id", F.length("text").alias("n_chars"))
 
 
 @query("stream_chunks")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tidepool.operators import paths, queries
+from tidepool.operators.retrieval import ranked
+from tidepool.operators.skew import frontier_join
+from tidepool.session import stored
 
 LINK = ["a_type", "a_id", "b_type", "b_id", "relation"]
 
@@ -48,6 +53,45 @@ def retrieve_from_seeds(mentions: DataFrame, seeds: DataFrame, confidence: float
     return nearest.join(mentions, "entity_id").groupBy("chunk_id").agg(F.max(confidence / (F.col("depth") + 1)).alias("score"))
 
 
+def retrieve_bounded(mentions: DataFrame, seeds: DataFrame, confidence: float = 0.6, max_depth: int = 2, max_nodes: int = 100) -> DataFrame:
+    """(query_id, chunk_id, score): chunks of each request's seeds (depth 0) and of what they lead to at depths under ``max_depth``, confidence / (depth + 1), best per chunk.
+
+    A level is entered only if the levels before it hold fewer than ``max_nodes`` nodes of the request; it is then taken whole. ``seeds``:
+    query_id, entity_id; ``mentions``: distinct (chunk_id, entity_id).
+    """
+    seen = stored(seeds.select("query_id", "entity_id").distinct().withColumn("depth", F.lit(0)), "seen")
+    frontier = seen
+    for depth in range(1, max_depth):
+        full = seen.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= max_nodes).select("query_id")
+        going = stored(frontier.join(full, "query_id", "left_anti").select("query_id", "entity_id"), "going")
+        chunks = stored(frontier_join(mentions, going, ["entity_id"], F.col("chunk_id")).select("query_id", "chunk_id").distinct(), "chunks")
+        near = frontier_join(mentions, chunks, ["chunk_id"], F.col("entity_id")).select("query_id", "entity_id").distinct()
+        frontier = stored(near.join(seen.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        seen = seen.unionByName(frontier)
+    return frontier_join(mentions, stored(seen, "seen"), ["entity_id"], F.col("chunk_id")).groupBy("query_id", "chunk_id").agg(F.max(confidence / (F.col("depth") + 1)).alias("score"))
+
+
+def graph_search(requests: DataFrame, entities: DataFrame, mentions: DataFrame, k: int = 10, confidence: float = 0.6, max_depth: int = 2, max_nodes: int = 100) -> DataFrame:
+    """(query_id, chunk_id, score, rank): chunks by the entities that a request's words name, and by what those lead to. ``requests``: query_id, query; ``entities``: id, name."""
+    named = requests.select("query_id", F.explode(F.array_distinct(F.transform(queries.entities(F.col("query")), lambda x: F.lower(x)))).alias("key"))
+    seeds = named.join(entities.select(F.lower("name").alias("key"), F.col("id").alias("entity_id")), "key").select("query_id", "entity_id")
+    return ranked(retrieve_bounded(mentions, seeds, confidence, max_depth, max_nodes), ["query_id"], "score", "chunk_id").filter(F.col("rank") <= k)
+
+
+def explore(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, limit: int = 10, most_seeds: int = 3) -> DataFrame:
+    """(query_id, place, seed, entity_id, distance): what each request's first few seeds lead to, each seed's nearest ``limit`` in turn, cut to ``limit`` in all. An entity that two seeds lead to stays twice.
+
+    ``seeds``: query_id, pos, entity_id; ``edges``: src, dst.
+    """
+    first = seeds.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "entity_id"))).filter(F.col("turn") <= most_seeds)
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).union(edges.select("dst", "src")).filter("at <> to").distinct()
+    near = paths.levels(step, first.select(F.col("entity_id").alias("start")), max_hops).filter("d > 0")
+    nearest = near.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("d", "node"))).filter(F.col("n") <= limit)
+    rows = first.join(nearest, first.entity_id == nearest.start)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "n"))
+    return rows.withColumn("place", place).filter(F.col("place") <= limit).select("query_id", "place", F.col("start").alias("seed"), F.col("node").alias("entity_id"), F.col("d").alias("distance"))
+
+
 def add_and_count(links: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The links with ``new`` ones added in both directions, and a row with the number of those asked for, there before or not."""
     return add_links(links.select(*LINK).unionByName(add_links(new)), bidirectional=False), new.agg(F.count("*").alias("n"))

@@ -68,8 +68,8 @@ def vector_only(requests: DataFrame, vectors: DataFrame, config: FusionConfig, c
     return found.filter(F.col("score") >= config.similarity_threshold).select("query_id", F.lit("vector").alias("source"), "doc_id", "score")
 
 
-def graph_only(requests: DataFrame, vectors: DataFrame, mentions: DataFrame, config: FusionConfig) -> DataFrame:
-    """(query_id, source, doc_id, score): chunks of the entities in the best few chunks and of what they lead to, confidence / (depth + 1).
+def graph_reach(requests: DataFrame, vectors: DataFrame, mentions: DataFrame, config: FusionConfig) -> DataFrame:
+    """(query_id, doc_id, depth, score): chunks of the entities in the best few chunks and of what they lead to, at their least depth, confidence / (depth + 1).
 
     ``mentions``: distinct (chunk_id, entity_id), chunk ids being those of the vectors.
     """
@@ -81,9 +81,14 @@ def graph_only(requests: DataFrame, vectors: DataFrame, mentions: DataFrame, con
         near = chunks.join(mentions, "chunk_id").select("query_id", "entity_id").distinct()
         frontier = near.join(seen.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti").withColumn("depth", F.lit(depth))
         seen = seen.unionByName(frontier)
-    score = F.lit(config.graph_confidence_threshold) / (F.min("depth") + 1)
-    rows = seen.join(mentions, "entity_id").groupBy("query_id", F.col("chunk_id").alias("doc_id")).agg(score.alias("score"))
-    return ranked(rows, ["query_id"]).filter(F.col("rank") <= config.graph_top_k).select("query_id", F.lit("graph").alias("source"), "doc_id", "score")
+    rows = seen.join(mentions, "entity_id").groupBy("query_id", F.col("chunk_id").alias("doc_id")).agg(F.min("depth").alias("depth"))
+    return rows.withColumn("score", F.lit(config.graph_confidence_threshold) / (F.col("depth") + 1))
+
+
+def graph_only(requests: DataFrame, vectors: DataFrame, mentions: DataFrame, config: FusionConfig) -> DataFrame:
+    """(query_id, source, doc_id, score): the best rows of ``graph_reach``."""
+    rows = ranked(graph_reach(requests, vectors, mentions, config), ["query_id"]).filter(F.col("rank") <= config.graph_top_k)
+    return rows.select("query_id", F.lit("graph").alias("source"), "doc_id", "score")
 
 
 def merged(lists: DataFrame, config: FusionConfig) -> DataFrame:

@@ -96,3 +96,51 @@ def test_nothing_to_start_from(spark, world):
     none = spark.createDataFrame([], "query_id long, id long, name string, confidence double")
     assert multihop.beam_paths(none, edg, ent, qs).count() == 0
     assert multihop.beam_paths(spark.createDataFrame([(7, 999, "gone", 0.9)], none.schema), edg, ent, qs, 2, 2, 0.0).count() == 0
+
+
+# --- re-ranking, metadata lists and routing ------------------------------------------------------------------------------------------
+
+
+def test_a_reranker_has_its_weight_in_both_retrievals(spark):
+    from pyspark.sql import functions as F
+
+    from tidepool.operators import pipelines
+    from tidepool.operators.config import FusionConfig
+
+    requests = spark.createDataFrame([(1, "alpha api code syntax", [1.0, 0.0])], "query_id long, query string, embedding array<float>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.8, 0.2])], "doc_id long, embedding array<float>")
+    chunks = vectors.selectExpr("doc_id", "case doc_id when 3 then 'wanted' else 'plain' end content", "'text' chunk_type", "false has_section", "false has_parent", "'values' doc_type", "0 age_days")
+    mentions = spark.createDataFrame([], "chunk_id long, entity_id long")
+    config = FusionConfig().with_(auto_strategy=False, similarity_threshold=0.1, use_mmr=False, reranker_weight=0.9)
+    liked = lambda q, c: F.when(c == "wanted", 4.0).when(c == "plain", -4.0)
+    run = lambda c, r: [x.doc_id for x in pipelines.retrieve(requests, vectors, mentions, chunks, c, rerank=r).orderBy("final_rank").collect()]
+    assert run(config, None) == [1, 2, 3] == run(config.with_(use_reranker=False), liked) == run(config, lambda q, c: F.lit(None).cast("double"))
+    assert run(config, liked) == [3, 1, 2] and run(config.with_(reranker_weight=0.0), liked) == [1, 2, 3]
+    docs = chunks.selectExpr("doc_id", "concat('alpha ', content) text")
+    liked_here = lambda q, c: F.when(c == "alpha wanted", 4.0).otherwise(-4.0)
+    metadata = spark.createDataFrame([(1, 2, 1.0)], "query_id long, doc_id long, score double")
+    enhanced = lambda **k: [(x.doc_id, x.source) for x in pipelines.retrieve_enhanced(requests, vectors, docs, chunks.select("doc_id", "doc_type", "age_days"), config, **k).orderBy("final_rank").collect()]
+    assert enhanced(rerank=liked_here)[0][0] == 3 and enhanced(metadata=metadata)[0][0] == 2 != enhanced()[0][0]
+
+
+def test_metadata_filters_of_many_requests(spark):
+    from tidepool.operators.retrieval import metadata_search_batch
+
+    rows = [(i, {"lang": "en" if i % 3 else "fr", "kind": f"k{i % 4}"}, ["x"] * (i % 2) + ["y"]) for i in range(60)] + [(99, None, None)]
+    filters = [(1, {"lang": "fr"}, []), (2, {"lang": "en", "kind": "k1"}, ["x", "y"]), (3, {}, ["x"]), (4, {}, []), (5, None, None), (6, {"lang": "xx"}, []), (7, {"kind": "k2"}, ["x"])]
+    got = metadata_search_batch(spark.createDataFrame(rows, "doc_id long, fields map<string,string>, tags array<string>"), spark.createDataFrame(filters, "query_id long, fields map<string,string>, tags array<string>"), 5).collect()
+    for q, f, t in filters:
+        want = [i for i, own, tags in rows if (f or t) and all((own or {}).get(k) == v for k, v in (f or {}).items()) and set(t or []) <= set(tags or [])][:5]
+        assert [r.doc_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want, q
+
+
+def test_requests_go_the_way_their_words_ask_for(spark):
+    from pyspark.sql import functions as F
+
+    from tidepool.operators import pipelines
+
+    requests = spark.createDataFrame([(1, "what is this"), (2, "what does it affect"), (3, "explain the impact of it")], "query_id long, query string")
+    search = lambda r: r.select("query_id", F.lit(1).alias("final_rank"), F.lit(5).cast("long").alias("doc_id"), F.lit("keyword").alias("source"), F.lit(0.5).alias("score"), F.lit("text").alias("content"))
+    reason = lambda r: r.select("query_id", F.lit("because").alias("answer"), F.lit(0.7).alias("confidence"))
+    got = {r.query_id: (r.strategy_used, r.doc_id, r.content) for r in pipelines.routed(requests, search, reason).collect()}
+    assert got == {1: ("hybrid_search", 5, "text"), 2: ("graph_rag", None, "because"), 3: ("graph_rag", None, "because")}

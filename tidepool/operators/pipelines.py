@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepool.functions import scoring, temporal
 from tidepool.operators import fusion, graph, queries as qu
 from tidepool.operators.config import FusionConfig
 from tidepool.operators.retrieval import keyword_search, ranked, vector_top_k
+from tidepool.session import stored
 
 NO_RESULTS = "No relevant documents found. Try adjusting your query or uploading more documents."
 
@@ -99,8 +102,20 @@ def merged(lists: DataFrame, config: FusionConfig) -> DataFrame:
     return fusion.weighted_merge(fusion.min_max(lists) if config.merge_strategy == "normalized" else lists, weights, config.duplicate_handling)
 
 
-def retrieve(requests: DataFrame, vectors: DataFrame, mentions: DataFrame, chunks: DataFrame, config: FusionConfig, contents_for_mmr: DataFrame | None = None) -> DataFrame:
-    """(query_id, final_rank, doc_id, source, score, content): strategy by keywords, retrieval, tuning by place in the document, age, token budget, top k.
+#: A re-ranker: from the columns of the request and of a text's first 512 characters to a column of its output (a logit), e.g. a pandas UDF around a model.
+Reranker = Callable[[Column, Column], Column]
+
+
+def reranked(score: Column, config: FusionConfig, rerank: Reranker | None) -> Column:
+    """A score blended with the re-ranker's output on ``query`` and ``content``, if the settings ask for one and there is one; a row it says nothing of keeps its score."""
+    if rerank is None or not config.use_reranker:
+        return score
+    logit = rerank(F.col("query"), F.substring("content", 1, 512))
+    return F.coalesce(scoring.rerank_blend(score, logit, config.reranker_weight), score)
+
+
+def retrieve(requests: DataFrame, vectors: DataFrame, mentions: DataFrame, chunks: DataFrame, config: FusionConfig, contents_for_mmr: DataFrame | None = None, rerank: Reranker | None = None) -> DataFrame:
+    """(query_id, final_rank, doc_id, source, score, content): strategy by keywords, retrieval, tuning by place in the document, age, re-ranking, token budget, top k.
 
     ``chunks``: doc_id, content, chunk_type, has_section, has_parent, doc_type, age_days.
     """
@@ -114,27 +129,51 @@ def retrieve(requests: DataFrame, vectors: DataFrame, mentions: DataFrame, chunk
     rows = fusion.hierarchy_tuning(rows.join(chunks, "doc_id"), config.summary_boost if config.prioritize_summaries else 1.0, config.section_weight, config.parent_weight_boost)
     rows = rows.join(requests.select("query_id", "query"), "query_id")
     aged = temporal.temporal_mix(F.col("score"), temporal.decay(F.col("age_days"), F.col("doc_type")), temporal.temporal_weight(F.col("query")))
-    listed = ranked(rows.withColumn("score", F.round(aged, 9)), ["query_id"])
+    listed = ranked(rows.withColumn("score", F.round(reranked(aged, config, rerank), 9)), ["query_id"])
     kept = fusion.context_budget(listed, config.context_budget).filter(F.col("rank") <= config.final_top_k)
     return kept.select("query_id", F.col("rank").alias("final_rank"), "doc_id", "source", "score", "content")
 
 
-def retrieve_enhanced(requests: DataFrame, vectors: DataFrame, docs: DataFrame, ages: DataFrame, config: FusionConfig, vector_share: float = 0.4, keyword_share: float = 0.3) -> DataFrame:
-    """(query_id, final_rank, doc_id, source, score, content): each part of a complex request is searched by vectors and keywords; of a row
-    that several parts found the best counts; then age, budget and top k. Multi-hop requests are those that ``queries.needs_multi_hop`` marks.
+def retrieve_enhanced(
+    requests: DataFrame, vectors: DataFrame, docs: DataFrame, ages: DataFrame, config: FusionConfig, vector_share: float = 0.4, keyword_share: float = 0.3,
+    metadata: DataFrame | None = None, metadata_share: float = 0.3, rerank: Reranker | None = None,
+) -> DataFrame:
+    """(query_id, final_rank, doc_id, source, score, content): each part of a complex request is searched by vectors, keywords and metadata; of a row
+    that several parts found the best counts; then age, re-ranking, budget and top k.
 
-    ``docs``: doc_id, text; ``ages``: doc_id, doc_type, age_days.
+    ``docs``: doc_id, text; ``ages``: doc_id, doc_type, age_days; ``metadata``: query_id, doc_id, score, the rows that meet a request's filters.
     """
-    parts = requests.select("query_id", F.posexplode(qu.sub_queries(F.col("query"))).alias("part", "question"))
-    key = F.concat_ws("#", "query_id", "part")
-    words = keyword_search(docs, parts.select(key.alias("query_id"), F.col("question").alias("query")), config.vector_top_k).select("query_id", F.lit("keyword").alias("source"), "doc_id", "score")
-    near = vector_top_k(vectors, requests.select("query_id", F.col("embedding").alias("query")), config.vector_top_k).select("query_id", "doc_id", "score")
-    near = parts.join(near, "query_id").select(key.alias("query_id"), F.lit("vector").alias("source"), "doc_id", "score")
-    fused = fusion.reciprocal_rank(words.unionByName(near), {"vector": vector_share, "keyword": keyword_share})
-    split = F.split("query_id", "#")
-    rows = fused.select(split[0].cast(dict(requests.dtypes)["query_id"]).alias("query_id"), split[1].cast("int").alias("seq"), "doc_id", "score", "source")
-    best = fusion.best_per_key(rows, ["query_id", "doc_id"]).join(ages, "doc_id").join(requests.select("query_id", "query"), "query_id")
+    parts = stored(requests.select("query_id", F.posexplode(qu.sub_queries(F.col("query"))).alias("part", "question")), "parts")
+    kind = dict(requests.dtypes)["query_id"]
+    key = F.struct("query_id", "part")
+    words = keyword_search(docs, parts.select(F.to_json(key).alias("query_id"), F.col("question").alias("query")), config.vector_top_k)
+    back = F.from_json("query_id", f"query_id {kind}, part int")
+    words = words.select(back["query_id"].alias("query_id"), back["part"].alias("part"), F.lit("keyword").alias("source"), "doc_id", "score")
+    lists = [("vector", vector_top_k(vectors, requests.select("query_id", F.col("embedding").alias("query")), config.vector_top_k))]
+    if metadata is not None:
+        lists.append(("metadata", metadata))
+    rows = words
+    for name, own in lists:  # the same for every part of a request
+        rows = rows.unionByName(parts.select("query_id", "part").join(own.select("query_id", F.lit(name).alias("source"), "doc_id", F.col("score").cast("double").alias("score")), "query_id"))
+    shares = {"vector": vector_share, "keyword": keyword_share, "metadata": metadata_share}
+    fused = fusion.reciprocal_rank(rows.select(key.alias("query_id"), "source", "doc_id", "score"), shares)
+    found = fused.select("query_id.query_id", F.col("query_id.part").alias("seq"), "doc_id", "score", "source")
+    best = fusion.best_per_key(found, ["query_id", "doc_id"]).join(ages, "doc_id").join(requests.select("query_id", "query"), "query_id").join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
     aged = temporal.temporal_mix(F.col("score"), temporal.decay(F.col("age_days"), F.col("doc_type")), temporal.temporal_weight(F.col("query")))
-    listed = ranked(best.withColumn("score", F.round(aged, 9)), ["query_id"]).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
+    listed = ranked(best.withColumn("score", F.round(reranked(aged, config, rerank), 9)), ["query_id"])
     kept = fusion.context_budget(listed, config.context_budget).filter(F.col("rank") <= config.final_top_k)
     return kept.select("query_id", F.col("rank").alias("final_rank"), "doc_id", "source", "score", "content")
+
+
+def routed(requests: DataFrame, search: Callable[[DataFrame], DataFrame], reason: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(query_id, strategy_used, final_rank, doc_id, source, score, content): requests over several hops are answered by ``reason``, others by ``search``.
+
+    ``search``: requests to the rows of ``retrieve_enhanced``; ``reason``: requests to those of ``multihop.answer_multi_hop``, whose answer is one row without a document.
+    """
+    marked = stored(requests.withColumn("_hops", qu.needs_multi_hop(F.col("query"))), "routed")
+    plain = search(marked.filter("not _hops").drop("_hops"))
+    found = plain.select("query_id", F.lit("hybrid_search").alias("strategy_used"), "final_rank", "doc_id", "source", "score", "content")
+    answers = reason(marked.filter("_hops").drop("_hops"))
+    kind = dict(plain.dtypes)["doc_id"]
+    own = answers.select("query_id", F.lit("graph_rag").alias("strategy_used"), F.lit(1).alias("final_rank"), F.lit(None).cast(kind).alias("doc_id"), F.lit("graph_rag").alias("source"), F.col("confidence").alias("score"), F.col("answer").alias("content"))
+    return found.unionByName(own)

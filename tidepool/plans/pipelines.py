@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidepool import values
 from tidepool.functions import scoring
@@ -120,7 +120,7 @@ AGED = f"""ct as (select query_id, query, ({has('lower(query)', values.CONCEPTUA
 stg as (select query_id, query, {STRATEGY} stg from ct),
 one as (select query_id, d, s, source from l join stg using (query_id) where stg = source), hy as (select query_id, d, max(s * case source when 'vector' then 0.7 else 0.3 end) s, case when count(distinct source) > 1 then 'hybrid' else min(source) end source from l join stg using (query_id) where stg = 'hybrid' group by 1, 2),
 un as (select * from one union all select * from hy),
-tu as (select query_id, d, un.source, least(1.0, s * case when d % 5 = 0 then 1.2 else 1 end * case when d % 3 = 0 then 1.1 else 1 end * case when d % 2 = 0 then 1.05 else 1 end) s, case when {any_('lower(query)', values.RECENT)} then 0.5 when {any_('lower(query)', values.HISTORICAL)} then 0.1 else 0.3 end tw,
+tu as (select query_id, query, d, un.source, least(1.0, s * case when d % 5 = 0 then 1.2 else 1 end * case when d % 3 = 0 then 1.1 else 1 end * case when d % 2 = 0 then 1.05 else 1 end) s, case when {any_('lower(query)', values.RECENT)} then 0.5 when {any_('lower(query)', values.HISTORICAL)} then 0.1 else 0.3 end tw,
  case when d % 4 = 0 then greatest(0.1, exp(-pow((d % 90) / 120.0, 2.5))) else greatest(0.1, exp(-pow((d % 90) / 60.0, 1.5))) end fr, text c from un join stg using (query_id) join documents on doc_id = d),
 ra as (select *, round((1 - tw) * s + tw * fr, 9) sc from tu), rr as (select *, row_number() over (partition by query_id order by sc desc, d) rank from ra),
 tk as (select *, len(list_filter(regexp_split_to_array(c, '\\s+'), lambda x: x <> '')) * 1.3 tok from rr), be as (select *, coalesce(sum(tok) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) bef from tk),
@@ -137,11 +137,56 @@ def retrieve_full(spark, sf):
     return rows.select("query_id", "final_rank", "doc_id", "source", F.round(F.col("score").cast("double"), 6).alias("score"), F.md5("content").alias("content_md5"))
 
 
+#: A re-ranker's output in its simplest form: the share of the request's words that the first 512 characters hold, between -2 and 2.
+SHARED = f"(4 * len(list_filter(list_distinct({LW.format('query')}), lambda x: contains(lower(c[1:512]), x))) / greatest(len(list_distinct({LW.format('query')})), 1) - 2)"
+
+
+def word_overlap(query_: Column, content: Column) -> Column:
+    w = F.array_distinct(scoring.words(query_))
+    return 4 * F.size(F.filter(w, lambda x: F.contains(F.lower(content), x))) / F.greatest(F.size(w), F.lit(1)) - 2
+
+
+@query(
+    "retrieve_reranked",
+    f"with {REQ_SQL}, {L_ROWS}, {AGED.replace('(1 - tw) * s + tw * fr, 9', f'0.4 * ((1 - tw) * s + tw * fr) + 0.6 / (1 + exp(-{SHARED})), 9')} select query_id, rank::INT as final_rank, d as doc_id, source, round(sc, 6)::DOUBLE as score, md5(case when over_ then array_to_string(list_filter(regexp_split_to_array(c, '\\s+'), lambda x: x <> '')[1:greatest(floor((8000 - bef) / 1.3)::INT, 0)], ' ') || '...' else c end) as content_md5 from ov where (n_over = 0 or (over_ and n_over = 1 and 8000 - bef > 100)) and rank <= 10",
+)
+def retrieve_reranked(spark, sf):
+    """``retrieve_full`` with a re-ranker of weight .6."""
+    rows = pipelines.retrieve(requests(spark, sf), plain_vectors(spark, sf), chunk_mentions(spark, sf), described_chunks(spark, sf), FULL.with_(reranker_weight=0.6), rerank=word_overlap)
+    return rows.select("query_id", "final_rank", "doc_id", "source", F.round(F.col("score").cast("double"), 6).alias("score"), F.md5("content").alias("content_md5"))
+
+
+def metadata_rows(spark, sf) -> DataFrame:
+    """Documents with fields and tags: source, language, and tags by length."""
+    size = F.when(F.col("n_chars") > 2000, "long").when(F.col("n_chars") > 500, "middle").otherwise("short")
+    return table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("source"), "source", F.lit("lang"), "lang").alias("fields"), F.array(size, F.concat(size, F.lit("-"), "lang")).alias("tags"))
+
+
+def metadata_filters(spark, sf) -> DataFrame:
+    i = F.col("query_id")
+    fields = F.when(i % 200 == 0, F.create_map(F.lit("source"), F.concat(F.lit("src"), (i / 100 % 20).cast("int").cast("string")))).otherwise(F.create_map(F.lit("lang"), F.lit("en")))
+    return requests(spark, sf).select("query_id", fields.alias("fields"), F.array(F.lit("long")).alias("tags"))
+
+
+@query(
+    "metadata_batch",
+    f"with {REQ_SQL} select query_id, doc_id, 1.0::DOUBLE as score, row_number() over (partition by query_id order by doc_id)::INT as rank from rq join documents on n_chars > 2000 and case when query_id % 200 = 0 then source = 'src' || (query_id // 100 % 20)::VARCHAR else lang = 'en' end qualify rank <= 10",
+)
+def metadata_batch(spark, sf):
+    """Long documents of a source or a language, by the request."""
+    return retrieval.metadata_search_batch(metadata_rows(spark, sf), metadata_filters(spark, sf))
+
+
+def enhanced_search(spark, sf, own: DataFrame) -> DataFrame:
+    ages = described_chunks(spark, sf).select("doc_id", "doc_type", "age_days")
+    metadata = retrieval.metadata_search_batch(metadata_rows(spark, sf), metadata_filters(spark, sf).join(own.select("query_id"), "query_id", "left_semi"))
+    return pipelines.retrieve_enhanced(own, plain_vectors(spark, sf), table(spark, sf, "documents").select("doc_id", "text"), ages, FusionConfig(), metadata=metadata, rerank=word_overlap)
+
+
 @query("retrieve_enhanced")
 def retrieve_enhanced(spark, sf):
-    """Parts of requests, keywords and vectors, age, budget. No SQL: composed of operators that have it each; tested on a small table."""
-    ages = described_chunks(spark, sf).select("doc_id", "doc_type", "age_days")
-    rows = pipelines.retrieve_enhanced(requests(spark, sf), plain_vectors(spark, sf), table(spark, sf, "documents").select("doc_id", "text"), ages, FusionConfig())
+    """Parts of requests; vectors, keywords and metadata; age, re-ranking, budget. No SQL: composed of operators that have it each; tested on a small table."""
+    rows = enhanced_search(spark, sf, requests(spark, sf))
     return rows.select("query_id", "final_rank", "doc_id", "source", F.round("score", 6).alias("score"), F.md5("content").alias("content_md5"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepool import values
 from tidepool.functions.text import acronym_pair, version_base
+from tidepool.operators import containment
 from tidepool.operators.skew import frontier_join
 from tidepool.session import stored
 
@@ -34,16 +35,11 @@ def entity_lookup(entities: DataFrame, query: str, limit: int = 20) -> DataFrame
     return rows.select("id", "name", "frequency", (base + F.coalesce("frequency", F.lit(1)) / 100).alias("relevance"), sure.alias("confidence")).orderBy(F.desc("relevance"), F.desc("frequency"), "id").limit(limit)
 
 
-def entity_lookup_batch(entities: DataFrame, requests: DataFrame, limit: int = 20, block: int = 1000) -> DataFrame:
-    """``entity_lookup`` for many requests (query_id, query): their rows with rank and match_type. Requests are broadcast in blocks of about ``block``."""
-    blocks = max(1, -(-requests.count() // block))
+def entity_lookup_batch(entities: DataFrame, requests: DataFrame, limit: int = 5) -> DataFrame:
+    """``entity_lookup`` of many requests: (query_id, id, name, type, frequency, match_type, relevance, confidence, rank). ``entities``: id, name, type, frequency;
+    ``requests``: query_id, query. Names meet requests by a join on parts of them (``containment``), as neither side is small; empty names and requests match nothing."""
     q, name = F.lower("query"), F.lower("name")
-
-    def hits(own: DataFrame) -> DataFrame:
-        return entities.join(F.broadcast(own.select("query_id", "query")), F.contains(name, q) | F.contains(q, name))
-
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    rows = reduce(DataFrame.unionByName, (hits(requests if blocks == 1 else requests.filter(number == b)) for b in range(blocks)))
+    rows = containment.lookup(entities, requests).join(entities, "id").join(requests.select("query_id", "query"), "query_id")
     kind = F.when(name == q, "exact").when(F.contains(name, q), "contains").otherwise("contained_by")
     base = F.when(kind == "exact", 0.95).when(kind == "contains", 0.86).otherwise(0.80)
     sure = F.when(kind == "exact", 1.0).when(kind == "contains", 0.95).otherwise(0.9)
@@ -123,40 +119,11 @@ def beam_search(edges: DataFrame, starts: DataFrame, max_hops: int = 3, width: i
     return paths.select("start", "path", "relevance", "confidence")
 
 
-def entity_in_chunk(chunks: DataFrame, entities: DataFrame, names_per_block: int = 200_000) -> DataFrame:
-    """(chunk_id, entity_id): entities whose name occurs in the text, any case.
-
-    Distinct names are counted and dealt into blocks of about ``names_per_block``, each of which is broadcast as one array; a text is
-    matched against a block in one pass by an automaton that each Python worker builds once. Only (chunk_id, name) rows leave it and
-    meet the entities of that name in a join.
-    """
-    names = entities.select("entity_id", F.lower("name").alias("name")).filter(F.length("name") > 0)
-    distinct = names.select("name").distinct()
-    blocks = max(1, -(-distinct.count() // names_per_block))
-    kind = dict(chunks.dtypes)["chunk_id"]
-
-    def matcher(words: list[str]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            found = ahocorasick.Automaton()
-            for w in words:
-                found.add_word(w, w)
-            found.make_automaton()
-            for pdf in batches:
-                rows = [(c, n) for c, t in zip(pdf["chunk_id"], pdf["low"], strict=True) if t for n in ({x for _, x in found.iter(t)} if len(found) else ())]
-                yield pd.DataFrame(rows, columns=["chunk_id", "name"])
-
-        return run
-
-    texts = chunks.select("chunk_id", F.lower("content").alias("low"))
-    number = F.pmod(F.xxhash64("name"), F.lit(blocks))
-    hits = None
-    for b in range(blocks):
-        words = [r["name"] for r in distinct.filter(number == b).collect()]  # a block: a bounded number of names
-        own = texts.mapInPandas(matcher(words), f"chunk_id {kind}, name string")
-        hits = own if hits is None else hits.unionByName(own)
-    return hits.join(names, "name").select("chunk_id", "entity_id").distinct()
+def entity_in_chunk(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """(chunk_id, entity_id): entities whose name occurs in the text, any case, by a join on parts of the names (``containment``). ``chunks``: chunk_id, content; ``entities``: entity_id, name."""
+    names = stored(entities.select("entity_id", F.lower("name").alias("name")), "names")
+    found = containment.contained(chunks.select(F.col("chunk_id").alias("id"), F.lower("content").alias("text")), names.select("name"))
+    return found.join(names, "name").select(F.col("id").alias("chunk_id"), "entity_id").distinct()
 
 
 def exact_links(entities: DataFrame) -> DataFrame:

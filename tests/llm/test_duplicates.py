@@ -333,3 +333,34 @@ def test_dropping_leaks_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
     found = spark.createDataFrame([(1, 5), (1, 6)], "doc_id long, item_id long")
     assert sorted(r.text for r in decontamination.drop_leaks(docs, found).collect()) == ["b", "c"]
+
+
+def test_units_that_no_run_can_hold_are_left_out_before_the_shuffle(spark):
+    """Of all runs of repeated units those that can be removed pass, whatever the size of the batches; lonely short repeats don't."""
+    from tidepool.llm import substring_dedup as sd
+
+    rng = np.random.default_rng(11)
+    rows = [(i // 25, i // 25, i % 25, i, i + 1, int(rng.integers(1, 12)), int(rng.integers(0, 40)), bool(rng.random() < 0.1)) for i in range(3000)]
+    units = spark.createDataFrame(rows, "_id long, _doc long, unit int, start int, stop int, words int, digest long, again boolean").coalesce(1)
+    repeated = spark.createDataFrame([(d,) for d in range(0, 40, 2)], "digest long")
+    bitmap = bitmap_of(repeated, position=repeated.digest, size=1 << 16)
+    needed, passing = set(), {(r[0], r[2]) for r in rows if r[7] or r[6] % 2 == 0}
+    for doc in range(120):
+        run = []
+        for u in [*range(25), None]:
+            if u is not None and (doc, u) in passing:
+                run.append(u)
+                continue
+            own = [rows[doc * 25 + x] for x in run]
+            if sum(r[5] for r in own) >= 20 and 2 * sum(r[5] for r in own if r[5] >= 5) >= 20:
+                needed |= {(doc, x) for x in run}
+            run = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 100, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r._id, r.unit) for r in sd._passing(units, bitmap, 20, 5).collect()}
+            assert needed <= got <= passing
+        assert len(got - needed) <= 2 * 25 and len(got) < len(passing)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

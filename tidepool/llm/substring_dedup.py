@@ -104,10 +104,10 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int, telling:
     units = materialize(text_units(docs, id_col, text_col), "units")
     firsts = units.filter("not again")
     seen = materialize(firsts.groupBy("digest").agg(F.min("_id").alias("kept_id"), F.max("_id").alias("last"), F.count("*").alias("n")).filter("kept_id < last").select("digest", "kept_id", "n"), "repeated")
-    candidates = _passing(firsts, bitmap_of(seen, position=F.col("digest").bitwiseAND(F.lit(DIGEST_BITS - 1)), size=DIGEST_BITS))
-    met = salted_join(candidates, seen.drop("n"), ["digest"], F.col("_id"), hot=hot_keys(seen, ["digest"]))
+    passing = _passing(units, bitmap_of(seen, position=F.col("digest").bitwiseAND(F.lit(DIGEST_BITS - 1)), size=DIGEST_BITS), min_words, telling)
+    met = salted_join(passing.filter("not again").drop("again"), seen.drop("n"), ["digest"], F.col("_id"), hot=hot_keys(seen, ["digest"]))
     later = met.filter(F.col("_id") > F.col("kept_id")).select("_id", "_doc", "unit", "start", "stop", "words", "kept_id")
-    inside = units.filter("again").select("_id", "_doc", "unit", "start", "stop", "words", F.col("_id").alias("kept_id"))
+    inside = passing.filter("again").select("_id", "_doc", "unit", "start", "stop", "words", F.col("_id").alias("kept_id"))
     text = ["_id", "_doc"]
     repeats = later.unionByName(inside).repartition(*text).dropDuplicates([*text, "unit", "start", "stop"])
     runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(Window.partitionBy(*text).orderBy("unit")))
@@ -122,15 +122,28 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int, telling:
 DIGEST_BITS = 1 << 26
 
 
-def _passing(units: DataFrame, wanted: Bitmap) -> DataFrame:
-    """The units whose digest the bitmap lets through."""
+def _passing(units: DataFrame, wanted: Bitmap, min_words: int, telling: int) -> DataFrame:
+    """The units that may be part of a removed run: ``again``, or the bitmap lets their digest through, among neighbours with which they have the words a run needs.
+
+    A removed run lies within a run of such units, so that one has at least ``min_words`` words, half as many of them in telling units.
+    Units of a text stand in order; a run that the edge of a batch cuts is let through, as its words can't be told.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(wanted.at(batch.column(6).to_numpy() & (wanted.size - 1))))
+            doc, unit, words, digest = (batch.column(i).to_numpy() for i in (1, 2, 5, 6))
+            hit = batch.column(7).to_numpy(zero_copy_only=False) | wanted.at(digest & (wanted.size - 1))
+            follows = np.zeros(len(hit), bool)
+            follows[1:] = hit[:-1] & (doc[1:] == doc[:-1]) & (unit[1:] == unit[:-1] + 1)
+            own = np.cumsum(~(hit & follows))  # the number of each row's run; rows that don't pass are runs of their own
+            total, told = (np.bincount(own, weights=np.where(hit, w, 0)) for w in (words, np.where(words >= telling, words, 0)))
+            enough = (total >= min_words) & (2 * told >= min_words)
+            if len(own):
+                enough[[own[0], own[-1]]] = True
+            yield batch.filter(pa.array(hit & enough[own]))
 
     kinds = dict(units.dtypes)
-    columns = ["_id", "_doc", "unit", "start", "stop", "words", "digest"]
+    columns = ["_id", "_doc", "unit", "start", "stop", "words", "digest", "again"]
     return units.select(*columns).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidepool import values
 from tidepool.functions import temporal, text as tx
 from tidepool.functions.scoring import word_jaccard
-from tidepool.operators import chunking, graph
+from tidepool.operators import chunking, graph, lateral
 from tidepool.plans.registry import query, quoted, values_sql
 from tidepool.session import table
 
@@ -96,6 +96,14 @@ for name in ("standard", "semantic"):
     query(f"chunk_{name}")(lambda spark, sf, name=name: chunking.chunk(table(spark, sf, "documents"), name))
 
 
+@query("chunk_lateral")
+def chunk_lateral(spark, sf):
+    """The standard chunker as a table function in SQL text; the rows of chunk_standard."""
+    table(spark, sf, "documents").createOrReplaceTempView("tidepool_lateral_documents")
+    lateral.register(spark)
+    return spark.sql("select d.doc_id, c.chunk_index, c.content, c.tokens from tidepool_lateral_documents d, lateral chunk_standard(d.text, 400, 80) c")
+
+
 @query("chunk_levels")
 def chunk_levels(spark, sf):
     """Sections into header and part chunks: sequential within a document, hence without SQL."""

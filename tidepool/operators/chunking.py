@@ -193,6 +193,11 @@ def siblings(chunks: DataFrame, node: list[str]) -> DataFrame:
     return own.join(own.withColumnRenamed("chunk", "sibling"), node).filter("chunk <> sibling").select("chunk", "sibling")
 
 
+def children(sections: DataFrame) -> DataFrame:
+    """(doc_id, section, children): the sections right under each one that has any, in order. ``sections``: doc_id, section, parent."""
+    return sections.filter(F.col("parent").isNotNull()).groupBy("doc_id", F.col("parent").alias("section")).agg(F.sort_array(F.collect_list("section")).alias("own")).select("doc_id", "section", F.col("own").alias("children"))
+
+
 LEVEL_CHUNK = "doc_id long, chunk_index int, chunk_id string, parent_id string, level int, kind string, title string, content string, tokens int"
 _HEADER = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
 _NUMBER = re.compile(r"^(\d+(?:\.\d+)*)\.\s+(.+)$", re.M)

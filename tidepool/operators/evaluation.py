@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidepool import values
+
 
 def precision_recall(retrieved: DataFrame, truth: DataFrame) -> DataFrame:
     """Per query: precision (over the length of the list), recall and F1 (over distinct ids); 0 where there is nothing to divide by."""
@@ -108,3 +111,18 @@ def reasoning_quality(steps: Column, confidence: Column, answer_relevance: Colum
     """Mean of path validity (share of steps surer than 0.5), answer relevance (a hook's; null: 0), confidence and support (steps / 3, at most 1)."""
     valid = F.coalesce(F.try_divide(F.size(F.filter(steps, lambda c: c > 0.5)), F.size(steps)), F.lit(0.0))
     return (valid + F.coalesce(answer_relevance, F.lit(0.0)) + confidence + F.least(F.lit(1.0), F.size(steps) / 3)) / 4
+
+
+def boundary_fault(content: Column) -> Column:
+    """Half a point each for a chunk that starts or ends inside a sentence; 0 for others and null for blank ones. Chunks that start with a relative word continue an overlap."""
+    text = F.trim(content)
+    starts = text.rlike(values.GOOD_START) | reduce(lambda a, b: a | b, (F.startswith(text, F.lit(w)) for w in values.CONTINUED))
+    ends = text.rlike(values.GOOD_END)
+    return F.when(F.length(text) > 0, 0.5 * ((~starts).cast("int") + (~ends).cast("int")))
+
+
+def boundary_preservation(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, rate, verdict): the share of sound boundaries of non-blank chunks, 1 - faults / chunks: PASS from .95, WARN from .8. ``chunks``: content and the columns of ``by``."""
+    rows = chunks.withColumn("fault", boundary_fault(F.col("content"))).groupBy(*by).agg(F.count("fault").alias("n"), F.sum("fault").alias("faults"))
+    rate = F.when(F.col("n") > 0, 1 - F.col("faults") / F.nullif(F.col("n"), F.lit(0))).otherwise(0.0)
+    return rows.withColumn("rate", rate).withColumn("verdict", F.when(F.col("rate") >= 0.95, "PASS").when(F.col("rate") >= 0.8, "WARN").otherwise("FAIL")).drop("faults")

@@ -48,6 +48,30 @@ def entity_lookup_batch(entities: DataFrame, requests: DataFrame, limit: int = 5
     return rows.withColumn("rank", place).filter(F.col("rank") <= limit)
 
 
+def entity_search(entities: DataFrame, requests: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, rank, id, name, type): entities whose name contains the request's words, of the request's type if it names one; equal names first.
+
+    ``entities``: id, name, type; ``requests``: query_id, query, type (or null for any).
+    """
+    names = stored(entities.select("id", F.lower("name").alias("text")), "names")
+    asked = stored(requests.select("query_id", F.lower("query").alias("q"), F.col("type").alias("wanted")), "asked")
+    found = containment.contained(names, asked.select(F.col("q").alias("name"))).withColumnRenamed("name", "q")
+    rows = found.join(asked, "q").join(entities.select("id", "name", "type"), "id").filter(F.col("wanted").isNull() | (F.col("wanted") == F.col("type")))
+    order = Window.partitionBy("query_id").orderBy((F.lower("name") != F.col("q")).cast("int"), "id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "id", "name", "type")
+
+
+def grouped_mentions(replies: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, key, name, type, frequency, chunk_ids): entities of a document's replies, by lower-case name and type, with the number of mentions and all of the document's chunks.
+
+    ``replies``: document_id, reply (text with a JSON array of objects with name and type); ``chunks``: document_id, chunk_id. What isn't JSON names nothing.
+    """
+    rows = replies.select("document_id", F.explode(F.from_json(F.regexp_extract("reply", r"(?s)(\[.*\])", 1), "array<struct<name:string,type:string>>")).alias("x")).select("document_id", F.trim("x.name").alias("name"), F.lower(F.trim("x.type")).alias("type"))
+    named = rows.filter(F.length("name") > 0).groupBy("document_id", F.lower("name").alias("key"), "type").agg(F.min("name").alias("name"), F.count("*").alias("frequency"))
+    own = chunks.groupBy("document_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
+    return named.join(own, "document_id", "left").select("document_id", "key", "name", "type", "frequency", F.coalesce("chunk_ids", F.array()).alias("chunk_ids"))
+
+
 def weighted_paths(edges: DataFrame, seeds: DataFrame, frequency: DataFrame, max_hops: int = 3, least: float = 0.3) -> DataFrame:
     """Best score of each entity over paths from a seed: (seed, id, hops, score, confidence).
 

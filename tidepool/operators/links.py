@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepool.operators import paths, queries
-from tidepool.operators.retrieval import ranked
-from tidepool.operators.skew import frontier_join
+from tidepool.operators.retrieval import ranked, vector_top_k
+from tidepool.operators.skew import FEW_ROWS, frontier_join
 from tidepool.session import stored
 
 LINK = ["a_type", "a_id", "b_type", "b_id", "relation"]
@@ -124,6 +124,20 @@ def nodes_of_vectors(vectors: DataFrame, mentions: DataFrame, nodes: DataFrame)
     return joined.select("vector_id", "chunk_id", *(F.coalesce(c, F.array()).alias(c) for c in ("entity_ids", "node_ids")))
 
 
+def chunks_of_search(vectors: DataFrame, queries_: DataFrame, owners: DataFrame, mentions: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, vector_id, chunk_id, score, entity_ids, node_ids): the best vectors of each request with their chunk and what it is linked with; a vector without a chunk stands for itself.
+
+    ``vectors``: doc_id, embedding; ``owners``: vector_id, chunk_id; ``mentions``: chunk_id, entity_id; ``nodes``: chunk_id, node_id.
+    """
+    best = vector_top_k(vectors, queries_, k).withColumnRenamed("doc_id", "vector_id")
+    own = best.join(owners.groupBy("vector_id").agg(F.min("chunk_id").alias("chunk_id")), "vector_id", "left").withColumn("chunk_id", F.coalesce("chunk_id", "vector_id"))
+    own = stored(own, "hits")
+    asked = own.select("chunk_id").distinct()
+    sets = lambda rows, c, name: rows.join(F.broadcast(asked) if asked.count() <= FEW_ROWS else asked, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.sort_array(F.collect_set(c)).alias(name))
+    joined = own.join(sets(mentions, "entity_id", "entity_ids"), "chunk_id", "left").join(sets(nodes, "node_id", "node_ids"), "chunk_id", "left")
+    return joined.select("query_id", "rank", "vector_id", "chunk_id", "score", *(F.coalesce(c, F.array()).alias(c) for c in ("entity_ids", "node_ids")))
+
+
 def expand_seeds(mentions: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(entity_id, distance, weight): entities within ``depth`` steps of any seed, seeds left out; weight 1 / distance."""
     near = related_entities(mentions, seeds, depth).groupBy("entity_id").agg(F.min("depth").alias("distance"))

@@ -132,3 +132,8 @@ EXPIRES = [r"(?:expires?|valid until|effective until)[:\s]+([^\n]+)", r"(?:deadl
 # What a request gets that reasoning over the graph can't answer.
 NO_STARTS = "I couldn't find relevant information to start answering this question."
 NO_PATHS = "I found relevant starting points but couldn't connect them to answer your question."
+
+# How sound chunks begin and end, and words with which a chunk may go on.
+GOOD_START = r"""^[A-Z#0-9\[\-*>`"'({]|^(def |class |import |from |async |await |function |const |let |var )"""
+GOOD_END = r"""[.!?:;}\])"'`]$|[\p{L}\p{N}_]$"""
+CONTINUED = ["which", "that", "where", "when", "who"]

@@ -36,3 +36,21 @@ def test_a_hot_text(spark):
     docs = spark.range(2000).selectExpr("id as doc_id", "if(id % 3 = 0, 'x\\nReleased under the MIT License.', concat('own ', id)) as text")
     got = ls.license_scan(docs).groupBy("notices").count().collect()
     assert {(r.notices, r["count"]) for r in got} == {("MIT notice", 667), ("", 1333)}
+
+
+def test_headings_list_marks_and_addresses(spark):
+    """Ordinary licence files: under their usual heading, with other list marks, with an older address."""
+    k, holder = ls.known_licenses(), "\n\nCopyright (c) 2019-2021, Some One <a@b.c>\n\n"
+    bsd3, gpl = k["BSD-3-Clause"], k["GPL-2.0"]
+    rows = [
+        ("MIT", "MIT License" + holder + k["MIT"]), ("MIT", "The MIT License (MIT)" + holder + k["MIT"]), ("MIT", "# The MIT License" + holder + k["MIT"]), ("ISC", "ISC License" + holder + k["ISC"]), ("ISC", "The ISC License (ISC)" + holder + k["ISC"]),
+        ("BSD-3-Clause", "BSD 3-Clause License" + holder + bsd3), ("BSD-3-Clause", "The 3-Clause BSD License" + holder + bsd3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")), ("BSD-3-Clause", bsd3.replace("1. ", "a) ").replace("2. ", "b) ").replace("3. ", "c) ")),
+        ("BSD-2-Clause", "Simplified BSD License" + holder + k["BSD-2-Clause"].replace("1. ", "- ").replace("2. ", "- ")), ("Zlib", "zlib License" + holder + k["Zlib"]), (None, "MIT License"), (None, "MIT License and more " + k["MIT"]), (None, "the mit license says permission is given"),
+    ]
+    address = next(a for a in ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA", "51 Franklin Street, Fifth Floor,\n Boston, MA 02110-1301 USA", "") if a in gpl)
+    if address:
+        rows.append(("GPL-2.0", gpl.replace(address, "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")))
+        rows.append(("GPL-2.0", gpl.replace(address, "675 Mass Ave, Cambridge, MA 02139, USA")))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in ls.license_scan(docs).collect()}
+    assert got == {i: want for i, (want, _) in enumerate(rows)}

@@ -1,6 +1,6 @@
 """Licence scan by canonical digest lookup, with built-in functions only.
 
-A text is normalised (case, copyright lines, punctuation, white space, equivalent spellings), digested, and the digest is
+A text is normalised (case, copyright lines, headings, list marks, punctuation, white space, equivalent spellings), digested, and the digest is
 hash-joined with those of known licences. Besides the entire text, each line that names a licence is digested by the same rules, so
 that one-line notices at the foot of a document are found. What lines say depends on the text alone, so it is found once for each
 distinct text and joined back.
@@ -13,7 +13,7 @@ whatever their names. Known texts with equal canonical forms give the smallest i
 from __future__ import annotations
 
 from functools import reduce
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -62,13 +62,14 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
 }
 
-#: Long licences, a file each, named by SPDX identifier.
-TEXTS = Path(__file__).with_name("licenses")
 
 
 def known_licenses() -> dict[str, str]:
-    """The texts and notices above and the files of ``TEXTS``."""
-    return KNOWN | {f.stem: f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
+    """The texts and notices above and the files of the folder ``licenses``, one to a long licence, named by SPDX identifier."""
+    texts = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files("tidepool.llm").joinpath("licenses").iterdir() if f.name.endswith(".txt")}
+    if not texts:
+        raise FileNotFoundError("the licence texts of tidepool.llm are missing from this installation")
+    return KNOWN | dict(sorted(texts.items()))
 
 
 # Spellings taken as equal, after punctuation has become spaces; applied in this order.
@@ -78,6 +79,14 @@ EQUIVALENT = [
     ("favour", "favor"), ("https", "http"),
 ]
 
+# Headings that licence files stand under, before the words they begin with; marks of list items, before the words items
+# begin with; and the addresses of the Free Software Foundation. All in canonical form; (pattern, what stays: a group's number or words).
+FORMS = [
+    (r"^((the )?(mit|isc|zlib|x11|expat|unlicense|boost software|(simplified |new |modified |revised |original )?bsd( [0234] clause)?|[0234] clause bsd) license( (mit|isc|x11|expat|zlib))?|license|bsd [0234] clause|zlib libpng license) (permission (is|to) |redistribution and |this software is |this is free )", 8),
+    (r" ([0-9]|[a-e]) (redistributions (of|in) |neither the name |the origin of |altered source |this notice may )", 2),
+    (r" (51 franklin st(reet)?( fifth floor)?|59 temple place( suite 330)?|675 mass ave) (boston|cambridge) ma [0-9]{5}( [0-9]{4})?( usa)? ", " fsf address "),
+]
+
 #: A line that says who holds the copyright, as opposed to one that merely uses the word.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -90,7 +99,10 @@ def canonical(text: Column) -> Column:
     c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(COPYRIGHT_LINE), F.lit(" "))
     c = F.concat(F.lit(" "), F.regexp_replace(c, F.lit(NOT_WORD), F.lit(" ")), F.lit(" "))
     c = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), EQUIVALENT, c)
-    return F.trim(F.regexp_replace(c, F.lit(" +"), F.lit(" ")))
+    c = F.trim(F.regexp_replace(c, F.lit(" +"), F.lit(" ")))
+    for pattern, kept in FORMS:
+        c = F.regexp_replace(c, F.lit(pattern), F.lit(kept if isinstance(kept, str) else f"{' ' * pattern.startswith(' ')}${kept}"))
+    return c
 
 
 def known_digests(spark, known: dict[str, str] | None = None) -> DataFrame:
@@ -127,7 +139,11 @@ def oracle(table: str = "documents") -> str:
         c = f"' ' || regexp_replace(regexp_replace(lower({x}), {quote(COPYRIGHT_LINE)}, ' ', 'g'), {quote(NOT_WORD)}, ' ', 'g') || ' '"
         for a, b in EQUIVALENT:
             c = f"replace({c}, {quote(a)}, {quote(b)})"
-        return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+        c = f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+        for pattern, kept in FORMS:
+            stays = kept if isinstance(kept, str) else " " * pattern.startswith(" ") + "\\" + str(kept)
+            c = f"regexp_replace({c}, {quote(pattern)}, {quote(stays)}, 'g')"
+        return c
 
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known_licenses().items())
     return f"""

@@ -104,15 +104,15 @@ def relations_by_weight(spark, sf):
 
 @query(
     "match_texts",
-    """with r as (select event_id, round(abs(value) % 100, 1) s, case event_id % 3 when 0 then 'vector' when 1 then 'graph' else 'hybrid' end src, case event_id % 4 when 0 then 'exact' when 1 then 'contains' when 2 then 'traversal' else 'fuzzy' end mt, (1 + event_id % 3)::INT h from events)
-select event_id, case when s >= 90 then 'Excellent match' when s >= 75 then 'Strong match' when s >= 60 then 'Good match' when s >= 40 then 'Moderate match' when s >= 25 then 'Weak match' else 'Poor match' end || ' (' || printf('%.1f', s) || '%)'
+    """with r as (select event_id, floor(abs(value) % 100) s, case event_id % 3 when 0 then 'vector' when 1 then 'graph' else 'hybrid' end src, case event_id % 4 when 0 then 'exact' when 1 then 'contains' when 2 then 'traversal' else 'fuzzy' end mt, (1 + event_id % 3)::INT h from events)
+select event_id, case when s >= 90 then 'Excellent match' when s >= 75 then 'Strong match' when s >= 60 then 'Good match' when s >= 40 then 'Moderate match' when s >= 25 then 'Weak match' else 'Poor match' end || ' (' || printf('%.1f', s::DOUBLE) || '%)'
 || case when src = 'graph' then case mt when 'exact' then ' - Exact entity match' when 'contains' then ' - Partial entity match' when 'traversal' then ' - Related entity (' || h || ' hop' || case when h = 1 then '' else 's' end || ')' else '' end when src = 'vector' then ' - Semantic similarity' else '' end as explanation from r""",
 )
 def match_texts(spark, sf):
     i = F.col("event_id")
     source = F.when(i % 3 == 0, "vector").when(i % 3 == 1, "graph").otherwise("hybrid")
     kind = F.when(i % 4 == 0, "exact").when(i % 4 == 1, "contains").when(i % 4 == 2, "traversal").otherwise("fuzzy")
-    return table(spark, sf, "events").select("event_id", scoring.match_explanation(F.round(F.abs("value") % 100, 1), source, kind, (1 + i % 3).cast("int")).alias("explanation"))
+    return table(spark, sf, "events").select("event_id", scoring.match_explanation(F.floor(F.abs("value") % 100).cast("double"), source, kind, (1 + i % 3).cast("int")).alias("explanation"))
 
 
 @query("files_scan", "select source, 'txt' as extension, length(t) as n_chars, substr(md5(t), 1, 12) as document_id from (select source, string_agg(text, chr(10) order by doc_id) || chr(10) t from documents group by 1)")

@@ -369,15 +369,6 @@ def temporal_metadata(spark, sf):
     return rows.select("doc_id", F.col("m.created_at").cast("date").alias("created"), F.col("m.expires_at").cast("date").alias("expires"), F.col("m.lifecycle_stage").alias("stage"), F.col("m.version").alias("version"), F.col("m.doc_type").alias("doc_type"))
 
 
-@query("demo_search", "with r as (select doc_id, 'vector' s, (doc_id * 7 % 100) / 100.0 sc from documents union all select p_partkey, 'graph', (p_partkey * 13 % 100) / 100.0 from part) select doc_id as id, s as source, sc::DOUBLE as score, row_number() over (order by sc desc, s desc, doc_id)::INT as final_rank from r order by sc desc, s desc, doc_id limit 20")
-def demo_search(spark, sf):
-    """Rows of both searches by their scores as they are, without fusion."""
-    v = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("vector").alias("source"), (F.col("doc_id") * 7 % 100 / 100).alias("score"))
-    g = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("graph").alias("source"), (F.col("p_partkey") * 13 % 100 / 100).alias("score"))
-    best = v.unionByName(g).orderBy(F.desc("score"), F.desc("source"), "id").limit(20).withColumn("one", F.lit(1))
-    return best.withColumn("final_rank", F.row_number().over(Window.partitionBy("one").orderBy(F.desc("score"), F.desc("source"), "id"))).drop("one")
-
-
 @query("id_union", "select l_suppkey as id from lineitem union select l_partkey from lineitem")
 def id_union(spark, sf):
     t = table(spark, sf, "lineitem")

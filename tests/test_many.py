@@ -138,3 +138,31 @@ def test_settings_equal_one_run_each(spark):
             f1s.append(2 * p * rec / (p + rec) if p + rec else 0)
         want.append((-round(sum(f1s) / 5, 9), r.setting))
     assert [(-round(r.f1, 9), r.setting) for r in got] == sorted(want) and [r.place for r in got] == list(range(1, 31))
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_weighted_paths_equal_all_paths(spark, hops):
+    from tidepool.operators import graph
+
+    rng = random.Random(hops)
+    edges = [(a, b, rng.randrange(1, 10) / 10) for a, b in sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(34)})]
+    near = {}
+    for a, b, w in edges:
+        if w >= 0.3:
+            near.setdefault(a, []).append((b, w))
+            near.setdefault(b, []).append((a, w))
+    freq = {i: rng.randrange(1, 9) for i in range(10)}
+    best = {}
+    for seed in (0, 3, 13):
+        paths = [(seed, frozenset(), [])]
+        for h in range(1, hops + 1):
+            paths = [(y, used | {frozenset((x, y))}, [*ws, w]) for x, used, ws in paths for y, w in near.get(x, ()) if frozenset((x, y)) not in used]
+            for x, _, ws in paths:
+                if x != seed:
+                    mean = sum(ws) / h
+                    old = best.get((seed, x), (9, -1.0, 0.0))
+                    best[seed, x] = (min(old[0], h), max(old[1], (0.8, 0.6, 0.4)[h - 1] * mean + freq.get(x, 1) / 50), max(old[2], 0.9 if mean >= 0.7 else 0.8 if mean >= 0.5 else 0.7))
+    got = graph.weighted_paths(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(0,), (3,), (13,), (99,)], "id long"), spark.createDataFrame(list(freq.items()), "id long, frequency int"), hops).collect()
+    assert {(r.seed, r.id): (r.hops, round(r.score, 9)) for r in got} == {k: (v[0], round(v[1], 9)) for k, v in best.items()}
+    near_cut = {(r.seed, r.id) for r in got if abs(r.confidence - best[r.seed, r.id][2]) > 1e-9}
+    assert len(near_cut) <= 2, "means that are a cut to the last digit may fall on either side"

@@ -75,17 +75,23 @@ def grouped_mentions(replies: DataFrame, chunks: DataFrame) -> DataFrame:
 def weighted_paths(edges: DataFrame, seeds: DataFrame, frequency: DataFrame, max_hops: int = 3, least: float = 0.3) -> DataFrame:
     """Best score of each entity over paths from a seed: (seed, id, hops, score, confidence).
 
-    Paths use edges of at least ``least``, each edge once; score is .8/.6/.4 by hops times the mean weight plus frequency / 50,
-    confidence .9/.8/.7 by the mean weight.
+    Paths of up to three hops use edges of at least ``least``, each edge once; score is .8/.6/.4 by hops times the mean weight plus
+    frequency / 50, confidence .9/.8/.7 by the mean weight. Both grow with the mean, so of the paths of one length only the heaviest counts.
+    In three hops an edge can come twice only by going straight back: so of the ways to a node the best from each of two neighbours are
+    enough, whatever comes next, and a seed has at most two rows for each node it reaches.
     """
-    both = undirected(edges.filter(F.col("weight") >= least)).withColumn("edge", F.concat_ws("|", F.least("src", "dst"), F.greatest("src", "dst")))
-    step = both.select(F.col("src").alias("at"), F.col("dst").alias("to"), "weight", "edge")
-    paths = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at"), F.array().cast("array<string>").alias("used"), F.lit(0.0).alias("total"))
+    if max_hops > 3:
+        raise ValueError("paths have at most three hops")
+    both = undirected(edges.filter(F.col("weight") >= least)).groupBy(F.col("src").alias("at"), F.col("dst").alias("to")).agg(F.max("weight").alias("weight"))
+    step = stored(both, "steps")
+    ways = stored(seeds.select(F.col("id").alias("seed"), F.col("id").alias("at"), F.lit(None).cast(dict(seeds.dtypes)["id"]).alias("prev"), F.lit(0.0).alias("total")).distinct(), "ways")
     found = None
+    two = Window.partitionBy("seed", "to").orderBy(F.desc("total"), "at")
     for hops in range(1, max_hops + 1):
-        paths = paths.join(step, "at").filter(~F.array_contains("used", F.col("edge"))).select("seed", F.col("to").alias("at"), F.array_append("used", F.col("edge")).alias("used"), (F.col("total") + F.col("weight")).alias("total"))
-        mean = F.col("total") / hops
-        rows = paths.select("seed", F.col("at").alias("id"), F.lit(hops).alias("hops"), mean.alias("mean"))
+        on = frontier_join(step, ways, ["at"], F.col("to")).filter(F.col("prev").isNull() | (F.col("to") != F.col("prev")))
+        best = on.groupBy("seed", "to", "at").agg(F.max(F.col("total") + F.col("weight")).alias("total")).withColumn("n", F.row_number().over(two)).filter("n <= 2")
+        ways = stored(best.select("seed", F.col("to").alias("at"), F.col("at").alias("prev"), "total"), "ways")
+        rows = ways.groupBy("seed", F.col("at").alias("id")).agg((F.max("total") / hops).alias("mean")).withColumn("hops", F.lit(hops))
         found = rows if found is None else found.unionByName(rows)
     base = F.element_at(F.array(F.lit(0.8), F.lit(0.6), F.lit(0.4)), F.col("hops"))
     best = found.filter("id <> seed").join(frequency, "id", "left").withColumn("score", base * F.col("mean") + F.coalesce("frequency", F.lit(1)) / 50)

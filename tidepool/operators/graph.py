@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidepool import values
 from tidepool.functions import scoring
 from tidepool.operators import chunking, evaluation, graph, links
 from tidepool.plans.graph import M_SQL, mentions, strong_edges
-from tidepool.plans.pipelines import COS, chunk_mentions
+from tidepool.plans.pipelines import COS
 from tidepool.plans.registry import query, quoted
 from tidepool.plans.retrieval import query_vectors, vectors
 from tidepool.plans.text import SECTIONS, markdown
@@ -97,8 +97,6 @@ def json_round_trip(spark, sf):
 def relations_by_weight(spark, sf):
     """The hundred heaviest relations in order."""
     top = strong_edges(spark, sf).orderBy(F.desc("weight"), "src", "dst").limit(100)
-    from pyspark.sql import Window
-
     return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("weight"), "src", "dst")))
 
 

@@ -1,6 +1,10 @@
 """From raw documents to packed training sequences, in five stages that each keep what the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Defined cases: rows with a null id pass all filters, uncut, and are packed; null and empty texts are no copies of each other or of
+anything, and are packed as one end mark if the quality classifier keeps them; repeated rows share one verdict and one cut, and stay
+repeated; very long texts are read whole; extra columns pass through; an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations

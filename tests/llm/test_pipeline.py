@@ -91,6 +91,26 @@ def test_stages(spark):
         before, docs = after, out
 
 
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows, an empty and a very long text, extra columns with clashing names; and no rows at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [tuple(r) for r in docs.orderBy("doc_id").limit(25).collect()]
+    good = max((r for r in some), key=lambda r: len(r[1]))
+    odd = [(None, good[1] + " null id", "en", "src1", 5), (9001, None, "en", "src1", None), (9002, "", None, None, 0), (9003, good[1] + " again and again", "en", "src2", 9), (9003, good[1] + " again and again", "en", "src2", 9), (9004, (good[1] + "\n") * 60, "fr", None, 1)]
+    frame = spark.createDataFrame([*some, *odd], docs.schema).selectExpr("*", "'a' as score", "1 as kept", "doc_id as component_id", "'x' as digest", "2 as start", "array(1) as _spans")
+    here, none, columns = frame, frame.limit(0), frame.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        here, none = materialize(stage(spark, here, SF), name), materialize(stage(spark, none, SF), name)
+        assert here.columns == none.columns == columns and none.count() == 0, name
+        rows = here.collect()
+        assert sum(r.doc_id is None for r in rows) == 1, name
+        assert sum(r.doc_id == 9003 for r in rows) in (0, 2), "repeated rows share one verdict"
+        assert all(r.score == "a" and r.kept == 1 and r.start == 2 for r in rows), name
+    name, stage = corpus_pipeline.STAGES[-1]
+    packed = stage(spark, here, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in here.collect()} and stage(spark, none, SF).count() == 0
+
+
 def test_run_equals_brute_force(spark):
     docs, labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     rows = sorted((r.doc_id, r.source, r.lang, r.text) for r in docs.collect())

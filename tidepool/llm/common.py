@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Per thread: tables that the stages of a pipeline have written, to be removed when the next stage begins.
+_OWN = threading.local()
+
+
+@contextmanager
+def stage_tables(docs: DataFrame) -> Iterator[None]:
+    """Inside, ``materialize`` keeps a list of its tables. Those of the stage before are removed first, if ``docs``, which that stage's result has become, doesn't read them."""
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
+    left, read = getattr(_OWN, "tables", []), docs.inputFiles()
+    for path in left:
+        if not any(path.rpartition("/")[2] in f for f in read):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+    _OWN.tables, _OWN.on = [p for p in left if any(p.rpartition("/")[2] in f for f in read)], True
+    try:
+        yield
+    finally:
+        _OWN.on = False
+
+
+def keep_stage_tables() -> None:
+    """Tables of the last stage stay, since its result is handed on unread."""
+    _OWN.tables = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and an executor's loss costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidepool/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(_OWN, "on", False):
+        _OWN.tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

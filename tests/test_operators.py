@@ -349,14 +349,13 @@ def test_percentiles_equal_sorted_lists(spark):
         assert got[g] == tuple(own[int(len(own) * s)] for s in (0, 0.5, 0.99))
 
 
-def test_names_in_texts_in_blocks(spark):
+def test_names_in_texts(spark):
     from tidepool.operators import graph
 
     chunks = spark.createDataFrame([(1, "The Red fox"), (2, None), (3, "REDfoxes"), (4, "")], "chunk_id long, content string")
     entities = spark.createDataFrame([(1, "red"), (2, "Fox"), (3, "RED"), (4, ""), (5, None), (6, "x"), (7, "hen")], "entity_id long, name string")
     want = {(c, e) for c in (1, 3) for e in (1, 2, 3, 6)}
-    for block in (1, 100):
-        assert {tuple(r) for r in graph.entity_in_chunk(chunks, entities, block).collect()} == want
+    assert {tuple(r) for r in graph.entity_in_chunk(chunks, entities).collect()} == want
     assert graph.entity_in_chunk(chunks, entities.limit(0)).count() == 0
 
 

@@ -69,6 +69,28 @@ def test_repeated_rows_lose_no_link(spark, copies=2):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == expected(rows, 1, 75)
 
 
+def test_long_texts_at_the_threshold_link(spark):
+    """Texts of more shingles than a tile's signature is made for, at 85 % and just under it, in one batch with short ones."""
+    rows = [(1, "a few words only here"), (2, None)]
+    for t in (100, 103, 104, 120, 250):
+        w = [f"b{t}x{j}" for j in range(20 * t + 3)]
+        rows += [(10 * t, " ".join(w)), (10 * t + 1, " ".join(w[: 17 * t + 3])), (10 * t + 2, " ".join(w[-17 * t - 2 :]))]
+    got = jaccard_join.jaccard_components(docs_of(spark, rows).coalesce(1), k=4, percent=85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == expected(rows, 4, 85)
+
+
+def test_an_empty_text_of_an_id_whose_other_text_is_a_copy(spark):
+    rows = [(3, "some words stand here now"), (7, "some words stand here now"), (7, ""), (7, None), (8, ""), (9, "others stand there now and then")]
+    got = jaccard_join.jaccard_components(docs_of(spark, rows), k=4, percent=85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == expected(rows, 4, 85)
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.sql("select id as doc_id, cast(unhex(h) as string) as text from values (1L, 'FF41204220432044'), (2L, 'FF61206220630A64'), (3L, 'FE41204220432044'), (4L, 'EDA0BD') t(id, h)")
+    got = jaccard_join.jaccard_components(docs, k=4, percent=85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 4)}
+
+
 def test_shingles_with_the_same_ends_and_count(spark):
     """5 and 6 share words p, 7 and 8 words q, and 1 and 9 have all of both in their prefixes, as what else they have is commoner."""
     p, q, f, g = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 6), ("q", 6), ("f", 36), ("g", 36)))

@@ -16,8 +16,8 @@
 No pair is dropped unless a bound rules it out, and pairs inside a group are not expanded once it is known to be connected.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own component; shorter texts than a shingle are
-one shingle of all their words; very long texts are read whole; rows with equal ids are one document that links where any of its
-texts does; a null id gets a null component; extra columns are ignored. An empty table gives an empty result.
+one shingle of all their words; very long texts are read whole; bytes that are no UTF-8 are part of words; rows with equal ids are one
+document that links where any of its texts does; a null id gets a null component; extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +37,10 @@ from tidepool.llm.components import components
 LEAST, MOST = 16, 64
 
 
-def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct hashes of the k-word shingles of a text whose letters A-Z are lowered."""
-    h = hashes.of((text or "").encode("utf-8", "replace").lower().split())
+def shingles(text: str | bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
+    """The sorted distinct hashes of the k-word shingles of a text (or its bytes, UTF-8 or not) whose letters A-Z are lowered."""
+    data = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
+    h = hashes.of(data.lower().split())
     if not len(h):
         return h
     if len(h) < k:
@@ -118,8 +119,8 @@ def described(docs: DataFrame, k: int, percent: int, common: np.ndarray, rank: n
 
     def lists(arrays: list[np.ndarray]) -> pa.ListArray:
         ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+        flat = np.concatenate([a.view(np.int64) for a in arrays]) if arrays else np.empty(0, np.int64)  # signed and unsigned together would become floats
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone(HASHES)
@@ -280,7 +281,7 @@ def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, chunk_rows: int = 1024) -> DataFrame:
     """Per row: id, n_shingles, component_id. ``percent``: documents link when 100 * intersection >= percent * union."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     common, rank, counts = common_shingles(docs, k)
     # Shingles that very many documents share: their rows are dealt over many tasks. Any choice gives the same result.
     often = common[counts >= max(HOT_ROWS, docs.count() // 1000)].view(np.int64)
@@ -306,8 +307,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sigs = usable.select("_id", "n", "d1", "d2", "sig", "wide")
 
     none = shared.select(F.col("_id").alias("node"), F.col("_id").alias("label")).limit(0)
-    # An id with several texts is in several classes, which it connects.
-    mixed_ids = usable.groupBy("_id").agg(*(f("d1").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("d2").alias(f"{f.__name__}2") for f in (F.min, F.max))).filter("min1 < max1 or min2 < max2").select("_id")
+    # An id with several texts is in several classes, which it connects; one of them may be empty and take the label of the others.
+    mixed_ids = table.groupBy("_id").agg(*(f("d1").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("d2").alias(f"{f.__name__}2") for f in (F.min, F.max))).filter("min1 < max1 or min2 < max2").select("_id")
     links = materialize(usable.join(mixed_ids, "_id").join(classes, ["n", "d1", "d2"]).select(F.least("_id", "rep").alias("a"), F.greatest("_id", "rep").alias("b")).distinct(), "links")
     labels = none
     for end in ("lo", "hi"):

@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepool.llm.common import HASHES, Bitmap, WordHashes, alone, bitmap_of, hot_keys, materialize, salted_join, scramble, windows, without
+from tidepool.llm.common import HASHES, Bitmap, WordHashes, alone, bitmap_of, by_filter, hot_keys, materialize, salted_join, scramble, windows, without
 from tidepool.llm.components import components
 
 #: Numbers of 64 bits in a signature: two bits a shingle, at least LEAST and in tiles at most MOST of them; powers of two.
@@ -161,19 +161,27 @@ def postings(table: DataFrame, wanted: Bitmap) -> DataFrame:
     return table.select("_id", "n", "d1", "d2", "prefix").mapInArrow(run, f"_id {kind}, n bigint, d1 bigint, d2 bigint, h bigint")
 
 
+def _sizes_allow(percent: int, na: Column, nb: Column) -> Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
 def _may_link(percent: int, na: Column, nb: Column, sa: Column, sb: Column) -> Column:
     """Sizes and signatures leave room for the similarity asked for. Signatures of sizes that do differ twofold at most."""
     half = lambda s: F.zip_with(F.slice(s, F.lit(1), F.floor(F.size(s) / 2).cast("int")), F.slice(s, F.floor(F.size(s) / 2).cast("int") + 1, F.floor(F.size(s) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
     less = lambda s, other: F.when(F.size(s) > F.size(other), half(s)).otherwise(s)
     differ = F.aggregate(F.zip_with(less(sa, sb), less(sb, sa), lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)).cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 - percent) * (na + nb) >= (100 + percent) * differ)
+    return _sizes_allow(percent, na, nb) & ((100 - percent) * (na + nb) >= (100 + percent) * differ)
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Only texts whose id passes a fixed-size bitmap of the pairs' ids are made into sets again."""
     whole = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("sig"))
     side = lambda x: sigs.select(F.col("_id").alias(x), F.col("n").alias(f"n{x}"), whole.alias(f"s{x}"))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
+    # Sizes alone rule most pairs out, before signatures are shuffled for the others.
+    sizes = sigs.select("_id", "n").distinct()
+    size = lambda x: sizes.select(F.col("_id").alias(x), F.col("n").alias(f"n{x}"))
+    near = pairs.join(size("a"), "a").join(size("b"), "b").filter(_sizes_allow(percent, F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    left = near.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent, F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
     left = materialize(left.select("a", "b").distinct(), "candidates")
     wanted = bitmap_of(left.select(F.explode(F.array("a", "b")).alias("_id")), "_id")
     kind = dict(docs.dtypes)["_id"]
@@ -302,8 +310,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # two combined hashes) one is kept, since the others would compare the same pairs.
     mixes = [F.bit_xor(F.xxhash64(*c)).alias(x) for x, c in (("mix", ("_id", "n", "d1", "d2")), ("mix2", ("d2", "d1", "n", "_id")))]
     members = rows.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("c"), *mixes).filter("lo < hi")
-    ends = members.groupBy("lo", "hi", "c", "mix", "mix2").agg(F.min("h").alias("h")).select("h", "lo", "hi")
-    shared = materialize(salted_join(rows, ends, ["h"], F.col("_id"), hot=hot), "shared")
+    ends = materialize(members.groupBy("lo", "hi", "c", "mix", "mix2").agg(F.min("h").alias("h")).select("h", "lo", "hi"), "ends")
+    # Most rows are of shingles that went: a bitmap drops them before the shuffle.
+    shared = materialize(salted_join(by_filter(rows, ends, ["h"])[1], ends, ["h"], F.col("_id"), hot=hot), "shared")
     sigs = usable.select("_id", "n", "d1", "d2", "sig", "wide")
 
     none = shared.select(F.col("_id").alias("node"), F.col("_id").alias("label")).limit(0)

@@ -91,6 +91,22 @@ def test_bytes_that_are_no_text(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 4)}
 
 
+def test_pairs_of_unlike_sizes_shuffle_no_signatures(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(600 if i % 2 else 1500))) for i in range(400)], "_id long, _text string")
+    sigs = jaccard_join.materialize(jaccard_join.described(docs, 1, 85, np.empty(0, np.uint64), np.empty(0, np.int64)), "sets")
+    pairs = jaccard_join.materialize(spark.range(160_000).selectExpr("id div 400 as a", "id % 400 as b").filter("a < b and a % 2 <> b % 2"), "pairs")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        start = written()
+        assert jaccard_join.verified(pairs, sigs, docs, 1, 85).count() == 0
+        assert written() - start < 1_100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_shingles_with_the_same_ends_and_count(spark):
     """5 and 6 share words p, 7 and 8 words q, and 1 and 9 have all of both in their prefixes, as what else they have is commoner."""
     p, q, f, g = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 6), ("q", 6), ("f", 36), ("g", 36)))

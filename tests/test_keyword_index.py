@@ -122,3 +122,15 @@ def test_empty_index(spark, tmp_path):
     assert index.search(qs).count() == 0
     index.put(spark.createDataFrame([], DOCS))
     assert index.search(qs).count() == 0
+
+
+def test_a_search_makes_no_rows_of_pairs_and_ranks_as_rounded(spark, tmp_path):
+    index = KeywordIndex.at(spark, f"file://{tmp_path}/pairs", buckets=2, block_rows=4)
+    rows = [(i, f"alpha w{i % 3}", "t", ["a"]) for i in range(30)] + [(100 - i, "alpha same words", "t", ["a"]) for i in range(30)]
+    index.put(spark.createDataFrame(rows, DOCS))
+    queries = spark.createDataFrame([(q, "alpha same w1") for q in range(5)], "query_id long, query string")
+    found = index.search(queries, 12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "weight" not in plan
+    own = sorted((r.rank, r.doc_id) for r in found.collect() if r.query_id == 3)
+    assert [i for _, i in own] == list(range(71, 83)), "equal texts rank by their ids"

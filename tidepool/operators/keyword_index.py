@@ -13,11 +13,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidepool.operators import keyword_scan
 from tidepool.operators.committed import CommittedTable
 from tidepool.session import stored
 
+#: Terms of requests, each counted for each request, that meet what is opened at once.
+WANTED = 1_000_000
 POSTING = "struct<doc_id:{0},tf:double,len:int>"
 
 
@@ -56,11 +60,11 @@ class KeywordIndex:
 
     # --- writing
 
-    def _postings(self, docs: DataFrame) -> DataFrame:
-        """term, doc_id, tf, len of new documents. ``docs``: doc_id, text, title."""
-        text = docs.select("doc_id", terms(F.col("text")).alias("t"), F.coalesce(terms(F.col("title")), F.array().cast("array<string>")).alias("title")).withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
-        one = text.select("doc_id", F.size("t").alias("len"), F.explode(F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("w"))), F.transform("title", lambda w: F.struct(w.alias("term"), F.lit(self.title_weight).alias("w"))))).alias("x"))
-        return one.filter("x.w > 0").groupBy(F.col("x.term").alias("term"), "doc_id", "len").agg(F.sum("x.w").alias("tf"))
+    def _counted(self, docs: DataFrame) -> DataFrame:
+        """doc_id, len, terms, tfs, tags of new documents. ``docs``: doc_id, text, title, tags."""
+        none = F.array().cast("array<string>")
+        text = docs.select("doc_id", F.coalesce(terms(F.col("text")), none).alias("t"), F.coalesce(terms(F.col("title")), none).alias("title"))
+        return keyword_scan.counted(text, self.title_weight)
 
     def _cut(self, postings: DataFrame) -> DataFrame:
         """Blocks of postings: a term's postings are dealt into shards of a bounded size first, so that a term of all documents is not one task."""
@@ -75,6 +79,9 @@ class KeywordIndex:
     def _rewrite(self, new: DataFrame, gone: DataFrame, batch: tuple[str, int] | None) -> None:
         """Blocks of the terms of ``new`` postings and of ``gone`` (doc_id, terms) are cut anew."""
         changed = stored(new.select("term").union(gone.select(F.explode("terms"))).distinct(), "changed")
+        if not self.blocks.manifest().buckets:  # the first documents: what was counted is all there is
+            self.blocks.replace(self._cut(new.select("term", "doc_id", "len", "tf")), changed, ["term"], batch)
+            return
         touched = self.blocks.touched(changed)
         old = self.blocks.read(touched).join(changed, "term", "left_semi").select("term", F.inline("postings"))
         rows = old.join(gone.select("doc_id"), "doc_id", "left_anti").select("term", "doc_id", "len", "tf").unionByName(new.select("term", "doc_id", "len", "tf"))
@@ -85,19 +92,21 @@ class KeywordIndex:
 
         Postings are committed before documents, each under the batch's number: a replay after a crash between the two does the rest.
         """
-        docs = docs.filter(F.col("doc_id").isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.xxhash64("text", "title"))))).filter("_n = 1").drop("_n")
-        postings = stored(self._postings(docs), "postings")
-        gone = stored(self.documents.read(self.documents.touched(docs.select("doc_id"))).join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "terms"), "gone")
-        self._rewrite(postings, gone, batch)
-        held = postings.groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
-        rows = docs.select("doc_id", F.coalesce(F.size(terms(F.col("text"))), F.lit(0)).alias("len"), "tags").withColumn("len", F.greatest("len", F.lit(0))).join(held, "doc_id", "left")
-        self.documents.upsert(rows.select("doc_id", "len", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), "tags"), batch)
+        docs = docs.filter(F.col("doc_id").isNotNull())
+        n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+        if n["rows"] > n["ids"]:  # else texts needn't be shuffled to find one row of each id
+            docs = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.xxhash64("text", "title"))))).filter("_n = 1").drop("_n")
+        new = stored(self._counted(docs), "counted")
+        ids = new.select("doc_id")
+        gone = stored(self.documents.read(self.documents.touched(ids)).join(ids, "doc_id", "left_semi").select("doc_id", "terms"), "gone")
+        self._rewrite(new.select("doc_id", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(F.col("x.terms").alias("term"), "doc_id", "len", F.col("x.tfs").alias("tf")), gone, batch)
+        rows = new.select("doc_id", "len", F.sort_array("terms").alias("terms")).join(docs.select("doc_id", "tags"), "doc_id")
+        self.documents.upsert(rows, batch)
 
     def remove(self, gone: DataFrame, batch: tuple[str, int] | None = None) -> None:
         """Take documents (doc_id) out."""
         had = stored(self.documents.read(self.documents.touched(gone)).join(gone.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "terms"), "gone")
-        none = self._postings(had.select("doc_id", F.lit("").alias("text"), F.lit("").alias("title")))
-        self._rewrite(none, had, batch)
+        self._rewrite(had.limit(0).select(F.lit("").alias("term"), "doc_id", F.lit(0).alias("len"), F.lit(0.0).alias("tf")), had, batch)
         self.documents.delete(had.select("doc_id"), batch=batch)
 
     # --- searching
@@ -140,4 +149,20 @@ class KeywordIndex:
         left = bounds.join(total, ["query_id", "term"]).join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("all") - F.col("best") + F.col("most") >= F.col("kth") * (1 - 1e-9)))
         if read is not None:
             read.append(left.select("query_id", "term", "block"))
-        return opened(left).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        texts_wanted = wanted.select("query_id", "term").limit(WANTED + 1).toArrow()
+        if texts_wanted.num_rows > WANTED:
+            return opened(left).withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        # What is opened for any request meets all of them as matrices: a text that is not among a request's best gets part of its score at most, and stays under the bound.
+        own = keyword_scan.Asked(texts_wanted)
+        numbers = {t: i for i, t in enumerate(own.words.to_pylist())}
+        weights = np.zeros(max(len(numbers), 1))
+        for r in wanted.select("term", "weight").distinct().toLocalIterator():
+            weights[numbers[r["term"]]] = r["weight"]
+        named = self.documents.spark.createDataFrame(list(numbers.items()), "term string, no int")
+        rows = blocks.select("term", "block", "postings").join(left.select("term", "block").distinct(), ["term", "block"], "left_semi").join(named, "term").select("no", F.inline("postings"))
+        if tags:
+            rows = rows.join(allowed, "doc_id", "left_semi")
+        one = rows.groupBy("doc_id").agg(F.first("len").alias("doc_len"), F.sort_array(F.collect_list(F.struct("no", "tf"))).alias("x"))
+        texts = one.select("doc_id", "doc_len", F.col("x.no").alias("terms"), F.col("x.tf").alias("tfs"))
+        found = keyword_scan.best_texts(texts, own, weights, float(mean_len), dict(queries.dtypes)["query_id"], k, k1, b, 9)
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -61,8 +61,33 @@ def forward(docs: DataFrame, asked: Asked) -> DataFrame:
     return stored(docs.mapInArrow(run, f"doc_id {kind}, doc_len int, terms array<int>, tfs array<int>"), "forward")
 
 
-def best_texts(texts: DataFrame, asked: Asked, idf: np.ndarray, mean_len: float, query_type: str, k: int, k1: float, b: float) -> DataFrame:
-    """query_id, doc_id, score: the ``k`` best of each task for each request. ``texts``: rows of ``forward``; ``idf``: by term."""
+def counted(docs: DataFrame, title_weight: float) -> DataFrame:
+    """doc_id, len, terms, tfs: the distinct terms of each text and title with their weighted counts, without a shuffle. ``docs``: doc_id, t, title (arrays of tokens)."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, doc, weight, lens = [], [], [], []
+            for column, w in ((batch.column(1), 1.0), (batch.column(2), title_weight)):
+                many = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+                lens.append(many)
+                if w > 0:
+                    words.append(column.flatten())
+                    doc.append(np.repeat(np.arange(batch.num_rows), many))
+                    weight.append(np.full(len(doc[-1]), w))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            n = max(len(coded.dictionary), 1)
+            keys, own = np.unique(np.concatenate(doc) * n + coded.indices.to_numpy(), return_inverse=True)
+            at = pa.array(np.searchsorted(keys, np.arange(batch.num_rows + 1) * n), pa.int32())
+            terms = pa.ListArray.from_arrays(at, coded.dictionary.take(pa.array(keys % n)) if len(keys) else coded.dictionary)
+            tfs = pa.ListArray.from_arrays(at, pa.array(np.bincount(own, weights=np.concatenate(weight), minlength=len(keys))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lens[0].astype(np.int32)), terms, tfs], names=["doc_id", "len", "terms", "tfs"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, len int, terms array<string>, tfs array<double>")
+
+
+def best_texts(texts: DataFrame, asked: Asked, idf: np.ndarray, mean_len: float, query_type: str, k: int, k1: float, b: float, digits: int | None = None) -> DataFrame:
+    """query_id, doc_id, score: the ``k`` best of each task for each request. ``texts``: rows of ``forward``; ``idf``: by term; ``digits``: scores are rounded before they are ranked."""
     sent, kind = texts.sparkSession.sparkContext.broadcast((asked, idf)), dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +123,7 @@ def best_texts(texts: DataFrame, asked: Asked, idf: np.ndarray, mean_len: float,
                         key = term[entry].astype(np.int64) * n + q[pair]
                         found = np.minimum(np.searchsorted(own.keys, key), len(own.keys) - 1)
                         out[at : at + 20_000] = np.bincount(pair, weights=np.where(own.keys[found] == key, adds[entry] * own.times[found], 0.0), minlength=len(q))
-                    return out
+                    return out if digits is None else np.round(out, digits)
 
                 best.offer(rough, exact, part.column(0).to_numpy(zero_copy_only=False), 0.0)
         if id_type is not None:
